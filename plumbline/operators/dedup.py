@@ -116,35 +116,44 @@ def near_duplicate_pairs(df: DataFrame, item: str, phash: str, max_distance: int
 
     Two hashes of a block that differ in at most d bits must agree on at least two of any d + 2
     segments of the remaining bits. Joining on (block, segment pair, segment values) therefore finds
-    every pair and never compares a whole block with itself, however large it is. Items with the very
-    same hash are counted before the join, so copies never multiply. Rows: hash_a <= hash_b, the
-    distance, the number of item pairs they stand for and one example item from each side.
+    every pair and never compares a whole block with itself, however large it is; a pair is kept
+    where its first two agreeing segments meet, so it appears once without a further shuffle. Items
+    with the very same hash are counted before the join, so copies never multiply. Rows: hash_a <=
+    hash_b, the distance, the number of item pairs they stand for and an example item of each side.
     """
     hashes = (df.filter(col(phash).isNotNull()).groupBy(F.lower(col(phash)).alias("hash"))
-              .agg(F.count(F.lit(1)).alias("n"), F.min(col(item)).alias("first"), F.max(col(item)).alias("last")))
+              .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(col(item).alias("item"))).alias("ends_lo"),
+                   F.max(F.struct(col(item).alias("item"))).alias("ends_hi")))
     low_bits = 64 - 4 * block_digits
     segments = max_distance + 2
     edges = [low_bits * i // segments for i in range(segments + 1)]
+    spans = list(zip(edges, edges[1:]))
+
+    def part(word: Column, i: int) -> Column:
+        lo, hi = spans[i]
+        return F.shiftrightunsigned(word, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
+
     word = _hex_word(F.col("hash"))
-    parts = [F.shiftrightunsigned(word, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
-             for lo, hi in zip(edges, edges[1:])]
     keys = F.array(*[
-        F.struct(F.lit(i * segments + j).alias("pair"), parts[i].alias("x"), parts[j].alias("y"))
+        F.struct(F.lit(i * segments + j).alias("pair"), part(word, i).alias("x"), part(word, j).alias("y"))
         for i, j in combinations(range(segments), 2)])
     probes = hashes.select(
-        "hash", "n", "first", word.alias("word"), F.substring("hash", 1, block_digits).alias("block"),
-        F.explode(keys).alias("k")).select("hash", "n", "first", "word", "block", "k.pair", "k.x", "k.y")
+        "hash", "n", F.struct("ends_lo", "ends_hi").alias("ends"), word.alias("word"),
+        F.substring("hash", 1, block_digits).alias("block"), F.explode(keys).alias("k")).select(
+        "hash", "n", "ends", "word", "block", "k.pair", "k.x", "k.y")
     a, b = probes.alias("a"), probes.alias("b")
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("block", "pair", "x", "y")]
-    distance = F.bit_count(F.col("a.word").bitwiseXOR(F.col("b.word")))
-    found = a.join(b, on + [F.col("a.hash") < F.col("b.hash"), distance <= max_distance]).select(
-        F.col("a.hash").alias("hash_a"), F.col("b.hash").alias("hash_b"), distance.cast("bigint").alias("hamming"),
-        (F.col("a.n") * F.col("b.n")).alias("item_pairs"),
-        F.col("a.first").alias("item_a"), F.col("b.first").alias("item_b")).dropDuplicates(["hash_a", "hash_b"])
-    same = hashes.filter("n > 1").select(
-        F.col("hash").alias("hash_a"), F.col("hash").alias("hash_b"), F.lit(0).cast("bigint").alias("hamming"),
-        F.expr("n * (n - 1) div 2").alias("item_pairs"), F.col("first").alias("item_a"), F.col("last").alias("item_b"))
-    return found.unionByName(same)
+    xor = F.col("a.word").bitwiseXOR(F.col("b.word"))
+    agreeing = F.array_compact(F.array(*[F.when(part(xor, i) == 0, F.lit(i)) for i in range(segments)]))
+    first_pair = F.element_at(agreeing, 1) * segments + F.element_at(agreeing, 2)
+    same = F.col("a.hash") == F.col("b.hash")
+    met = a.join(b, on + [F.col("a.hash") <= F.col("b.hash"), F.bit_count(xor) <= max_distance,
+                          F.col("a.pair") == first_pair])
+    found = met.select(
+        F.col("a.hash").alias("hash_a"), F.col("b.hash").alias("hash_b"), F.bit_count(xor).cast("bigint").alias("hamming"),
+        F.when(same, F.expr("a.n * (a.n - 1) div 2")).otherwise(F.col("a.n") * F.col("b.n")).alias("item_pairs"),
+        F.col("a.ends.ends_lo.item").alias("item_a"), F.col("b.ends.ends_hi.item").alias("item_b"))
+    return found.filter("item_pairs > 0")
 
 
 def near_duplicates(df: DataFrame, item: str, phash: str, max_distance: int = 6) -> DataFrame:

@@ -56,6 +56,24 @@ def with_totals(df: DataFrame, by: Sequence[str] = (), **sums: Column) -> DataFr
     return df.join(renamed, same).drop(*[f"_by{i}" for i in range(len(by))])
 
 
+def in_intervals(df: DataFrame, keys: Sequence[str], order: str, few_keys: bool = True,
+                 intervals: int = INTERVALS) -> DataFrame:
+    """Adds ``_slot``, the interval of ``order`` within its key; slots are ordered like the values.
+
+    ``df`` holds one row per (keys, order).
+    """
+    lowest = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.xxhash64(order), F.col(order))
+    cuts = (df.select(*keys, order)
+            .withColumn("_r", F.row_number().over(lowest)).filter(F.col("_r") < intervals)
+            .groupBy(*keys).agg(F.collect_list(order).alias("_cuts")))
+    if keys:
+        joined = df.join(F.broadcast(cuts) if few_keys else cuts, list(keys))
+    else:
+        joined = df.withColumn("_cuts", cuts.select("_cuts").scalar())
+    slot = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
+    return joined.withColumn("_slot", slot).drop("_cuts")
+
+
 def running_totals(counts: DataFrame, keys: Sequence[str], order: str, measures: Sequence[str] = ("n",),
                    only=None, few_keys: bool = True, intervals: int = INTERVALS) -> DataFrame:
     """Adds ``cum_<m>`` (inclusive running total) and ``all_<m>`` (total of the key).
@@ -66,12 +84,7 @@ def running_totals(counts: DataFrame, keys: Sequence[str], order: str, measures:
     """
     keys = list(keys)
     hint = F.broadcast if few_keys else (lambda frame: frame)
-    lowest = Window.partitionBy(*keys).orderBy(F.xxhash64(order), F.col(order))
-    cuts = (counts.select(*keys, order)
-            .withColumn("_r", F.row_number().over(lowest)).filter(F.col("_r") < intervals)
-            .groupBy(*keys).agg(F.collect_list(order).alias("_cuts")))
-    placed = (counts.join(hint(cuts), keys)
-              .withColumn("_slot", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts"))
+    placed = in_intervals(counts, keys, order, few_keys, intervals)
     whole, before = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_slot")
     slots = placed.groupBy(*keys, "_slot").agg(*[F.sum(m).alias(f"_size_{m}") for m in measures])
     slots = slots.select(

@@ -99,35 +99,32 @@ late AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_totalpric
   o_orderdate, CASE WHEN o_orderkey % 8 <> 0 THEN o_orderpriority END AS o_orderpriority,
   o_orderkey % 7 AS o_new FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01')"""
 
-_LETTERS = "etaoinshrdlucmfwypvbgkjqxz .,éèçê"
+_LETTERS = "etaoinshrdlucmfw"
+_FACTORS = (10, 16, 25, 40)
 
 
 def text_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A 64-bit letter-frequency fingerprint per document; edited copies differ in few bits.
 
-    Stands in for an image's perceptual hash: the same width, the same hexadecimal form.
+    Stands in for an image's perceptual hash: the same width, the same hexadecimal form. Each digit
+    says how many of four frequency marks a letter passes.
     """
-    text, size = F.lower(F.col("text")), F.length("text")
-    bits = []
-    for ch in _LETTERS[:32]:
-        count = size - F.length(F.replace(text, F.lit(ch)))
-        bits += [count * 14 > size, count * 40 > size]
-    hexed = [
-        F.hex(sum((F.when(b, 1 << (3 - i)).otherwise(0) for i, b in enumerate(bits[at:at + 4])),
-                  F.lit(0)).cast("bigint")) for at in range(0, 64, 4)]
-    return table(spark, sf_dir, "documents").select("doc_id", F.lower(F.concat(*hexed)).alias("phash"))
+    size = F.length("text")
+    digits = []
+    for ch in _LETTERS:
+        count = size - F.length(F.replace(F.lower("text"), F.lit(ch)))
+        marks = [F.when(count * f > size, 1 << (3 - i)).otherwise(0) for i, f in enumerate(_FACTORS)]
+        digits.append(F.lower(F.hex((marks[0] + marks[1] + marks[2] + marks[3]).cast("bigint"))))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(*digits).alias("phash"))
 
 
 def _fingerprint_sql() -> str:
-    counts = []
-    for at in range(0, 64, 4):
-        terms = []
-        for i in range(4):
-            ch, factor = _LETTERS[(at + i) // 2], 14 if (at + i) % 2 == 0 else 40
-            terms.append(f"CASE WHEN (length(text) - length(replace(lower(text), '{ch}', ''))) * {factor} "
-                         f"> length(text) THEN {1 << (3 - i)} ELSE 0 END")
-        counts.append("lower(to_hex(" + " + ".join(terms) + "))")
-    return "fp AS (SELECT doc_id, " + " || ".join(counts) + " AS phash FROM documents)"
+    digits = []
+    for ch in _LETTERS:
+        terms = [f"CASE WHEN (length(text) - length(replace(lower(text), '{ch}', ''))) * {f} > length(text) "
+                 f"THEN {1 << (3 - i)} ELSE 0 END" for i, f in enumerate(_FACTORS)]
+        digits.append("lower(to_hex(" + " + ".join(terms) + "))")
+    return "fp AS (SELECT doc_id, " + " || ".join(digits) + " AS phash FROM documents)"
 
 
 FINGERPRINT_SQL = _fingerprint_sql()
