@@ -22,6 +22,14 @@ from plumbline.functions.columns import as_double, col
 INTERVALS = 64
 
 
+def bounded_rows(df: DataFrame, at_most: int) -> list:
+    """Collects a result whose size is bounded by the schema, and checks that bound."""
+    rows = df.take(at_most + 1)
+    if len(rows) > at_most:
+        raise ValueError(f"expected at most {at_most} rows")
+    return rows
+
+
 def melt(df: DataFrame, columns: Sequence[str], keep: Sequence[str | Column] = (),
          numeric: bool = True) -> DataFrame:
     """(column, value) rows of the chosen columns; missing values are left out."""

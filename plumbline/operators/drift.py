@@ -10,7 +10,7 @@ from plumbline.functions.columns import (
     as_double, col, is_datetime, is_numeric, numeric_columns, slice_label, timestamp_of)
 from plumbline.operators.dedup import schema_delta
 from plumbline.operators.distribution import (
-    ks_from_counts, ks_p_value, melt, quantiles, value_counts)
+    bounded_rows, ks_from_counts, ks_p_value, melt, quantiles, value_counts)
 from plumbline.operators.profile import missing_by_column, numeric_variances, top
 from plumbline.roles import Roles
 
@@ -22,10 +22,10 @@ def quartile_slices(df: DataFrame, column: str) -> Column:
     counts = value_counts(df.select(F.lit(1).alias("key"), as_double(df, column).alias("value"))
                           .filter(F.col("value").isNotNull()), ["key"])
     cuts = quantiles(counts, ["key"], {"a": 0.25, "b": 0.5, "c": 0.75})
-    low, mid, high = (cuts.select(c).scalar() for c in ("a", "b", "c"))
+    edges = sorted({v for r in bounded_rows(cuts, 1) for v in (r["a"], r["b"], r["c"])})
     x = as_double(df, column)
-    below = ((low < x).cast("int") + ((mid < x) & (mid != low)).cast("int") + ((high < x) & (high != mid)).cast("int"))
-    return F.when(x.isNotNull(), F.concat(F.lit("q"), (below + 1).cast("string")))
+    below = sum(((F.lit(e) < x).cast("int") for e in edges), F.lit(1))
+    return F.when(x.isNotNull(), F.concat(F.lit("q"), below.cast("string")))
 
 
 def with_slices(df: DataFrame, roles: Roles, prefer: str = "time") -> DataFrame | None:
@@ -55,11 +55,9 @@ def slice_range(sliced: DataFrame) -> DataFrame:
 def drift_first_last(sliced: DataFrame, columns: Sequence[str], minimum: int = 20, k: int | None = 10,
                      by: Sequence[str] = ()) -> DataFrame:
     """KS distance between the first and the last slice for each numeric column."""
-    known = sliced.filter(F.col(SLICE).isNotNull())
-    ends = known.agg(F.min(SLICE).alias("a"), F.max(SLICE).alias("b"))
-    first, last = ends.select("a").scalar(), ends.select("b").scalar()
-    pair = known.filter((F.col(SLICE) == first) | (F.col(SLICE) == last))
-    pair = pair.withColumn("_late", (F.col(SLICE) != first).cast("int"))
+    first, last = sliced.agg(F.min(SLICE), F.max(SLICE)).first()
+    pair = sliced.filter(F.col(SLICE).isin(first, last))
+    pair = pair.withColumn("_late", (F.col(SLICE) != F.lit(first)).cast("int"))
     counts = value_counts(melt(pair, columns, [*by, "_late"]), [*by, "column"],
                           n_a=1 - F.col("_late"), n_b=F.col("_late"))
     found = ks_from_counts(counts, [*by, "column"], minimum=minimum).filter(F.col("ks").isNotNull())

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.columns import as_double, categorical_columns, col
-from plumbline.operators.distribution import melt, quantiles, value_counts
+from plumbline.operators.distribution import bounded_rows, melt, quantiles, value_counts
 from plumbline.operators.profile import top
 
 
@@ -37,17 +37,24 @@ def mad_from_counts(counts: DataFrame, keys: Sequence[str] = ("column",)) -> Dat
     return medians.drop("n_values").join(F.broadcast(spread), list(keys))
 
 
-def anomaly_score(df: DataFrame, columns: Sequence[str], centres: DataFrame) -> Column:
-    """Mean over columns of |x - median| / MAD; columns with MAD 0 or a missing value do not count.
-
-    The centres reach the rows as one map in a scalar subquery: its size is the number of columns.
-    """
-    entries = centres.agg(F.map_from_entries(F.collect_list(F.struct(
-        "column", F.struct("median", "mad")))).alias("m")).select("m").scalar()
-    parts = []
-    for name in columns:
-        c = F.element_at(entries, F.lit(name))
-        parts.append(F.when(c["mad"] > 0, F.abs(as_double(df, name) - c["median"]) / c["mad"]))
+def mad_centres(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """(median, MAD) of each column; two rows per column reach the driver, never data."""
+    counts = value_counts(melt(df, columns), ["column"])
+    medians = {r["column"]: r["median"] for r in bounded_rows(
+        quantiles(counts, ["column"], {"median": 0.5}).select("column", "median"), len(columns))}
+    if not medians:
+        return {}
+    centred = df.select(*[
+        F.abs(as_double(df, c) - F.lit(m)).alias(c) for c, m in medians.items()])
+    spread = quantiles(value_counts(melt(centred, list(medians)), ["column"]), ["column"], {"mad": 0.5})
+    return {r["column"]: (medians[r["column"]], r["mad"]) for r in bounded_rows(
+        spread.select("column", "mad"), len(columns))}
+
+
+def anomaly_score(df: DataFrame, centres: dict[str, tuple[float, float]]) -> Column:
+    """Mean over columns of |x - median| / MAD; columns with MAD 0 or a missing value do not count."""
+    parts = [F.abs(as_double(df, c) - F.lit(median)) / F.lit(mad)
+             for c, (median, mad) in centres.items() if mad > 0]
     total = sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0))
     used = sum((p.isNotNull().cast("int") for p in parts), F.lit(0))
     return F.when(used > 0, total / used)
@@ -55,21 +62,20 @@ def anomaly_score(df: DataFrame, columns: Sequence[str], centres: DataFrame) ->
 
 def mad_scores(df: DataFrame, columns: Sequence[str], keep: Sequence[str] | None = None) -> DataFrame:
     """Rows with their ``anomaly_score``."""
-    centres = mad_from_counts(value_counts(melt(df, columns), ["column"]))
     kept = [col(c) for c in (df.columns if keep is None else keep)]
-    return df.select(*kept, anomaly_score(df, columns, centres).alias("anomaly_score"))
+    return df.select(*kept, anomaly_score(df, mad_centres(df, columns)).alias("anomaly_score"))
 
 
 def score_summary(scored: DataFrame, score: str = "anomaly_score", threshold: float = 3.0) -> DataFrame:
     """Mean, p95, p99, maximum and outlier share of row scores."""
+    high = F.coalesce((col(score) > threshold).cast("int"), F.lit(0))
+    rows = scored.agg(
+        F.lit(1).alias("key"), F.avg(score).alias("mean"), F.max(score).alias("max"),
+        F.avg(high.cast("double")).alias("outlier_rate"), F.sum(high.cast("bigint")).alias("outlier_count"))
     counts = value_counts(scored.filter(col(score).isNotNull()).select(
         F.lit(1).alias("key"), col(score).alias("value")), ["key"])
     points = quantiles(counts, ["key"], {"p95": 0.95, "p99": 0.99})
-    rows = scored.agg(
-        F.avg(score).alias("mean"), F.max(score).alias("max"),
-        F.avg(F.coalesce((col(score) > threshold).cast("double"), F.lit(0.0))).alias("outlier_rate"),
-        F.sum(F.coalesce((col(score) > threshold).cast("bigint"), F.lit(0))).alias("outlier_count"))
-    return rows.withColumn("p95", points.select("p95").scalar()).withColumn("p99", points.select("p99").scalar())
+    return rows.join(F.broadcast(points.drop("n_values")), "key", "left").drop("key")
 
 
 def top_anomalies(scored: DataFrame, key: Sequence[str], k: int = 20) -> DataFrame:

@@ -105,13 +105,12 @@ def gaps(step_counts: DataFrame) -> DataFrame:
     """Median, p95 and largest step, and the share of steps above ten medians."""
     keyed = step_counts.withColumn("key", F.lit(1))
     found = quantiles(keyed, ["key"], {"median": 0.5, "p95": 0.95}, value="step")
-    median = found.select("median").scalar()
-    large = step_counts.agg(
-        F.max("step").alias("largest_gap_seconds"),
-        (F.sum(F.when(F.col("step") > 10 * median, F.col("n")).otherwise(0)) / F.sum("n")).alias("_rate"))
-    return large.select(
-        median.alias("median_gap_seconds"), found.select("p95").scalar().alias("p95_gap_seconds"),
-        "largest_gap_seconds", F.when(median > 0, F.col("_rate")).alias("large_gap_rate"))
+    joined = keyed.join(F.broadcast(found), "key")
+    large = F.sum(F.when(F.col("step") > 10 * F.col("median"), F.col("n")).otherwise(0)) / F.sum("n")
+    return joined.groupBy(F.col("median").alias("median_gap_seconds"), F.col("p95").alias("p95_gap_seconds")).agg(
+        F.max("step").alias("largest_gap_seconds"), large.alias("_rate")).select(
+        "median_gap_seconds", "p95_gap_seconds", "largest_gap_seconds",
+        F.when(F.col("median_gap_seconds") > 0, F.col("_rate")).alias("large_gap_rate"))
 
 
 def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], period: Column) -> DataFrame:
