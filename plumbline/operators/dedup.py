@@ -135,20 +135,21 @@ def near_duplicate_pairs(df: DataFrame, item: str, phash: str, max_distance: int
 
     word = _hex_word(F.col("hash"))
     keys = F.array(*[
-        F.struct(F.lit(i * segments + j).alias("pair"), part(word, i).alias("x"), part(word, j).alias("y"))
+        F.struct(F.lit(1 << i).alias("bit"), F.lit((1 << j) - 1).alias("below"),
+                 part(word, i).alias("x"), part(word, j).alias("y"))
         for i, j in combinations(range(segments), 2)])
     probes = hashes.select(
         "hash", "n", F.struct("ends_lo", "ends_hi").alias("ends"), word.alias("word"),
         F.substring("hash", 1, block_digits).alias("block"), F.explode(keys).alias("k")).select(
-        "hash", "n", "ends", "word", "block", "k.pair", "k.x", "k.y")
+        "hash", "n", "ends", "word", "block", "k.bit", "k.below", "k.x", "k.y")
     a, b = probes.alias("a"), probes.alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("block", "pair", "x", "y")]
+    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("block", "bit", "below", "x", "y")]
     xor = F.col("a.word").bitwiseXOR(F.col("b.word"))
-    agreeing = F.array_compact(F.array(*[F.when(part(xor, i) == 0, F.lit(i)) for i in range(segments)]))
-    first_pair = F.element_at(agreeing, 1) * segments + F.element_at(agreeing, 2)
+    agreeing = sum((F.when(part(xor, i) == 0, 1 << i).otherwise(0) for i in range(segments)), F.lit(0))
+    first_pair = agreeing.bitwiseAND(F.col("a.below")) == F.col("a.bit")
     same = F.col("a.hash") == F.col("b.hash")
     met = a.join(b, on + [F.col("a.hash") <= F.col("b.hash"), F.bit_count(xor) <= max_distance,
-                          F.col("a.pair") == first_pair])
+                          first_pair])
     found = met.select(
         F.col("a.hash").alias("hash_a"), F.col("b.hash").alias("hash_b"), F.bit_count(xor).cast("bigint").alias("hamming"),
         F.when(same, F.expr("a.n * (a.n - 1) div 2")).otherwise(F.col("a.n") * F.col("b.n")).alias("item_pairs"),

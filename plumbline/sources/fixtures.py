@@ -128,3 +128,16 @@ def _fingerprint_sql() -> str:
 
 
 FINGERPRINT_SQL = _fingerprint_sql()
+
+
+def audited_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faulted orders with a binary label and a note that sometimes holds an e-mail address."""
+    key = F.col("o_orderkey")
+    return faulted_orders(spark, sf_dir).withColumns({
+        "big": (F.col("o_totalprice") > 150000).cast("int"),
+        "note": F.when(key % 30 == 0, F.concat(F.lit("mail u"), key, F.lit("@example.com"))).otherwise("ok")})
+
+
+AUDITED_SQL = FAULTED_SQL + """,
+audited AS (SELECT *, CAST(o_totalprice > 150000 AS INTEGER) AS big,
+  CASE WHEN o_orderkey % 30 = 0 THEN 'mail u' || o_orderkey || '@example.com' ELSE 'ok' END AS note FROM faulted)"""
