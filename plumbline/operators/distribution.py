@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from plumbline.functions.columns import as_double, col
 
 INTERVALS = 64
+SMALL_BYTES = 256 << 20
 
 
 def bounded_rows(df: DataFrame, at_most: int) -> list:
@@ -82,15 +83,29 @@ def in_intervals(df: DataFrame, keys: Sequence[str], order: str, few_keys: bool
     return joined.withColumn("_slot", slot).drop("_cuts")
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a frame; it errs towards too large, and needs no job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def running_totals(counts: DataFrame, keys: Sequence[str], order: str, measures: Sequence[str] = ("n",),
-                   only=None, few_keys: bool = True, intervals: int = INTERVALS) -> DataFrame:
+                   only=None, few_keys: bool = True, intervals: int | None = None) -> DataFrame:
     """Adds ``cum_<m>`` (inclusive running total) and ``all_<m>`` (total of the key).
 
-    ``counts`` holds one row per (keys, order). ``few_keys`` states that the number of keys is bounded
-    by the schema (columns, scenarios), which bounds the broadcast interval table; otherwise Spark
-    chooses the join by size. ``only(before, size, total)`` keeps just the intervals a query needs.
+    ``counts`` holds one row per (keys, order). Inputs estimated below ``SMALL_BYTES`` take one plain
+    window; everything else is cut into intervals. ``few_keys`` states that the number of keys is
+    bounded by the schema (columns, scenarios), which bounds the broadcast interval table; otherwise
+    Spark chooses the join by size. ``only(before, size, total)`` (SQL text in, SQL text out) keeps
+    just the intervals that a query needs.
     """
     keys = list(keys)
+    if intervals is None:
+        intervals = 1 if estimated_bytes(counts) <= SMALL_BYTES else INTERVALS
+    if intervals == 1:
+        w = Window.partitionBy(*keys).orderBy(order)
+        t = Window.partitionBy(*keys)
+        return counts.select("*", *[F.sum(m).over(w).alias(f"cum_{m}") for m in measures],
+                             *[F.sum(m).over(t).alias(f"all_{m}") for m in measures])
     hint = F.broadcast if few_keys else (lambda frame: frame)
     placed = in_intervals(counts, keys, order, few_keys, intervals)
     whole, before = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_slot")
@@ -101,60 +116,46 @@ def running_totals(counts: DataFrame, keys: Sequence[str], order: str, measures:
         *[F.sum(f"_size_{m}").over(whole).alias(f"all_{m}") for m in measures])
     if only is not None:
         m = measures[0]
-        slots = slots.filter(only(F.col(f"_before_{m}"), F.col(f"_size_{m}"), F.col(f"all_{m}")))
+        slots = slots.filter(only(f"_before_{m}", f"_size_{m}", f"all_{m}"))
     inner = Window.partitionBy(*keys, "_slot").orderBy(order)
     located = placed.join(hint(slots), [*keys, "_slot"])
-    summed = located.select(
+    return located.select(
         *[col(c) for c in counts.columns],
         *[(F.sum(m).over(inner) + F.col(f"_before_{m}")).alias(f"cum_{m}") for m in measures],
         *[F.col(f"all_{m}") for m in measures])
-    return summed
 
 
 def quantiles(counts: DataFrame, keys: Sequence[str], points: Mapping[str, float], value: str = "value",
-              n: str = "n", few_keys: bool = True) -> DataFrame:
+              few_keys: bool = True, intervals: int | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles per key, one output column per point.
 
     Only the intervals that hold a wanted rank are sorted.
     """
-    def position(p: float, total: Column) -> Column:
-        return F.lit(p) * (total - 1)
-
-    def wanted(before: Column, size: Column, total: Column) -> Column:
-        hit = F.lit(False)
-        for p in points.values():
-            for rank in (F.floor(position(p, total)), F.ceil(position(p, total))):
-                hit = hit | ((before <= rank) & (rank < before + size))
-        return hit
+    def ranks(p: float, total: str) -> tuple[str, str]:
+        return f"floor({p}D * ({total} - 1))", f"ceil({p}D * ({total} - 1))"
 
-    ranked = running_totals(counts.withColumnRenamed(n, "n") if n != "n" else counts, keys, value,
-                            only=wanted, few_keys=few_keys)
-    start, total = F.col("cum_n") - F.col("n"), F.col("all_n")
+    def wanted(before: str, size: str, total: str) -> str:
+        return " OR ".join(f"({before} <= {r} AND {r} < {before} + {size})"
+                           for p in points.values() for r in ranks(p, total))
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((start <= rank) & (rank < F.col("cum_n")), F.col(value)))
-
-    parts = [F.max("all_n").alias("n_values")]
-    for name, p in points.items():
-        parts += [at(F.floor(position(p, total))).alias(f"_lo_{name}"),
-                  at(F.ceil(position(p, total))).alias(f"_hi_{name}")]
-    found = ranked.groupBy(*keys).agg(*parts)
+    ranked = running_totals(counts, keys, value, ("n",), wanted, few_keys, intervals)
+    parts = ["max(all_n) AS n_values"]
     for name, p in points.items():
-        pos = position(p, F.col("n_values"))
-        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        found = found.withColumn(name, low + (high - low) * (pos - F.floor(pos)))
-    return found.select(*keys, "n_values", *points)
+        for side, r in zip(("lo", "hi"), ranks(p, "all_n")):
+            parts.append(f"max(CASE WHEN cum_n - n <= {r} AND {r} < cum_n THEN `{value}` END) AS `_{side}_{name}`")
+    found = ranked.groupBy(*keys).agg(*[F.expr(e) for e in parts])
+    return found.select(*keys, "n_values", *[
+        F.expr(f"`_lo_{name}` + (`_hi_{name}` - `_lo_{name}`) * ({p}D * (n_values - 1) - floor({p}D * (n_values - 1)))").alias(name)
+        for name, p in points.items()])
 
 
 def ks_from_counts(counts: DataFrame, keys: Sequence[str], side_a: str = "n_a", side_b: str = "n_b",
-                   value: str = "value", minimum: int = 20) -> DataFrame:
+                   value: str = "value", minimum: int = 20, intervals: int | None = None) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance per key; null when a side is too small."""
-    ranked = running_totals(counts, keys, value, (side_a, side_b))
-    gap = F.abs(F.col(f"cum_{side_a}") / F.col(f"all_{side_a}") - F.col(f"cum_{side_b}") / F.col(f"all_{side_b}"))
-    enough = (F.col(f"all_{side_a}") >= minimum) & (F.col(f"all_{side_b}") >= minimum)
-    return ranked.groupBy(*keys).agg(
-        F.max(F.when(enough, gap)).alias("ks"),
-        F.max(f"all_{side_a}").alias(side_a), F.max(f"all_{side_b}").alias(side_b))
+    ranked = running_totals(counts, keys, value, (side_a, side_b), intervals=intervals)
+    gap = (f"max(CASE WHEN all_{side_a} >= {minimum} AND all_{side_b} >= {minimum} "
+           f"THEN abs(cum_{side_a} / all_{side_a} - cum_{side_b} / all_{side_b}) END) AS ks")
+    return ranked.groupBy(*keys).agg(F.expr(gap), F.max(f"all_{side_a}").alias(side_a), F.max(f"all_{side_b}").alias(side_b))
 
 
 def ks_p_value(ks: Column, n_a: Column, n_b: Column, terms: int = 100) -> Column:
@@ -168,9 +169,9 @@ def ks_p_value(ks: Column, n_a: Column, n_b: Column, terms: int = 100) -> Column
 
 
 def roc_auc_from_counts(counts: DataFrame, keys: Sequence[str], score: str = "score", pos: str = "pos",
-                        neg: str = "neg", few_keys: bool = True) -> DataFrame:
+                        neg: str = "neg", few_keys: bool = True, intervals: int | None = None) -> DataFrame:
     """Exact ROC area (ties averaged) and average precision per key from class counts per score."""
-    ranked = running_totals(counts, keys, score, (pos, neg), few_keys=few_keys)
+    ranked = running_totals(counts, keys, score, (pos, neg), few_keys=few_keys, intervals=intervals)
     p, q = F.col(f"all_{pos}"), F.col(f"all_{neg}")
     below = F.col(f"cum_{neg}") - F.col(neg)
     above_tp = p - F.col(f"cum_{pos}") + F.col(pos)

@@ -11,37 +11,34 @@ from plumbline.operators.distribution import bounded_rows, melt, quantiles, valu
 from plumbline.operators.profile import top
 
 
-def iqr_from_counts(counts: DataFrame, keys: Sequence[str] = ("column",), minimum: int = 8) -> DataFrame:
-    """Share of values outside 1.5 interquartile ranges per key; no row below ``minimum`` values."""
-    fences = quantiles(counts, keys, {"q1": 0.25, "q3": 0.75})
-    spread = F.col("q3") - F.col("q1")
-    outside = (F.col("value") < F.col("q1") - 1.5 * spread) | (F.col("value") > F.col("q3") + 1.5 * spread)
-    joined = counts.join(F.broadcast(fences), list(keys)).filter(F.col("n_values") >= minimum)
-    return joined.groupBy(*keys).agg(
-        (F.sum(F.when(outside & (spread != 0), F.col("n")).otherwise(0)) / F.sum("n")).alias("outlier_rate"),
-        F.sum("n").alias("n_values"))
+def quartiles(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float, float, int]]:
+    """(q1, median, q3, values) of each column, fitted exactly; one row per column reaches the driver."""
+    found = quantiles(value_counts(melt(df, columns), ["column"]), ["column"], {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return {r["column"]: (r["q1"], r["median"], r["q3"], r["n_values"]) for r in bounded_rows(found, len(columns))}
 
 
-def iqr_outliers(df: DataFrame, columns: Sequence[str], k: int | None = 10) -> DataFrame:
-    rates = iqr_from_counts(value_counts(melt(df, columns), ["column"]))
-    return rates if k is None else top(rates, k, "outlier_rate", "column")
+def outlier_rates(df: DataFrame, fences: dict[str, tuple[float, float, float, int]], minimum: int = 8) -> DataFrame:
+    """Share of values outside the fitted 1.5-IQR fences, from one scan without a shuffle of values."""
+    usable = {c: (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1), q3 != q1) for c, (q1, _, q3, n) in fences.items() if n >= minimum}
+    if not usable:
+        return df.sparkSession.createDataFrame([], "column string, outlier_rate double")
+    row = df.agg(*[
+        F.avg(((as_double(df, c) < lo) | (as_double(df, c) > hi)).cast("double") * (1.0 if wide else 0.0)).alias(c)
+        for c, (lo, hi, wide) in usable.items()])
+    return row.unpivot([], [col(c) for c in usable], "column", "outlier_rate")
 
 
-def mad_from_counts(counts: DataFrame, keys: Sequence[str] = ("column",)) -> DataFrame:
-    """Median and median absolute deviation per key, both from the same value counts."""
-    medians = quantiles(counts, keys, {"median": 0.5})
-    deviations = (counts.join(F.broadcast(medians), list(keys))
-                  .groupBy(*keys, F.abs(F.col("value") - F.col("median")).alias("value"))
-                  .agg(F.sum("n").alias("n")))
-    spread = quantiles(deviations, keys, {"mad": 0.5})
-    return medians.drop("n_values").join(F.broadcast(spread), list(keys))
+def iqr_outliers(df: DataFrame, columns: Sequence[str], k: int | None = 10) -> DataFrame:
+    fences = quartiles(df, columns)
+    sizes = df.sparkSession.createDataFrame([(c, q[3]) for c, q in fences.items()], "column string, n_values long")
+    rates = outlier_rates(df, fences).join(F.broadcast(sizes), "column")
+    return rates if k is None else top(rates, k, "outlier_rate", "column")
 
 
-def mad_centres(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """(median, MAD) of each column; two rows per column reach the driver, never data."""
-    counts = value_counts(melt(df, columns), ["column"])
-    medians = {r["column"]: r["median"] for r in bounded_rows(
-        quantiles(counts, ["column"], {"median": 0.5}).select("column", "median"), len(columns))}
+def mad_centres(df: DataFrame, columns: Sequence[str], medians: dict[str, float] | None = None) -> dict[str, tuple[float, float]]:
+    """(median, MAD) of each column; one row per column reaches the driver, never data."""
+    if medians is None:
+        medians = {c: q[1] for c, q in quartiles(df, columns).items()}
     if not medians:
         return {}
     centred = df.select(*[

@@ -15,7 +15,7 @@ def pii_hit_rates(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
     """Share of present values that match each pattern, for all columns in one scan of whole texts."""
     names = [(c, p) for c in columns for p in PII_PATTERNS]
     row = df.groupBy(*by).agg(*[
-        F.avg(F.when(col(c).isNotNull(), col(c).rlike(PII_PATTERNS[p]).cast("double"))).alias(f"h{i}")
+        F.avg(col(c).rlike(PII_PATTERNS[p]).cast("double")).alias(f"h{i}")
         for i, (c, p) in enumerate(names)])
     cells = F.array(*[
         F.struct(F.lit(c).alias("column"), F.lit(p).alias("pattern"), F.col(f"h{i}").alias("hit_rate"))

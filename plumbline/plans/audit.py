@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plumbline.functions.columns import (
     PII_PATTERNS, categorical_columns, col, missing_flag, normalize_missing, numeric_columns)
 from plumbline.operators import dedup, drift, evidence, fairness, gate, labels, profile, quality, robust, scoring, series
-from plumbline.operators.distribution import ks_from_counts, melt, value_counts
 from plumbline.operators.security import table_fingerprint
 from plumbline.roles import Roles, TabularThresholds
 
@@ -42,9 +41,8 @@ def column_scan(df: DataFrame, roles: Roles, thresholds: TabularThresholds) -> D
     hits = [(c, p) for c in texts for p in PII_PATTERNS]
     row = df.agg(
         F.count(F.lit(1)).alias("rows"),
-        *[F.avg(missing_flag(df, c).cast("double")).alias(f"m{i}") for i, c in enumerate(df.columns)],
-        *[F.avg(F.when(col(c).isNotNull(), col(c).rlike(PII_PATTERNS[p]).cast("double"))).alias(f"h{i}")
-          for i, (c, p) in enumerate(hits)])
+        *[F.avg(missing_flag(df, c)).alias(f"m{i}") for i, c in enumerate(df.columns)],
+        *[F.avg(col(c).rlike(PII_PATTERNS[p]).cast("double")).alias(f"h{i}") for i, (c, p) in enumerate(hits)])
     rates = [F.col(f"m{i}") for i in range(len(df.columns))]
     flagged = {c: F.lit(False) for c in texts}
     for i, (c, _) in enumerate(hits):
@@ -65,29 +63,25 @@ def column_scan(df: DataFrame, roles: Roles, thresholds: TabularThresholds) -> D
 
 
 def numeric_passes(df: DataFrame, roles: Roles) -> list[DataFrame]:
-    """Outliers, drift and anomaly scores of the numeric columns, from shared value counts."""
+    """Outliers, drift and anomaly scores of the numeric columns.
+
+    Quartiles, medians and MADs (a few numbers per column) are fitted first; outlier rates and row
+    scores are then plain expressions over one more scan.
+    """
     columns = numeric_columns(df, roles.reserved)
     if not columns:
         return []
+    fences = robust.quartiles(df, columns)
+    parts = [emit(robust.outlier_rates(df, fences), metric("quality", "outliers_iqr", "outlier_rate", F.col("outlier_rate"), F.col("column")))]
     sliced = drift.with_slices(df, roles)
-    late = F.lit(None).cast("int")
-    if sliced is not None:
-        first, last = sliced.agg(F.min(drift.SLICE), F.max(drift.SLICE)).first()
-        if first != last:
-            label = F.col(drift.SLICE)
-            late = F.when(label == F.lit(first), 0).when(label == F.lit(last), 1)
-    frame = (sliced if sliced is not None else df).withColumn("_late", late)
-    counts = value_counts(melt(frame, columns, ["_late"]), ["column"],
-                          n_a=F.coalesce(1 - F.col("_late"), F.lit(0)), n_b=F.coalesce(F.col("_late"), F.lit(0)))
-    iqr = robust.iqr_from_counts(counts)
-    parts = [emit(iqr, metric("quality", "outliers_iqr", "outlier_rate", F.col("outlier_rate"), F.col("column")))]
     if sliced is not None:
-        ks = ks_from_counts(counts, ["column"]).filter(F.col("ks").isNotNull())
+        ks = drift.drift_first_last(sliced, columns, k=None)
         parts.append(emit(ks, metric("reliability", "numeric_drift_ks_first_last", "top_10_ks", F.col("ks"), F.col("column"))))
         by_slice = profile.missing_by_slice(sliced, drift.SLICE, df.columns)
         parts.append(emit(by_slice, metric("reliability", "missing_rate_by_slice", "missing_rate", F.col("missing_rate"), F.col("slice"))))
-    scores = robust.score_summary(robust.mad_scores(df, columns, []))
-    parts.append(emit(scores, *[metric("robustness", "row_anomaly_score_mad", k, F.col(k)) for k in ("mean", "p95", "p99", "max")]))
+    medians = {c: q[1] for c, q in fences.items()}
+    scored = df.select(robust.anomaly_score(df, robust.mad_centres(df, columns, medians)).alias("anomaly_score"))
+    parts.append(emit(robust.score_summary(scored), *[metric("robustness", "row_anomaly_score_mad", k, F.col(k)) for k in ("mean", "p95", "p99", "max")]))
     return parts
 
 

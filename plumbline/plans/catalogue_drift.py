@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import timestamp_of
 from plumbline.operators import drift, fairness, profile, quality, robust, security, series
-from plumbline.operators.distribution import melt, quantiles, value_counts
+from plumbline.operators.distribution import INTERVALS, melt, quantiles, value_counts
 from plumbline.plans.registry import query
 from plumbline.roles import Roles
 from plumbline.sources import fixtures as fx
@@ -290,7 +290,7 @@ _QUANT = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n_values
 @query(_QUANT)
 def exact_quantiles(spark, sf):
     counts = value_counts(melt(table(spark, sf, "lineitem"), _LINE), ["column"])
-    return quantiles(counts, ["column"], {"p10": 0.1, "median": 0.5, "p99": 0.99})
+    return quantiles(counts, ["column"], {"p10": 0.1, "median": 0.5, "p99": 0.99}, intervals=INTERVALS)
 
 
 @query(" UNION ALL ".join(
