@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from plumbline.plans import catalogue_drift, catalogue_quality, catalogue_scoring  # noqa: F401
+from plumbline.plans import catalogue_drift, catalogue_quality, catalogue_scoring, catalogue_validity  # noqa: F401
 from plumbline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
