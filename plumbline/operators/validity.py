@@ -33,7 +33,7 @@ def primary_metric(runs: DataFrame) -> DataFrame:
     joined = runs.join(rules, "fault").withColumn("primary_value", value)
     return joined.withColumns({
         "detected": F.col("primary_value") > F.col("level"),
-        "recommendation_hit": text.rlike(F.col("keywords"))}).drop("level", "keywords")
+        "recommendation_hit": F.rlike(text, F.col("keywords"))}).drop("level", "keywords")
 
 
 def aggregate_grid(grid: DataFrame) -> DataFrame:
