@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
@@ -11,12 +13,14 @@ from pyspark.ml.classification import (
     RandomForestClassifier)
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions.columns import as_double, col, is_nested, is_numeric, uniform
 from plumbline.operators.distribution import bounded_rows, roc_auc_from_counts
 from plumbline.operators.profile import _texts
 from plumbline.operators.series import positions
+from plumbline.sources.tables import written
 
 MAX_CLASSES = 50
 
@@ -118,18 +122,21 @@ def label_noise(df: DataFrame, label: str, features: Sequence[str], ids: Sequenc
         position.cast("double").alias("_y"), *[finite(c).alias(c) for c in numeric],
         *[col(c).cast("string").alias(c) for c in categorical])
     frame = stratified_folds(frame, [f"_id_{c}" for c in ids] or [*numeric, *categorical], seed, folds)
-    parts = []
-    for fold in range(folds):
+    frame = written(frame)
+
+    def out_of_fold(fold: int) -> DataFrame:
         train, held = frame.filter(F.col("_fold") != fold), frame.filter(F.col("_fold") == fold)
         model = LogisticRegression(featuresCol="_features", labelCol="_y", family="multinomial", maxIter=max_iter,
                                    regParam=folds / (total * (folds - 1.0)), elasticNetParam=0.0, standardization=False,
                                    probabilityCol="_prob", predictionCol="_pred", rawPredictionCol="_raw")
         fitted = Pipeline(stages=[*feature_stages(numeric, categorical), model]).fit(train)
-        parts.append(fitted.transform(held).select(
-            *[f"_id_{c}" for c in ids], "observed_label", F.col("_y").cast("int").alias("_y"), vector_to_array("_prob").alias("p")))
-    scored = parts[0]
-    for part in parts[1:]:
-        scored = scored.unionByName(part)
+        return fitted.transform(held).select(
+            *[f"_id_{c}" for c in ids], "observed_label", F.col("_y").cast("int").alias("_y"), vector_to_array("_prob").alias("p"))
+
+    # The folds are independent jobs; the driver only waits for them, Spark runs them side by side.
+    with ThreadPoolExecutor(folds) as pool:
+        parts = list(pool.map(inheritable_thread_target(frame.sparkSession)(out_of_fold), range(folds)))
+    scored = reduce(DataFrame.unionByName, parts)
     return LabelNoise(scored, classes, "", tuple(numeric), tuple(categorical), tuple(dropped))
 
 
@@ -237,13 +244,15 @@ def downstream_auc(train: DataFrame, test: DataFrame, label: str, features: Sequ
             col(label).cast("double").alias("_y"), *[as_double(df, c).alias(c) for c in features])
 
     stages = Pipeline(stages=feature_stages(features, [])).fit(prepared(train))
-    fit_on, held = stages.transform(prepared(train)), stages.transform(prepared(test))
-    out = None
-    for name, learner in learners(seed, len(features)).items():
-        if names is not None and name not in names:
-            continue
-        scored = learner.fit(fit_on.select("_y", "_features")).transform(held.select("_y", "_features"))
+    fit_on = written(stages.transform(prepared(train)).select("_y", "_features"))
+    held = written(stages.transform(prepared(test)).select("_y", "_features"))
+    panel = {n: m for n, m in learners(seed, len(features)).items() if names is None or n in names}
+
+    def score(name: str) -> DataFrame:
+        scored = panel[name].fit(fit_on).transform(held)
         column = "rawPrediction" if name == "LinearSVM" else "probability"
-        row = auc_of(scored, vector_to_array(column)[1], F.col("_y") == 1.0).select(F.lit(name).alias("model"), "auc")
-        out = row if out is None else out.unionByName(row)
-    return out
+        return auc_of(scored, vector_to_array(column)[1], F.col("_y") == 1.0).select(F.lit(name).alias("model"), "auc")
+
+    with ThreadPoolExecutor(4) as pool:
+        rows = list(pool.map(inheritable_thread_target(train.sparkSession)(score), panel))
+    return reduce(DataFrame.unionByName, rows)

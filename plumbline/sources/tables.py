@@ -80,6 +80,13 @@ def work_directory(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/plumbline-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cuts lineage: the rows as a table in the shared folder, computed once."""
+    path = work_directory(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 _written: dict[tuple[str, str], str] = {}
 
 
