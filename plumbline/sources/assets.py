@@ -147,11 +147,17 @@ def _unfilter(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np.n
 
 
 def _resized(grey: np.ndarray, size: int = 32) -> np.ndarray:
-    """Box average down (or nearest up) to a square."""
-    rows = np.linspace(0, grey.shape[0], size + 1).astype(int)
-    cols = np.linspace(0, grey.shape[1], size + 1).astype(int)
-    return np.array([[grey[r0:max(r1, r0 + 1), c0:max(c1, c0 + 1)].mean() for c0, c1 in zip(np.minimum(cols[:-1], grey.shape[1] - 1), cols[1:])]
-                     for r0, r1 in zip(np.minimum(rows[:-1], grey.shape[0] - 1), rows[1:])])
+    """Box average (nearest when enlarging) to a square, from the summed-area table."""
+    def edges(length: int) -> tuple[np.ndarray, np.ndarray]:
+        cuts = np.linspace(0, length, size + 1).astype(int)
+        low = np.minimum(cuts[:-1], length - 1)
+        return low, np.maximum(cuts[1:], low + 1)
+
+    area = np.zeros((grey.shape[0] + 1, grey.shape[1] + 1))
+    area[1:, 1:] = grey.cumsum(axis=0).cumsum(axis=1)
+    (r0, r1), (c0, c1) = edges(grey.shape[0]), edges(grey.shape[1])
+    sums = area[r1][:, c1] - area[r0][:, c1] - area[r1][:, c0] + area[r0][:, c0]
+    return sums / np.outer(r1 - r0, c1 - c0)
 
 
 def _perceptual_hash(grey: np.ndarray) -> str:
@@ -316,7 +322,7 @@ def xml_annotations(texts: DataFrame) -> DataFrame:
 
 def text_annotations(texts: DataFrame) -> DataFrame:
     """YOLO lines: a class and four numbers in [0, 1]."""
-    lines = texts.withColumn("line", F.explode(F.split(F.trim(F.regexp_replace("text", "\r", "")), "\n")))
+    lines = texts.withColumn("line", F.explode(F.split(F.regexp_replace("text", r"^\s+|\s+$", ""), "\n")))
     parts = F.split(F.trim("line"), r"\s+")
     numbers = F.transform(F.slice(parts, 2, 4), lambda p: p.try_cast("double"))
     good = (F.size(parts) >= 5) & F.forall(numbers, lambda v: F.coalesce((v >= 0) & (v <= 1), F.lit(False)))
