@@ -228,13 +228,14 @@ def report(metrics: DataFrame, thresholds: TabularThresholds = TabularThresholds
 
 def evidence_values(metrics: DataFrame, reports: DataFrame) -> DataFrame:
     """Dotted-path values of runs, extended by verdict, counts, score and group disparity."""
+    def entry(path: str, value: Column | None = None, text: Column | None = None) -> Column:
+        return F.struct(F.lit(path).alias("path"), (value if value is not None else F.lit(None)).cast("double").alias("value"),
+                        (text if text is not None else F.lit(None)).cast("string").alias("text"))
+
     top = reports.select("run_id", F.explode(F.array(
-        F.struct(F.lit("verdict").alias("path"), F.lit(None).cast("double").alias("value"), F.col("verdict").alias("text")),
-        F.struct(F.lit("findings"), F.size("findings").cast("double"), F.lit(None).cast("string")),
-        F.struct(F.lit("recommendations"), F.size("recommendations").cast("double"), F.lit(None).cast("string")),
-        F.struct(F.lit("score"), F.col("score").cast("double"), F.col("grade")),
-        F.struct(F.lit("config"), F.lit(1.0), F.lit(None).cast("string")),
-        F.struct(F.lit("dataset_name"), F.lit(None).cast("double"), F.col("dataset_name")))).alias("p")).select("run_id", "p.*")
+        entry("verdict", text=F.col("verdict")), entry("findings", F.size("findings")),
+        entry("recommendations", F.size("recommendations")), entry("score", F.col("score"), F.col("grade")),
+        entry("config", F.lit(1.0)), entry("dataset_name", text=F.col("dataset_name")))).alias("p")).select("run_id", "p.*")
     gap = metrics.filter("dimension = 'fairness' AND key IN ('positive_rate_disparity', 'max_label_parity_gap', 'max_missingness_disparity')")
     gap = gap.groupBy("run_id").agg(F.max("value").alias("value")).select(
         "run_id", F.lit("fairness.group_checks.max_disparity").alias("path"), "value", F.lit(None).cast("string").alias("text"))
