@@ -124,28 +124,22 @@ def near_duplicate_pairs(df: DataFrame, item: str, phash: str, max_distance: int
     hashes = (df.filter(col(phash).isNotNull()).groupBy(F.lower(col(phash)).alias("hash"))
               .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(col(item).alias("item"))).alias("ends_lo"),
                    F.max(F.struct(col(item).alias("item"))).alias("ends_hi")))
-    low_bits = 64 - 4 * block_digits
     segments = max_distance + 2
-    edges = [low_bits * i // segments for i in range(segments + 1)]
-    spans = list(zip(edges, edges[1:]))
-
-    def part(word: Column, i: int) -> Column:
-        lo, hi = spans[i]
-        return F.shiftrightunsigned(word, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
-
+    # Neighbouring bits are often correlated, so each segment takes every segments-th bit.
+    masks = [sum(1 << bit for bit in range(i, 64 - 4 * block_digits, segments)) for i in range(segments)]
     word = _hex_word(F.col("hash"))
     keys = F.array(*[
         F.struct(F.lit(1 << i).alias("bit"), F.lit((1 << j) - 1).alias("below"),
-                 part(word, i).alias("x"), part(word, j).alias("y"))
+                 word.bitwiseAND(F.lit(masks[i] | masks[j])).alias("bits"))
         for i, j in combinations(range(segments), 2)])
     probes = hashes.select(
         "hash", "n", F.struct("ends_lo", "ends_hi").alias("ends"), word.alias("word"),
         F.substring("hash", 1, block_digits).alias("block"), F.explode(keys).alias("k")).select(
-        "hash", "n", "ends", "word", "block", "k.bit", "k.below", "k.x", "k.y")
+        "hash", "n", "ends", "word", "block", "k.bit", "k.below", "k.bits")
     a, b = probes.alias("a"), probes.alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("block", "bit", "below", "x", "y")]
+    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("block", "bit", "below", "bits")]
     xor = F.col("a.word").bitwiseXOR(F.col("b.word"))
-    agreeing = sum((F.when(part(xor, i) == 0, 1 << i).otherwise(0) for i in range(segments)), F.lit(0))
+    agreeing = sum((F.when(xor.bitwiseAND(F.lit(m)) == 0, 1 << i).otherwise(0) for i, m in enumerate(masks)), F.lit(0))
     first_pair = agreeing.bitwiseAND(F.col("a.below")) == F.col("a.bit")
     same = F.col("a.hash") == F.col("b.hash")
     met = a.join(b, on + [F.col("a.hash") <= F.col("b.hash"), F.bit_count(xor) <= max_distance,
