@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -75,6 +76,9 @@ def nested_report(metrics: DataFrame) -> DataFrame:
 def work_directory(spark: SparkSession) -> str:
     """A fresh folder under the shared checkpoint directory of the session."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.startswith("local"):
+        root = tempfile.mkdtemp(prefix="plumbline-")  # one machine: its own folder is shared enough
+        spark.conf.set("spark.checkpoint.dir", root)
     if not root:
         raise ValueError("set spark.checkpoint.dir to a folder that every executor reaches")
     return f"{root.rstrip('/')}/plumbline-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
