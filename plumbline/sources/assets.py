@@ -291,7 +291,8 @@ def json_annotations(texts: DataFrame) -> DataFrame:
 
     style = (F.when(has("annotations") & has("images"), "coco").when(has("shapes"), "labelme")
              .when(F.col("keys").isNotNull(), "generic_json").when(F.col("items").isNotNull(), "json_array"))
-    names = F.from_json(F.get_json_object("text", "$.categories[*].name"), "array<string>")
+    listed = F.from_json(F.get_json_object("text", "$.categories"), "array<struct<name:string>>")
+    names = F.transform(listed, lambda c: F.coalesce(c["name"], F.lit("")))
     return _annotation(
         doc, path=F.col("path"), format=F.lit("json"), valid=F.col("ok"), style=F.when(F.col("ok"), style),
         annotations=F.when(style == "coco", size("annotations")).when(style == "labelme", size("shapes")).when(style == "json_array", F.col("items")),
