@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import bpe, exact_dedup, mixing, sentence_dedup, token_files
-from plumbline.llm.common import documents
+from plumbline.llm import bpe, exact_dedup, language, mixing, sentence_dedup, simhash, syncmers, token_files
+from plumbline.llm.common import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints and their connected components."""
+    return simhash.near_components(documents(spark, sf_dir))
+
+
 @query
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counting quotient filters, then comparison of the bytes."""
@@ -37,12 +43,26 @@ g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256 FROM d JOIN g ON d.t = g.t"""
 
 
+@query
+def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed syncmer fingerprints of every text and of its edited text."""
+    return syncmers.edited_fingerprints(documents(spark, sf_dir))
+
+
 @query
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE of every text and back."""
     return bpe.round_trip(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages by rank-order profiles that are learned from the documents that are not held out."""
+    out = held_out(F.col("doc_id"), 4)
+    docs = documents(spark, sf_dir).withColumn("held_out", out)
+    return language.identify(docs, ~F.col("held_out"), ["doc_id", "held_out"])
+
+
 @query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids written to ORC files and read back."""
