@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import bpe, exact_dedup, language, mixing, sentence_dedup, simhash, syncmers, token_files
+from plumbline.llm import bpe, exact_dedup, language, lattice_lm, mixing, sentence_dedup, simhash, syncmers, token_files
 from plumbline.llm.common import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op2_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of all texts under a subword lattice model of the documents that are not held out."""
+    return lattice_lm.score(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
 @query
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints and their connected components."""
@@ -72,10 +78,8 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources mixed to target weights; labelled quality makes a document more or less likely in the fractional epoch."""
-    docs = documents(spark, sf_dir).select("doc_id", "text", "source")
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
-    mixed = mixing.mix(mixing.labelled(docs, labels), F.col("quality_weight"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(documents(spark, sf_dir), labels)
 
 
 @query
