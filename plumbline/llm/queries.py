@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import bpe, exact_dedup, language, lattice_lm, mixing, sentence_dedup, simhash, syncmers, token_files
+from plumbline.llm import bpe, exact_dedup, language, lattice_lm, mixing, sentence_dedup, simhash, substring_dedup, syncmers, token_files
 from plumbline.llm.common import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes covered by repeated strings of 200 bytes are removed."""
+    return substring_dedup.substring_dedup(documents(spark, sf_dir)).drop("kept")
+
+
 @query
 def op2_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probabilities of all texts under a subword lattice model of the documents that are not held out."""
