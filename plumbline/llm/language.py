@@ -104,25 +104,26 @@ def fit(docs: DataFrame, profile: int = PROFILE, sample: int = SAMPLE) -> Profil
     return Profiles({k: np.array([g for _, g in sorted(v)], np.int64) for k, v in lists.items()})
 
 
-def _predicted(profiles: Profiles):
+def _predicted(profiles: Profiles, names: tuple[str, str]):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [profiles.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
             columns = [*batch.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], *names])
 
     return task
 
 
-def identify(docs: DataFrame, train: Column, keep: list[str] | None = None, profile: int = PROFILE, sample: int = SAMPLE) -> DataFrame:
-    """The columns ``keep`` (doc_id by default) of every row of (doc_id, text, lang, ...), with lang_pred and score.
+def identify(docs: DataFrame, train: Column, keep: list[str] | None = None, profile: int = PROFILE, sample: int = SAMPLE,
+             names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` (doc_id by default) of every row of (doc_id, text, lang, ...), with lang_pred and score under the given names.
 
     Profiles are learned from rows where ``train`` holds and text and lang are there; only the text is used to predict. A text that is null or
     has no letter gets ``und`` and score 0, as do all where nothing could be learned. Repeated rows get a row each.
     """
-    keep = keep or ["doc_id"]
+    keep = [c for c in keep or ["doc_id"] if c not in names]
     profiles = fit(docs.filter(train), profile, sample)
     source = docs.select(*keep, F.col("text").alias("_read"))
     schema = [f for f in source.schema if f.name != "_read"]
     spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return source.mapInArrow(_predicted(profiles), f"{spec}, lang_pred string, score double")
+    return source.mapInArrow(_predicted(profiles, names), f"{spec}, {names[0]} string, {names[1]} double")

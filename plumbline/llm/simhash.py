@@ -214,6 +214,8 @@ def near_components(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame
 
 
 def without_near_copies(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
-    """The rows of a table that stay: of each component the one whose id names it; all columns. Ids must be distinct."""
-    stays = near_components(docs, size, seed).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(stays.withColumnRenamed("doc_id", "_stays"), F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
+    """The rows of a table that stay, with all columns: of each component the one whose id names it; of rows that repeat that id, one."""
+    stays = near_components(docs, size, seed).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return (docs.withColumn("_stays", name).join(stays.select(name.alias("_stays")).distinct(), "_stays", "left_semi")
+            .dropDuplicates(["_stays"]).drop("_stays"))
