@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plumbline.llm.common import WORD, text_of
+from plumbline.llm.common import WORD, cut, text_of
 
 BUCKETS = 4096
 
@@ -46,37 +46,41 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], total: float, mos
             .select("skey", "source_size", "target"))
 
 
-def mix(docs: DataFrame, quality: Column | None = None, weights: Sequence[float] = (5, 2, 1), total: float = 1.5,
-        most: float = 2.0, salt: str = "mix") -> DataFrame:
-    """Adds size, source_size, target and taken to every row of (doc_id, text, source, ...).
+def mix(docs: DataFrame, labels: DataFrame | None = None, weights: Sequence[float] = (5, 2, 1), total: float = 1.5,
+        most: float = 2.0, salt: str = "mix", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns ``carry`` of every row of (doc_id, text, source, ...), with size, source_size, target and taken.
 
     ``size`` is the number of words; sources in code point order (null last) carry ``weights`` in turn and share ``total``
     times all words, none above ``most`` times its own. ``taken`` counts the words that the mix takes of a document: its
     complete epochs, plus what falls below the rest of the budget in key order. The document at the budget's edge is taken
-    in part, so a source's taken words equal its rounded target. Documents without words take 0. ``quality`` (default 1)
-    must be positive; null and other values count as 1. Rows that
-    repeat an id and its text share a key; their order does not matter. Other columns pass through; columns with the four new
-    names are replaced. An empty table gives an empty table.
+    in part, so a source's taken words equal its rounded target. Documents without words take 0. ``labels`` (doc_id,
+    quality) weigh the draw: 2 where good, 0.5 where bad, 1 where unknown; of several labels the best. Rows that repeat an
+    id and its text share a key; their order does not matter. An empty table gives an empty table. Texts move only if
+    carried.
     """
-    new = ("size", "source_size", "target", "taken")
-    base = docs.drop(*new)
-    weight = F.lit(1.0) if quality is None else F.when(quality > 0, quality.cast("double")).otherwise(F.lit(1.0))
-    weight = F.coalesce(weight, F.lit(1.0))
-    draw = -F.log(uniform(salt, F.col("doc_id"), text_of())) / weight
-    rows = (base.withColumn("size", word_count(text_of()))
-            .withColumn("_skey", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")))
-            .withColumn("_draw", draw)
+    kept = [c for c in carry if c not in ("size", "source_size", "target", "taken")]
+    base = docs.select(F.struct(*kept).alias("_carried"), F.col("source").alias("_source"), F.col("doc_id").alias("_id"), word_count(text_of()).alias("size"),
+                       uniform(salt, F.col("doc_id"), text_of()).alias("_uniform"))
+    if "text" not in kept:
+        base = cut(base)  # small rows, read by all that follows
+    weight = F.lit(1.0)
+    if labels is not None:
+        best = labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_labelled")).agg(F.max("quality").alias("_quality"))
+        base = base.join(best, F.col("_id") == F.col("_labelled"), "left")
+        weight = F.when(F.col("_quality") >= 1, 2.0).when(F.col("_quality") < 1, 0.5).otherwise(1.0)
+    rows = (base.withColumn("_draw", -F.log("_uniform") / weight)
+            .withColumn("_skey", F.coalesce(F.concat(F.lit("s"), F.col("_source")), F.lit("")))
             .withColumn("_bucket", F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("_draw"))) * BUCKETS)).cast("int")))
-    sums = (rows.groupBy("_skey", "_bucket").agg(F.sum("size").alias("bucket_size"), F.first("source").alias("source")))
+    sums = (rows.groupBy("_skey", "_bucket").agg(F.sum("size").alias("bucket_size"), F.first("_source").alias("source")))
     sizes = sums.groupBy(F.col("_skey").alias("skey")).agg(F.first("source").alias("source"),
                                                            F.sum("bucket_size").alias("source_size"))
     plan = source_targets(sizes, weights, total, most)
     earlier = Window.partitionBy("_skey").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = (sums.withColumn("_before", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)))
                .join(plan, F.col("_skey") == plan["skey"])
-               .select(F.col("_skey").alias("k"), F.col("_bucket").alias("b"), "_before", "source_size", "target"))
-    joined = rows.join(buckets, (F.col("_skey") == F.col("k")) & (F.col("_bucket") == F.col("b")))
-    inside = (Window.partitionBy("_skey", "_bucket").orderBy("_draw", "doc_id", "size")
+               .select(F.col("_skey").alias("_k"), F.col("_bucket").alias("_b"), "_before", "source_size", "target"))
+    joined = rows.join(buckets, (F.col("_skey") == F.col("_k")) & (F.col("_bucket") == F.col("_b")))
+    inside = (Window.partitionBy("_skey", "_bucket").orderBy("_draw", "_id", "size")
               .rowsBetween(Window.unboundedPreceding, -1))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     left = F.round("target").cast("long") - F.col("_epochs") * F.col("source_size")
@@ -84,7 +88,7 @@ def mix(docs: DataFrame, quality: Column | None = None, weights: Sequence[float]
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left - F.col("_done")))
     return (joined.withColumn("_epochs", epochs).withColumn("_done", done)
             .withColumn("taken", F.col("_epochs") * F.col("size") + part)
-            .select(*base.columns, "size", "source_size", "target", "taken"))
+            .select("_carried.*", "size", "source_size", "target", "taken"))
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
@@ -97,10 +101,3 @@ def repeated(mixed: DataFrame) -> DataFrame:
     words = F.slice(F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), F.col("_part").cast("int"))
     return rows.withColumn("text", F.when(F.col("_part").isNull(), F.col("text")).otherwise(F.array_join(words, ""))).drop("_part")
 
-
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Adds ``quality_weight``: 2 where the label says good, 1 where unknown, 0.5 where it says bad; several labels: the best."""
-    best = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_q"))
-    return (docs.drop("quality_weight").join(best, F.col("doc_id") == F.col("_id"), "left")
-            .withColumn("quality_weight", F.when(F.col("_q") >= 1, 2.0).when(F.col("_q") < 1, 0.5).otherwise(1.0))
-            .drop("_id", "_q"))
