@@ -19,6 +19,8 @@ from plumbline.llm.common import ascii_lower, partitions, text_of
 
 #: Fingerprints that a partition gathers before it gives its filters out; more fill further filters.
 GATHER = 1 << 21
+#: Tasks that the rows of one fingerprint are dealt to before their texts are counted.
+SALTS = 16
 
 
 @dataclass
@@ -153,7 +155,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     slim = (rows.select("doc_id", "print", F.sha2("normal", 256).alias("text_sha256"))
             .groupBy("doc_id", "print", "text_sha256").agg(F.count(F.lit(1)).alias("copies")))
     again = repeated_fingerprints(rows.select("print")).select("print")
-    compared = (rows.join(again, "print", "left_semi").groupBy("print", "normal")
+    # a fingerprint may stand for a third of all texts: its rows go to several tasks, and meet only as counts of each text
+    salts = again.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
+    compared = (salted.join(salts, ["print", "_salt"], "left_semi").groupBy("print", "normal")
                 .agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id"))
                 .select(F.col("print").alias("_print"), F.sha2("normal", 256).alias("_sha"), "group_size", "keep_id"))
     same = (F.col("print") == F.col("_print")) & (F.col("text_sha256") == F.col("_sha"))
