@@ -170,10 +170,6 @@ def schema_delta(a: DataFrame, b: DataFrame) -> DataFrame:
         "dtype_a", "dtype_b")
 
 
-def inject_copies(df: DataFrame, copies: DataFrame) -> DataFrame:
-    return df.unionByName(copies)
-
-
 def path_stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, "[^/]+$", 0), r"(?<=.)\.[^.]*$", "")
 

@@ -7,8 +7,9 @@ then turns counts into running totals per key by cutting every key's value range
 summing inside the intervals in parallel, and adding the (tiny) totals of the preceding intervals.
 No task ever sorts more than one interval of one key.
 
-The cut points are the values with the smallest hashes. They depend on the data alone, so each
-branch of the plan and each retried task sees the same intervals.
+There are as many intervals as shuffle partitions, whatever the data's size. The cut points are a sample of the
+values by hash: of each hash bucket the value with the smallest second hash, and of the sorted sample every
+fourth. They depend on the data alone, so each branch of the plan and each retried task sees the same intervals.
 """
 
 from __future__ import annotations
@@ -19,8 +20,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions.columns import as_double, col
 
-INTERVALS = 64
-SMALL_BYTES = 256 << 20
+SAMPLED = 4  # sampled values for each cut point, so that intervals are of nearly the same size
+
+
+def interval_count(df: DataFrame) -> int:
+    """One interval for each task of a shuffle."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def bounded_rows(df: DataFrame, at_most: int) -> list:
@@ -65,48 +70,46 @@ def with_totals(df: DataFrame, by: Sequence[str] = (), **sums: Column) -> DataFr
     return df.join(renamed, same).drop(*[f"_by{i}" for i in range(len(by))])
 
 
-def in_intervals(df: DataFrame, keys: Sequence[str], order: str, few_keys: bool = True,
-                 intervals: int = INTERVALS) -> DataFrame:
+def joined(df: DataFrame, other: DataFrame, keys: Sequence[str], small: bool = False) -> DataFrame:
+    """Inner join in which null keys meet; ``small`` states that the other side is bounded by the schema."""
+    renamed = other.withColumnsRenamed({k: f"_key{i}" for i, k in enumerate(keys)})
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & col(k).eqNullSafe(F.col(f"_key{i}"))
+    return df.join(F.broadcast(renamed) if small else renamed, same).drop(*[f"_key{i}" for i in range(len(keys))])
+
+
+def in_intervals(df: DataFrame, keys: Sequence[str], order: str, few_keys: bool = False,
+                 intervals: int | None = None) -> DataFrame:
     """Adds ``_slot``, the interval of ``order`` within its key; slots are ordered like the values.
 
     ``df`` holds one row per (keys, order).
     """
-    lowest = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.xxhash64(order), F.col(order))
-    cuts = (df.select(*keys, order)
-            .withColumn("_r", F.row_number().over(lowest)).filter(F.col("_r") < intervals)
-            .groupBy(*keys).agg(F.collect_list(order).alias("_cuts")))
+    count = intervals or interval_count(df)
+    bucket = F.pmod(F.xxhash64(order), F.lit(SAMPLED * count)).alias("_bucket")
+    sample = df.groupBy(*keys, bucket).agg(F.min(F.struct(F.xxhash64(F.lit(1), col(order)), col(order).alias("v"))).alias("_s"))
+    cuts = sample.groupBy(*keys).agg(F.sort_array(F.collect_list("_s.v")).alias("_all")).select(
+        *keys, F.filter("_all", lambda v, i: i % SAMPLED == SAMPLED - 1).alias("_cuts"))
     if keys:
-        joined = df.join(F.broadcast(cuts) if few_keys else cuts, list(keys))
+        placed = joined(df, cuts, keys, few_keys)
     else:
-        joined = df.withColumn("_cuts", cuts.select("_cuts").scalar())
-    slot = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
-    return joined.withColumn("_slot", slot).drop("_cuts")
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a frame; it errs towards too large, and needs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        placed = df.withColumn("_cuts", cuts.select("_cuts").scalar())
+    wide = max(1, round(count ** 0.5))  # first among every wide-th cut, then among those after it
+    heads = F.filter("_cuts", lambda c, i: (i % wide == 0) & (c < col(order)))
+    at = (F.size(heads) - 1) * wide
+    within = F.size(F.filter(F.slice("_cuts", F.greatest(at, F.lit(0)) + 1, F.lit(wide)), lambda c: c < col(order)))
+    return placed.withColumn("_slot", F.when(at < 0, 0).otherwise(at + within)).drop("_cuts")
 
 
 def running_totals(counts: DataFrame, keys: Sequence[str], order: str, measures: Sequence[str] = ("n",),
-                   only=None, few_keys: bool = True, intervals: int | None = None) -> DataFrame:
+                   only=None, few_keys: bool = False, intervals: int | None = None) -> DataFrame:
     """Adds ``cum_<m>`` (inclusive running total) and ``all_<m>`` (total of the key).
 
-    ``counts`` holds one row per (keys, order). Inputs estimated below ``SMALL_BYTES`` take one plain
-    window; everything else is cut into intervals. ``few_keys`` states that the number of keys is
-    bounded by the schema (columns, scenarios), which bounds the broadcast interval table; otherwise
-    Spark chooses the join by size. ``only(before, size, total)`` (SQL text in, SQL text out) keeps
-    just the intervals that a query needs.
+    ``counts`` holds one row per (keys, order). ``few_keys`` states that the number of keys is bounded by the schema (a key
+    per column), which bounds the broadcast interval table by columns x shuffle partitions; otherwise Spark chooses the
+    join by size. ``only(before, size, total)`` (SQL text in, SQL text out) keeps just the intervals that a query needs.
     """
     keys = list(keys)
-    if intervals is None:
-        intervals = 1 if estimated_bytes(counts) <= SMALL_BYTES else INTERVALS
-    if intervals == 1:
-        w = Window.partitionBy(*keys).orderBy(order)
-        t = Window.partitionBy(*keys)
-        return counts.select("*", *[F.sum(m).over(w).alias(f"cum_{m}") for m in measures],
-                             *[F.sum(m).over(t).alias(f"all_{m}") for m in measures])
-    hint = F.broadcast if few_keys else (lambda frame: frame)
     placed = in_intervals(counts, keys, order, few_keys, intervals)
     whole, before = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_slot")
     slots = placed.groupBy(*keys, "_slot").agg(*[F.sum(m).alias(f"_size_{m}") for m in measures])
@@ -118,15 +121,20 @@ def running_totals(counts: DataFrame, keys: Sequence[str], order: str, measures:
         m = measures[0]
         slots = slots.filter(only(f"_before_{m}", f"_size_{m}", f"all_{m}"))
     inner = Window.partitionBy(*keys, "_slot").orderBy(order)
-    located = placed.join(hint(slots), [*keys, "_slot"])
+    located = joined(placed, slots, [*keys, "_slot"], few_keys)
     return located.select(
         *[col(c) for c in counts.columns],
         *[(F.sum(m).over(inner) + F.col(f"_before_{m}")).alias(f"cum_{m}") for m in measures],
         *[F.col(f"all_{m}") for m in measures])
 
 
+def by_column(keys: Sequence[str], few_keys: bool | None) -> bool:
+    """Whether the keys are bounded by the schema: a row for each column."""
+    return list(keys) in (["column"], ["key"]) if few_keys is None else few_keys
+
+
 def quantiles(counts: DataFrame, keys: Sequence[str], points: Mapping[str, float], value: str = "value",
-              few_keys: bool = True, intervals: int | None = None) -> DataFrame:
+              few_keys: bool | None = None, intervals: int | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles per key, one output column per point.
 
     Only the intervals that hold a wanted rank are sorted.
@@ -138,7 +146,7 @@ def quantiles(counts: DataFrame, keys: Sequence[str], points: Mapping[str, float
         return " OR ".join(f"({before} <= {r} AND {r} < {before} + {size})"
                            for p in points.values() for r in ranks(p, total))
 
-    ranked = running_totals(counts, keys, value, ("n",), wanted, few_keys, intervals)
+    ranked = running_totals(counts, keys, value, ("n",), wanted, by_column(keys, few_keys), intervals)
     parts = ["max(all_n) AS n_values"]
     for name, p in points.items():
         for side, r in zip(("lo", "hi"), ranks(p, "all_n")):
@@ -150,9 +158,9 @@ def quantiles(counts: DataFrame, keys: Sequence[str], points: Mapping[str, float
 
 
 def ks_from_counts(counts: DataFrame, keys: Sequence[str], side_a: str = "n_a", side_b: str = "n_b",
-                   value: str = "value", minimum: int = 20, intervals: int | None = None) -> DataFrame:
+                   value: str = "value", minimum: int = 20, few_keys: bool | None = None, intervals: int | None = None) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance per key; null when a side is too small."""
-    ranked = running_totals(counts, keys, value, (side_a, side_b), intervals=intervals)
+    ranked = running_totals(counts, keys, value, (side_a, side_b), few_keys=by_column(keys, few_keys), intervals=intervals)
     gap = (f"max(CASE WHEN all_{side_a} >= {minimum} AND all_{side_b} >= {minimum} "
            f"THEN abs(cum_{side_a} / all_{side_a} - cum_{side_b} / all_{side_b}) END) AS ks")
     return ranked.groupBy(*keys).agg(F.expr(gap), F.max(f"all_{side_a}").alias(side_a), F.max(f"all_{side_b}").alias(side_b))
@@ -169,7 +177,7 @@ def ks_p_value(ks: Column, n_a: Column, n_b: Column, terms: int = 100) -> Column
 
 
 def roc_auc_from_counts(counts: DataFrame, keys: Sequence[str], score: str = "score", pos: str = "pos",
-                        neg: str = "neg", few_keys: bool = True, intervals: int | None = None) -> DataFrame:
+                        neg: str = "neg", few_keys: bool = False, intervals: int | None = None) -> DataFrame:
     """Exact ROC area (ties averaged) and average precision per key from class counts per score."""
     ranked = running_totals(counts, keys, score, (pos, neg), few_keys=few_keys, intervals=intervals)
     p, q = F.col(f"all_{pos}"), F.col(f"all_{neg}")

@@ -156,7 +156,7 @@ def prepare(df: DataFrame, label: str, key: str, max_features: int = 50, max_row
     major = counts.orderBy(F.desc("n"), "c").limit(1).first()["c"]
     features = numeric_columns(df, [label, key])
     if len(features) > max_features:
-        features = [r["column"] for r in numeric_variances(df, features, max_features).collect()]
+        features = [r["column"] for r in bounded_rows(numeric_variances(df, features, max_features), max_features)]
     out = df.filter(col(label).isNotNull()).select(
         key, *[as_double(df, c).alias(c) for c in features], (col(label) == major).cast("int").alias("target"))
     return out if max_rows_per_class is None else stratified_sample(out, "target", [uniform(seed, col(key)), col(key)], max_rows_per_class)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -135,11 +135,13 @@ def _change(before: Column, after: Column) -> list[Column]:
             .when(delta < 0, "improved").otherwise("worse").alias("direction")]
 
 
-def compare_runs(base: DataFrame, candidate: DataFrame) -> DataFrame:
-    """Two metric tables (metric, value) side by side, whatever each of them lacks."""
+def compare_runs(base: DataFrame, candidate: DataFrame, names: Sequence[str] = tuple(COMPARED)) -> DataFrame:
+    """Two metric tables (metric, value) side by side: a row for each compared name, whatever each of them lacks."""
+    listed = base.sparkSession.createDataFrame([(n,) for n in names], "metric string")
     a = base.select("metric", F.col("value").alias("before"))
     b = candidate.select("metric", F.col("value").alias("after"))
-    return a.join(b, "metric", "full_outer").select("metric", "before", "after", *_change(F.col("before"), F.col("after")))
+    return (listed.join(a, "metric", "left").join(b, "metric", "left")
+            .select("metric", "before", "after", *_change(F.col("before"), F.col("after"))))
 
 
 def compare_findings(history: DataFrame) -> DataFrame:

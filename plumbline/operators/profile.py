@@ -175,9 +175,11 @@ def split_coverage(df: DataFrame, split: str) -> DataFrame:
     return framed.select("split", "n", (F.col("_assigned") / F.col("_rows")).alias("split_coverage"))
 
 
-def entity_counts(df: DataFrame, entities: Sequence[str], k: int = 10) -> DataFrame:
-    """Largest entities by rows."""
+def entity_counts(df: DataFrame, entities: Sequence[str], k: int | None = 10) -> DataFrame:
+    """Largest entities by rows; all of them, in no order, without ``k``."""
     counts = df.groupBy(*entities).agg(F.count(F.lit(1)).alias("n"))
+    if k is None:
+        return counts
     return counts.orderBy(F.desc("n"), *[F.asc_nulls_first(e) for e in entities]).limit(k)
 
 
@@ -200,10 +202,6 @@ def task_type(df: DataFrame, label: str) -> DataFrame:
         .otherwise(F.concat(F.lit("Label selected (card="), d.cast("string"), F.lit(")"))).alias("task_type"))
 
 
-def preview(df: DataFrame, n: int = 20) -> DataFrame:
-    return df.limit(n)
-
-
 def sample_ids(df: DataFrame, ids: Sequence[str]) -> DataFrame:
     """Adds a composite sample id; a missing part reads ``<missing>``."""
     parts = [F.coalesce(col(c).cast("string"), F.lit("<missing>")) for c in ids]

@@ -27,9 +27,9 @@ def pii_findings(rates: DataFrame, threshold: float = 0.01) -> DataFrame:
     return rates.filter(F.col("hit_rate") >= threshold)
 
 
-def keyed_sample(df: DataFrame, key: Sequence[Column], seed: int, k: int) -> DataFrame:
-    """Reproducible sample of k rows in hash order (a distributed top-k, no global sort)."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(k)
+def keyed_sample(df: DataFrame, key: Sequence[Column], seed: int, k: int, draw: Column | None = None) -> DataFrame:
+    """Reproducible sample of k rows in the order of ``draw``, by default a hash (a distributed top-k, no global sort)."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *key) if draw is None else draw, *key).limit(k)
 
 
 def stratified_sample(df: DataFrame, stratum: str, order: Sequence[Column], k: int) -> DataFrame:

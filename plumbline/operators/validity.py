@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -128,9 +128,9 @@ def fisher_mean(df: DataFrame, keys: Sequence[str], r: str) -> DataFrame:
     return df.filter(col(r).isNotNull()).groupBy(*keys).agg(F.tanh(F.avg(F.atanh(clipped))).alias("fisher_mean"))
 
 
-def _replicates(df: DataFrame, unit: Sequence[str], replicates: int, seed: int) -> DataFrame:
-    """Poisson(1) resampling weights per unit and replicate, from hashes."""
-    u = uniform(seed, F.col("replicate"), *[col(c) for c in unit])
+def _replicates(df: DataFrame, unit: Sequence[str], replicates: int, seed: int, draw: Column | None) -> DataFrame:
+    """Poisson(1) resampling weights per unit and replicate, from hashes or a given draw."""
+    u = uniform(seed, F.col("replicate"), *[col(c) for c in unit]) if draw is None else draw
     weight, mass, term = F.lit(0), 0.36787944117144233, 0.36787944117144233
     for k in range(1, 9):
         weight = weight + (u >= mass).cast("int")
@@ -141,14 +141,16 @@ def _replicates(df: DataFrame, unit: Sequence[str], replicates: int, seed: int)
 
 
 def bootstrap_correlation(df: DataFrame, keys: Sequence[str], x: str, y: str, unit: Sequence[str],
-                          replicates: int = 200, seed: int = 7) -> DataFrame:
+                          replicates: int = 200, seed: int = 7, draw: Column | None = None) -> DataFrame:
     """Percentile interval of a correlation; ``unit`` names what is resampled (row id, cluster, seed).
 
+    ``draw``, a number in [0, 1) from ``replicate`` and the unit, replaces the hash. Meant for run tables: rows are multiplied by the replicates.
+
     Weighted sums make each replicate one aggregate: rows never travel more than once per replicate.
     """
     sums = {"n": F.col("weight"), "x": F.col("weight") * col(x), "y": F.col("weight") * col(y),
             "xx": F.col("weight") * col(x) * col(x), "yy": F.col("weight") * col(y) * col(y), "xy": F.col("weight") * col(x) * col(y)}
-    moments = _replicates(df, unit, replicates, seed).groupBy(*keys, "replicate").agg(
+    moments = _replicates(df, unit, replicates, seed, draw).groupBy(*keys, "replicate").agg(
         *[F.sum(e.cast("double")).alias(f"_{k}") for k, e in sums.items()])
     vx, vy = F.col("_xx") - F.col("_x") ** 2 / F.col("_n"), F.col("_yy") - F.col("_y") ** 2 / F.col("_n")
     r = F.when((vx > 1e-12) & (vy > 1e-12), (F.col("_xy") - F.col("_x") * F.col("_y") / F.col("_n")) / F.sqrt(vx * vy))
@@ -158,18 +160,21 @@ def bootstrap_correlation(df: DataFrame, keys: Sequence[str], x: str, y: str, un
     return quantiles(value_counts(values, list(keys)), list(keys), {"ci_low": 0.025, "ci_high": 0.975})
 
 
-def permutation_p(df: DataFrame, x: str, y: str, key: Sequence[str], permutations: int = 200, seed: int = 7) -> DataFrame:
+def permutation_p(df: DataFrame, x: str, y: str, key: Sequence[str], permutations: int = 200, seed: int = 7,
+                  draw: Callable[[Column], Column] | None = None) -> DataFrame:
     """Two-sided permutation p-value of a correlation over a run table.
 
     In each permutation the k-th x in one hash order meets the y that is k-th in another; permutation
-    0 uses the same order twice and gives the observed value.
+    0 uses the same order twice and gives the observed value. ``draw`` of a permutation's number replaces the hashes. Rows are multiplied
+    by the permutations.
     """
     names = list(key)
     rows = df.filter(col(x).isNotNull() & col(y).isNotNull()).select(*names, x, y)
     spread = rows.withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
     keys = [col(k) for k in names]
-    fixed = uniform(seed, *keys)
-    mixed = F.when(F.col("permutation") == 0, fixed).otherwise(uniform(seed + 1, F.col("permutation"), *keys))
+    fixed = uniform(seed, *keys) if draw is None else draw(F.lit(0))
+    other = uniform(seed + 1, F.col("permutation"), *keys) if draw is None else draw(F.col("permutation"))
+    mixed = F.when(F.col("permutation") == 0, fixed).otherwise(other)
 
     def placed(order: Column, value: str) -> DataFrame:
         tagged = spread.withColumn("_u", order)
@@ -312,7 +317,7 @@ def supervision_summary(log: DataFrame, drift_t: int | None, costs: Mapping[str,
 
 
 def supervision_score(summary: DataFrame) -> DataFrame:
-    """Heuristic 0-100 score of a supervision run."""
+    """Heuristic 0-100 score of a supervision run; 0 for an empty log."""
     sym = F.col("method") == "Symbiosis-Edge"
     row = summary.agg(*[F.max(F.when(sym, F.col(c))).alias(c) for c in ("acc", "lift", "roi")],
                       F.collect_set("method").alias("_m"))
@@ -320,7 +325,7 @@ def supervision_score(summary: DataFrame) -> DataFrame:
     score = (50 + F.when(F.col("acc") > 0.80, 15).when(F.col("acc") > 0.70, 8).otherwise(0)
              + F.when(F.col("lift") > 0.10, 15).when(F.col("lift") > 0.05, 8).otherwise(0)
              + F.when(F.col("roi") > 0.001, 10).otherwise(0) - 5 * missing)
-    bounded = F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("bigint")
+    bounded = F.when(F.size("_m") == 0, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), score))).cast("bigint")
     from plumbline.operators.scoring import grade
     return row.select(bounded.alias("total"), grade(bounded).alias("grade"))
 

@@ -155,13 +155,6 @@ def annotation_consistency(spark, sf):
 
 # roles
 
-@query()
-def role_scores(spark, sf):
-    """Score of every column for every role of a table."""
-    docs = fx.doc_labels(spark, sf).withColumnRenamed("quality", "label").withColumnRenamed("doc_id", "doc id")
-    return suggest.role_scores(docs.drop("text")).select("role", "column", "score")
-
-
 @query("""WITH c AS (SELECT 'split' AS "column", split AS v FROM faulted UNION ALL SELECT 'o_orderpriority', lower(o_orderpriority) FROM faulted WHERE o_orderpriority IS NOT NULL)
 SELECT "column", max(regexp_matches(v, 'train|test|val|valid|dev')::INT) = 1 AS split_like FROM c GROUP BY 1""".replace("WITH c", "WITH " + fx.FAULTED_SQL + ", c"))
 def split_value_sniffing(spark, sf):

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import timestamp_of
 from plumbline.operators import drift, fairness, profile, quality, robust, security, series
-from plumbline.operators.distribution import INTERVALS, melt, quantiles, value_counts
-from plumbline.plans.registry import query
+from plumbline.operators.distribution import melt, quantiles, value_counts
+from plumbline.plans.registry import ORACLES, query
 from plumbline.roles import Roles
 from plumbline.sources import fixtures as fx
 from plumbline.sources.fixtures import table
@@ -290,7 +290,7 @@ _QUANT = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n_values
 @query(_QUANT)
 def exact_quantiles(spark, sf):
     counts = value_counts(melt(table(spark, sf, "lineitem"), _LINE), ["column"])
-    return quantiles(counts, ["column"], {"p10": 0.1, "median": 0.5, "p99": 0.99}, intervals=INTERVALS)
+    return quantiles(counts, ["column"], {"p10": 0.1, "median": 0.5, "p99": 0.99})
 
 
 @query(" UNION ALL ".join(
@@ -346,6 +346,15 @@ def rare_category_concentration(spark, sf):
     return robust.rare_categories(docs, "quality")
 
 
+_RARE = ORACLES["rare_category_concentration"]
+
+
+@query(_RARE + ' ORDER BY top_label_share DESC, "count" DESC, "column", value LIMIT 20')
+def top_rare_categories(spark, sf):
+    """The twenty findings of largest concentration."""
+    return robust.top_rare_categories(rare_category_concentration(spark, sf))
+
+
 _COND = """WITH l AS (SELECT 'event_type' AS "column", event_type AS value FROM events UNION ALL SELECT 'weekday', CAST(isodow(ts) AS VARCHAR) FROM events),
 c AS (SELECT "column", value, count(*) AS n FROM l GROUP BY 1, 2),
 s AS (SELECT *, n / sum(n) OVER (PARTITION BY "column") AS p, 1.0 / count(*) OVER (PARTITION BY "column") AS q FROM c)
@@ -515,10 +524,11 @@ def declared_identifiers(spark, sf):
     return security.declared_identifiers(table(spark, sf, "events"), ["user_id"])
 
 
-@query()
+@query("SELECT doc_id, lang FROM documents ORDER BY (doc_id * 7919 + 733103) % 1000003, doc_id LIMIT 2000")
 def keyed_row_sample(spark, sf):
-    """Sampling operator: 2000 documents in hash order (no SQL twin, the hash is Spark's)."""
-    return security.keyed_sample(table(spark, sf, "documents").select("doc_id", "lang"), [F.col("doc_id")], 7, 2000)
+    """Sampling operator: 2000 documents in the order of a draw from their keys."""
+    draw = F.pmod(F.col("doc_id") * 7919 + 733103, F.lit(1000003))
+    return security.keyed_sample(table(spark, sf, "documents").select("doc_id", "lang"), [F.col("doc_id")], 7, 2000, draw)
 
 
 @query("""WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id * 7919 % 1009, doc_id) AS r FROM documents)
@@ -530,7 +540,7 @@ def stratified_sample(spark, sf):
 
 @query("SELECT source, count(*) AS n, round(count(*) / (SELECT count(*) FROM documents), 6) AS share FROM documents GROUP BY 1 HAVING count(*) > 0.03 * (SELECT count(*) FROM documents)")
 def dominant_sources(spark, sf):
-    return security.share_above(profile.entity_counts(table(spark, sf, "documents"), ["source"], 1000), "n", [], 0.03)
+    return security.share_above(profile.entity_counts(table(spark, sf, "documents"), ["source"], None), "n", [], 0.03)
 
 
 

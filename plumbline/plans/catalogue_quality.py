@@ -291,7 +291,7 @@ def top_duplicate_hashes(spark, sf):
 
 def _fingerprints(spark, sf):
     """The hash column as a scan would store it: computed once, then read."""
-    return materialized(spark, f"fingerprints:{sf}", lambda: fx.text_fingerprints(spark, sf))
+    return materialized(spark, f"fingerprints:{sf}", lambda: fx.text_fingerprints(spark, sf), (table(spark, sf, "documents"),))
 
 
 _NEAR = "WITH " + fx.FINGERPRINT_SQL + """, p AS (SELECT a.phash AS hash_a, b.phash AS hash_b,

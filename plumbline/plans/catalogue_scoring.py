@@ -81,7 +81,7 @@ def _orders_audit(spark, sf, **options):
 
 def _orders_metrics(spark, sf):
     """The metric table of the full audit as reports read it: written once, then scanned."""
-    return materialized(spark, f"audit:{sf}", lambda: _orders_audit(spark, sf))
+    return materialized(spark, f"audit:{sf}", lambda: _orders_audit(spark, sf), (fx.table(spark, sf, "orders"),))
 
 
 @query(_AUDIT + " SELECT 'orders' AS run_id, 'orders' AS dataset, dimension, \"check\", subject, \"key\", round(value, 6) AS value, \"text\" FROM am")
@@ -113,7 +113,7 @@ def document_audit(spark, sf):
 
 def monthly_runs(spark, sf):
     """The history table: audited once per application, kept in the shared folder."""
-    return materialized(spark, f"monthly:{sf}", lambda: _audit_months(spark, sf))
+    return materialized(spark, f"monthly:{sf}", lambda: _audit_months(spark, sf), (fx.table(spark, sf, "orders"),))
 
 
 def _audit_months(spark, sf):
@@ -273,10 +273,10 @@ def latest_runs(spark, sf):
     return gate.latest_runs(history).select("analyzer", "dataset_name", F.col("record_id").alias("run_id"), "score", "grade")
 
 
-@query(_HIST + " SELECT run_id, dataset_name, score, grade, round(missingness, 6) AS missingness FROM hist ORDER BY run_id DESC LIMIT 20")
+@query(_HIST + " SELECT run_id, dataset_name, score, grade, round(missingness, 6) AS missingness FROM hist")
 def history_newest_first(spark, sf):
     runs = scoring.health_score(monthly_runs(spark, sf))
-    return runs.orderBy(F.desc("created_at_utc")).select("run_id", "dataset_name", "score", "grade", "missingness").limit(20)
+    return runs.orderBy(F.desc("created_at_utc")).select("run_id", "dataset_name", "score", "grade", "missingness")
 
 
 @query("WITH " + fx.AUDITED_SQL + " SELECT '2025-03-01T000000Z0000-tab-ular-' || substr(sha256(CAST(o_orderpriority AS VARCHAR)), 1, 12) AS record_id, o_orderpriority AS dataset_name "
@@ -289,13 +289,13 @@ def audit_record_ids(spark, sf):
 
 @query(_RUNS + """, x AS (SELECT run_id, unnest([{'m': 'missingness', 'v': missingness}, {'m': 'split_leakage', 'v': split_leakage}, {'m': 'max_drift_ks', 'v': max_drift_ks}], recursive := true) FROM runs),
 a AS (SELECT m, avg(v) AS v FROM x WHERE run_id < '1998-01' AND m <> 'max_drift_ks' GROUP BY 1), c AS (SELECT m, avg(v) AS v FROM x WHERE run_id >= '1998-01' AND m <> 'missingness' GROUP BY 1)
-SELECT coalesce(a.m, c.m) AS metric, round(a.v, 6) AS before, round(c.v, 6) AS after, round(c.v - a.v, 6) AS delta,
-  CASE WHEN c.v - a.v IS NULL THEN 'not_applicable' WHEN abs(c.v - a.v) < 1e-12 THEN 'unchanged' WHEN c.v < a.v THEN 'improved' ELSE 'worse' END AS direction FROM a FULL JOIN c ON a.m = c.m""")
+SELECT n.m AS metric, round(a.v, 6) AS before, round(c.v, 6) AS after, round(c.v - a.v, 6) AS delta,
+  CASE WHEN c.v - a.v IS NULL THEN 'not_applicable' WHEN abs(c.v - a.v) < 1e-12 THEN 'unchanged' WHEN c.v < a.v THEN 'improved' ELSE 'worse' END AS direction FROM (VALUES ('missingness'), ('split_leakage'), ('max_drift_ks')) n(m) LEFT JOIN a ON a.m = n.m LEFT JOIN c ON c.m = n.m""")
 def compare_two_runs(spark, sf):
     rows = metric_rows(monthly_runs(spark, sf), names=["missingness", "split_leakage", "max_drift_ks"])
     old = rows.filter("run_id < '1998-01' and metric <> 'max_drift_ks'").groupBy("metric").agg(F.avg("value").alias("value"))
     new = rows.filter("run_id >= '1998-01' and metric <> 'missingness'").groupBy("metric").agg(F.avg("value").alias("value"))
-    return gate.compare_runs(old, new)
+    return gate.compare_runs(old, new, ["missingness", "split_leakage", "max_drift_ks"])
 
 
 # evidence

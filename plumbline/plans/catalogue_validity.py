@@ -1,5 +1,7 @@
 """Queries on the fault grid, validity statistics and supervision logs."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from plumbline.operators import faults, gate, validity
@@ -239,15 +241,37 @@ def learner_pivot(spark, sf):
     return validity.learner_pivot(model_runs(spark, sf), ["dataset", "severity", "seed"], ["F", "O"])
 
 
-@query()
+# Draws from the keys of a run by integer arithmetic, the same in SQL.
+
+def _run_key():
+    return (F.ascii("dataset") * 31 + F.ascii("model") * 13 + (F.col("severity") * 100).cast("int") * 17 + F.col("seed") * 101).cast("long")
+
+
+def _run_draw(number):
+    return F.pmod((_run_key() * 7919 + number * 104729) * (number + 13), F.lit(1000003)) / 1000003.0
+
+
+_DRAWN = _RUNS + """, kr AS (SELECT *, CAST(ascii(dataset) * 31 + ascii(model) * 13 + CAST(severity * 100 AS INTEGER) * 17 + seed * 101 AS BIGINT) AS k FROM mr)"""
+_MASSES = [sum(math.exp(-1) / math.factorial(j) for j in range(k)) for k in range(1, 9)]
+
+
+@query(_DRAWN + ", rp AS (SELECT kr.*, t.r AS replicate, (((k * 7919 + t.r * 104729) * (t.r + 13)) % 1000003) / 1000003.0::DOUBLE AS u FROM kr, range(200) t(r)), w AS (SELECT *, "
+       + " + ".join(f"(u >= {m!r}::DOUBLE)::INT" for m in _MASSES) + """ AS w FROM rp),
+m AS (SELECT model, replicate, sum(w)::DOUBLE AS n, sum(w * score) AS x, sum(w * auc) AS y, sum(w * score * score) AS xx, sum(w * auc * auc) AS yy, sum(w * score * auc) AS xy FROM w WHERE w > 0 GROUP BY 1, 2),
+c AS (SELECT model, (xy - x * y / n) / sqrt((xx - x * x / n) * (yy - y * y / n)) AS r FROM m WHERE xx - x * x / n > 1e-12 AND yy - y * y / n > 1e-12)
+SELECT model, count(*) AS n_values, round(quantile_cont(r, 0.025), 6) AS ci_low, round(quantile_cont(r, 0.975), 6) AS ci_high FROM c GROUP BY 1""")
 def bootstrap_interval(spark, sf):
-    """Bootstrap interval of the score-AUC correlation per model (hash resampling, no SQL twin)."""
-    return validity.bootstrap_correlation(model_runs(spark, sf), ["model"], "score", "auc", ["dataset", "severity", "seed"])
+    """Bootstrap interval of the score-AUC correlation per model."""
+    return validity.bootstrap_correlation(model_runs(spark, sf), ["model"], "score", "auc", ["dataset", "severity", "seed"], draw=_run_draw(F.col("replicate")))
 
 
-@query()
+@query(_DRAWN + """, sp AS (SELECT kr.*, t.p, ((k * 7919) * 13) % 1000003 AS f, CASE WHEN t.p = 0 THEN ((k * 7919) * 13) % 1000003 ELSE ((k * 7919 + t.p * 104729) * (t.p + 13)) % 1000003 END AS m FROM kr, range(201) t(p)),
+a AS (SELECT p, score, row_number() OVER (PARTITION BY p ORDER BY f, dataset, model, severity, seed) AS i FROM sp),
+b AS (SELECT p, auc, row_number() OVER (PARTITION BY p ORDER BY m, dataset, model, severity, seed) AS i FROM sp),
+r AS (SELECT p, corr(score, auc) AS r FROM a JOIN b USING (p, i) GROUP BY 1), o AS (SELECT r AS obs FROM r WHERE p = 0)
+SELECT round(max(obs), 6) AS observed_r, round((count(*) FILTER (p > 0 AND abs(r) >= abs(obs) - 1e-12) + 1) / count(*), 6) AS p_value FROM r, o""")
 def permutation_p_value(spark, sf):
-    return validity.permutation_p(model_runs(spark, sf), "score", "auc", ["dataset", "model", "severity", "seed"])
+    return validity.permutation_p(model_runs(spark, sf), "score", "auc", ["dataset", "model", "severity", "seed"], draw=_run_draw)
 
 
 # Supervision log derived from events: four methods, integer time steps, integer arithmetic outcomes.
@@ -278,8 +302,9 @@ def supervision_summary(spark, sf):
     return validity.supervision_summary(supervision_log(spark, sf), 400, _COSTS)
 
 
-@query(_SUMMARY + """, x AS (SELECT acc, lift, CASE WHEN total_cost > 0 THEN lift / total_cost END AS roi FROM mc WHERE method = 'Symbiosis-Edge'),
-s AS (SELECT 50 + CASE WHEN acc > 0.8 THEN 15 WHEN acc > 0.7 THEN 8 ELSE 0 END + CASE WHEN lift > 0.1 THEN 15 WHEN lift > 0.05 THEN 8 ELSE 0 END + CASE WHEN roi > 0.001 THEN 10 ELSE 0 END AS total FROM x)
+@query(_SUMMARY + """, x AS (SELECT count(*) AS m, max(acc) FILTER (sy) AS acc, max(lift) FILTER (sy) AS lift, max(roi) FILTER (sy) AS roi
+  FROM (SELECT method = 'Symbiosis-Edge' AS sy, acc, coalesce(lift, 0) AS lift, CASE WHEN total_cost > 0 THEN lift / total_cost END AS roi FROM mc)),
+s AS (SELECT CASE WHEN m = 0 THEN 0 ELSE 1 END * greatest(0, least(100, 50 - 5 * (4 - m) + CASE WHEN acc > 0.8 THEN 15 WHEN acc > 0.7 THEN 8 ELSE 0 END + CASE WHEN lift > 0.1 THEN 15 WHEN lift > 0.05 THEN 8 ELSE 0 END + CASE WHEN roi > 0.001 THEN 10 ELSE 0 END)) AS total FROM x)
 SELECT CAST(total AS BIGINT) AS total, CASE WHEN total >= 90 THEN 'A' WHEN total >= 80 THEN 'B' WHEN total >= 70 THEN 'C' WHEN total >= 60 THEN 'D' ELSE 'F' END AS grade FROM s""")
 def supervision_score(spark, sf):
     return validity.supervision_score(validity.supervision_summary(supervision_log(spark, sf), 400, _COSTS))
@@ -304,10 +329,30 @@ def _hashed(spark, sf):
                                              (F.col("o_orderkey") % 2).cast("int").alias("y"))
 
 
-@query()
+def _fault_draw(salt: int):
+    return F.pmod(F.col("o_orderkey") * 7919 + 733103 + salt * 15485863, F.lit(1000)) / 1000.0
+
+
+def _u(salt: int) -> str:
+    return f"((o_orderkey * 7919 + 733103 + {salt * 15485863}) % 1000 / 1000.0::DOUBLE)"
+
+
+_TIMES = " + ".join(f"({_u(102)} >= {m!r}::DOUBLE)::INT" for m in [sum(math.exp(-0.2) * 0.2 ** j / math.factorial(j) for j in range(k)) for k in range(1, 9)])
+_AWAY = "o_totalprice + CASE WHEN " + _u(200) + " < 0.5 THEN -1.0 ELSE 1.0 END * 15.0 * {sd}"
+
+
+@query(f"""WITH h AS (SELECT o_orderkey, o_totalprice, {_TIMES} AS times, CASE WHEN {_u(1)} >= 0.2 THEN o_totalprice END AS holed FROM orders),
+s AS (SELECT stddev_pop(o_totalprice) AS sd FROM h)
+SELECT 'missingness' AS fault, count(*) AS rows, round(avg((holed IS NULL)::INT), 6) AS effect FROM h
+UNION ALL SELECT 'duplicates', count(*) + count(*) FILTER ({_u(101)} < 0.2), (count(*) FILTER ({_u(101)} < 0.2))::DOUBLE FROM h
+UNION ALL SELECT 'repeated_duplicates', CAST(count(*) + sum(times) AS BIGINT), sum(times)::DOUBLE FROM h
+UNION ALL SELECT 'split_leakage', count(*) + count(*) FILTER ({_u(103)} < 0.2), (count(*) FILTER ({_u(103)} < 0.2))::DOUBLE FROM h
+UNION ALL SELECT 'label_noise', count(*), round(avg(({_u(108)} < 0.2)::INT), 6) FROM h
+UNION ALL SELECT 'outliers', count(*), round(avg((abs(CASE WHEN {_u(107)} < 0.2 THEN {_AWAY.format(sd='sd')} ELSE o_totalprice END) > 600000)::INT), 6) FROM h, s
+UNION ALL SELECT 'combined', CAST(count(*) + sum(times) AS BIGINT), round(sum((1 + times) * (holed IS NULL)::INT) / sum(1 + times), 6) FROM h""")
 def hash_drawn_faults(spark, sf):
-    """Each transform with hash draws at severity 0.2: observed effect per fault."""
-    base, draw = _hashed(spark, sf), faults.keyed_draw(7, "o_orderkey")
+    """Each transform at severity 0.2 with draws from the keys: observed effect per fault."""
+    base, draw = _hashed(spark, sf), _fault_draw
     one = F.lit(1)
 
     def effect(name, frame, expr):
@@ -327,7 +372,10 @@ def hash_drawn_faults(spark, sf):
 
 
 @query("""WITH c AS (SELECT p_type AS c, count(*) AS n FROM part GROUP BY 1), m AS (SELECT c FROM c ORDER BY n DESC, c LIMIT 1)
-SELECT CAST((p_type = (SELECT c FROM m))::INT AS INTEGER) AS target, count(*) AS n, round(sum(p_retailprice), 2) AS total FROM part GROUP BY 1""", digits=2)
+SELECT CAST((p_type = (SELECT c FROM m))::INT AS INTEGER) AS target, count(*) AS n,
+  round(sum(CASE WHEN (SELECT var_samp(p_retailprice) >= var_samp(p_size) FROM part) THEN p_retailprice ELSE p_size END), 2) AS total FROM part GROUP BY 1""", digits=2)
 def prepared_dataset(spark, sf):
+    """The most variable feature, whichever it is, summed by target."""
     out = faults.prepare(table(spark, sf, "part"), "p_type", "p_partkey", max_features=1)
-    return out.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.sum("p_retailprice").alias("total"))
+    key, feature, target = out.columns
+    return out.groupBy(target).agg(F.count(F.lit(1)).alias("n"), F.sum(feature).alias("total"))

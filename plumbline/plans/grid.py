@@ -76,4 +76,4 @@ def run_grid(spark: SparkSession, sf_dir: str, kinds=FAULTS, severities=SEVERITI
 
 def grid_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The grid, computed once per application and kept as a table in the shared folder."""
-    return materialized(spark, f"grid:{sf_dir}", lambda: run_grid(spark, sf_dir))
+    return materialized(spark, f"grid:{sf_dir}", lambda: run_grid(spark, sf_dir), (fx.table(spark, sf_dir, "orders"),))

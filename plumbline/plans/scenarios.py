@@ -9,20 +9,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plumbline.functions.columns import as_double, col
 from plumbline.operators import dedup, fairness, profile, scoring, security
 from plumbline.operators.distribution import (
-    bounded_rows, ks_from_counts, melt, quantiles, value_counts)
+    ks_from_counts, melt, quantiles, value_counts)
 
 
-def anomaly_p99(df: DataFrame, run: str, numeric: Sequence[str], most_runs: int = 4096) -> DataFrame:
-    """p99 of the row anomaly score per run. Medians and MADs (runs x columns numbers) are fitted first."""
-    bound = most_runs * len(numeric)
-    spark = df.sparkSession
+def anomaly_p99(df: DataFrame, run: str, numeric: Sequence[str]) -> DataFrame:
+    """p99 of the row anomaly score per run. Medians and MADs are tables of runs; Spark joins them by their size."""
 
     def fitted(frame: DataFrame, name: str) -> DataFrame:
         found = quantiles(value_counts(melt(frame, numeric, [run]), [run, "column"]), [run, "column"], {name: 0.5})
-        rows = bounded_rows(found.select(col(run).cast("string").alias(run), "column", name), bound)
-        wide = spark.createDataFrame(rows, f"`{run}` string, `column` string, `{name}` double")
-        return F.broadcast(wide.groupBy(run).agg(*[
-            F.max(F.when(F.col("column") == c, F.col(name))).alias(f"_{name}_{c}") for c in numeric]))
+        return found.groupBy(run).agg(*[F.max(F.when(F.col("column") == c, F.col(name))).alias(f"_{name}_{c}") for c in numeric])
 
     centred = df.join(fitted(df, "median"), run, "left")
     gaps = centred.select(run, *[F.abs(as_double(df, c) - col(f"_median_{c}")).alias(c) for c in numeric])

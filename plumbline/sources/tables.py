@@ -63,24 +63,21 @@ def write_csv(frame: DataFrame, path: str) -> None:
     flat.write.mode("overwrite").option("header", True).csv(path)
 
 
-def nested_report(metrics: DataFrame) -> DataFrame:
-    """One JSON document per run and dimension: check -> key (and subject) -> value."""
-    name = F.when(F.col("subject") == "", F.col("key")).otherwise(F.concat_ws(":", "key", "subject", "text"))
-    flat = metrics.filter(F.col("value").isNotNull()).groupBy("run_id", "dimension", "check", name.alias("name")).agg(F.max("value").alias("value"))
-    checks = flat.groupBy("run_id", "dimension", "check").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "value")))).alias("values"))
-    return checks.groupBy("run_id", "dimension").agg(
-        F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("check", F.to_json("values").alias("v")))))).alias("report"))
+_own: dict[str, str] = {}
 
 
 def work_directory(spark: SparkSession) -> str:
-    """A fresh folder under the shared checkpoint directory of the session."""
+    """A fresh folder under the shared checkpoint directory of the session, ``spark.checkpoint.dir``.
+
+    Without that setting a session on one machine uses a temporary folder, which is all that such a session's tasks need; a
+    cluster must name one that every executor reaches. What is written there lives until the folder is cleared: intermediate
+    tables of an application can go when it ends.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and spark.sparkContext.master.startswith("local"):
-        root = tempfile.mkdtemp(prefix="plumbline-")  # one machine: its own folder is shared enough
-        spark.conf.set("spark.checkpoint.dir", root)
     if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor reaches")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor reaches")
+        root = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="plumbline-"))
     return f"{root.rstrip('/')}/plumbline-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
 
 
@@ -91,15 +88,25 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-_written: dict[tuple[str, str], str] = {}
+_written: dict[tuple, str] = {}
+
+
+def content_key(*frames: DataFrame) -> tuple:
+    """Files, sizes and change times of the Parquet tables that frames read: another key when a table has changed."""
+    parts = []
+    for frame in frames:
+        files = frame.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        row = files.agg(F.count(F.lit(1)), F.sum(F.hash("file_path", "file_size", "file_modification_time").cast("long"))).first()
+        parts.append(tuple(row))
+    return tuple(parts)
 
 
-def materialized(spark: SparkSession, name: str, build) -> DataFrame:
-    """Writes an expensive table once per application to the shared folder and reads it back.
+def materialized(spark: SparkSession, name: str, build, inputs: tuple = ()) -> DataFrame:
+    """Writes an expensive table once per application and content of its inputs to the shared folder and reads it back.
 
     Unlike a cache it survives lost executors, and it cuts the lineage for everything built on it.
     """
-    key = (spark.sparkContext.applicationId, name)
+    key = (spark.sparkContext.applicationId, name, content_key(*inputs))
     if key not in _written:
         path = work_directory(spark)
         build().write.parquet(path)
