@@ -96,7 +96,7 @@ def identity(df: DataFrame, columns: Sequence[str]) -> list[Column]:
         if isinstance(dtype, T.BinaryType):
             value = F.sha2(value, 256)
         elif isinstance(dtype, T.StringType) or is_nested(dtype):
-            value = F.when(F.length(value) > 64, F.sha2(value, 256)).otherwise(value)
+            value = F.when(F.length(value) > 64, F.concat(F.lit("sha256:"), F.sha2(value, 256))).otherwise(value)
         elif isinstance(dtype, (T.FloatType, T.DoubleType)):
             value = F.when(~F.isnan(value), value)
         keys.append(value.alias(name))

@@ -81,8 +81,9 @@ def positive_rates(cube: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """
     keys = [*by, "group_column"]
     known = cube.filter(F.col("label").isNotNull())
-    framed = with_totals(known, keys, _low=F.min("label"), _high=F.max("label"),
-                         _odd=F.count_distinct("label"))
+    number = F.expr("try_cast(label AS double)")  # labels that are numbers are compared as such: 10 is larger than 9
+    order = F.struct(number, col("label"))
+    framed = with_totals(known, keys, _high=F.max(order)["label"], _odd=F.count_distinct("label"))
     rates = framed.filter(F.col("grp").isNotNull() & (F.col("_odd") == 2)).groupBy(*keys, "grp").agg(
         (F.sum(F.when(F.col("label") == F.col("_high"), F.col("n")).otherwise(0)) / F.sum("n")).alias("positive_rate"),
         F.sum("n").alias("n"))

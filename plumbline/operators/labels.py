@@ -204,13 +204,21 @@ def auc_of(scored: DataFrame, score: Column, positive: Column) -> DataFrame:
     return roc_auc_from_counts(counts, ["key"])
 
 
+def _as_number(label: str) -> tuple:
+    """Order of labels: numbers by value, after all other texts."""
+    try:
+        return (1, float(label), label)
+    except ValueError:
+        return (0, 0.0, label)
+
+
 def predictability_auc(df: DataFrame, label: str, features: Sequence[str], ids: Sequence[str] = (), seed: int = 7,
                        minimum: int = 200) -> DataFrame | None:
     """Hold-out AUC of a logistic regression on the numeric columns (missing as 0); binary labels only."""
     counts = class_counts(df, label)
     if counts is None or len(counts) != 2 or sum(counts.values()) < minimum or not features:
         return None
-    high = max(counts)
+    high = max(counts, key=_as_number)
     key = [col(c) for c in (ids or features)]
     frame = df.filter(col(label).isNotNull()).select(
         (col(label).cast("string") == high).cast("double").alias("_y"), uniform(seed, *key).alias("_draw"),

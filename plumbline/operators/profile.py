@@ -59,7 +59,7 @@ def _texts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         (F.to_json(F.struct(col(c))) if is_nested(df.schema[c].dataType)
          else col(c).cast("string")).alias(c) for c in columns])
     shortened = view.select(*[
-        F.when(F.length(col(c)) > 64, F.sha2(col(c), 256)).otherwise(col(c)).alias(c) for c in columns])
+        F.when(F.length(col(c)) > 64, F.concat(F.lit("sha256:"), F.sha2(col(c), 256))).otherwise(col(c)).alias(c) for c in columns])
     return shortened.unpivot([], [col(c) for c in columns], "column", "value").filter(F.col("value").isNotNull())
 
 

@@ -48,7 +48,9 @@ def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     and change when a row is added, removed, altered or repeated.
     """
     columns = list(columns or df.columns)
-    encoded = F.concat_ws("\x1f", *[F.coalesce(col(c).cast("string"), F.lit("\x00")) for c in columns])
+    # every value is preceded by its length, null by a mark that is no length: no two rows read the same
+    texts = [col(c).cast("string") for c in columns]
+    encoded = F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts])
     hashed = df.select(F.sha2(encoded, 256).alias("h"), F.octet_length(encoded).cast("bigint").alias("b"))
     words = [F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)") for i in range(8)]
     sums = hashed.agg(F.count(F.lit(1)).alias("rows"), F.sum("b").alias("encoded_bytes"),

@@ -502,7 +502,10 @@ def source_concentration(spark, sf):
 _WORDS = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8))
 
 
-@query(f"""WITH e AS (SELECT concat_ws(chr(31), doc_id, text, lang, source, n_chars) AS x FROM documents), d AS (SELECT sha256(x) AS h, strlen(x) AS b FROM e)
+_ENCODED = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "text", "lang", "source", "n_chars"))
+
+
+@query(f"""WITH e AS (SELECT {_ENCODED} AS x FROM documents), d AS (SELECT sha256(x) AS h, strlen(x) AS b FROM e)
 SELECT count(*) AS rows, CAST(sum(b) AS BIGINT) AS encoded_bytes, sha256(concat_ws(',', {_WORDS})) AS fingerprint FROM d""")
 def table_fingerprint(spark, sf):
     return security.table_fingerprint(table(spark, sf, "documents"))

@@ -29,10 +29,11 @@ def faulted_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 20 != 0, F.col("o_totalprice")).alias("o_totalprice"), "o_orderdate",
         F.when(key % 25 != 1, F.col("o_orderpriority")).alias("o_orderpriority"),
         split_of(key).alias("split"))
-    copies = base.filter(key % 50 == 0)
-    leaked = base.filter(key % 40 == 3).withColumn(
-        "split", F.when(F.col("split") == "test", "train").otherwise("test"))
-    return base.unionByName(copies).unionByName(leaked)
+    # copies and leaked rows come out of the one scan
+    split = F.col("split")
+    places = F.array_compact(F.array(split, F.when(key % 50 == 0, split), F.when(
+        key % 40 == 3, F.when(split == "test", "train").otherwise("test"))))
+    return base.withColumn("split", F.explode(places))
 
 
 FAULTED_SQL = f"""
@@ -73,8 +74,8 @@ ann AS (SELECT doc_id, quality AS a1, CASE WHEN doc_id % 10 = 0 THEN 1 - quality
 
 def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with one percent of the rows repeated, so that timestamps collide."""
-    events = table(spark, sf_dir, "events")
-    return events.unionByName(events.filter(F.col("event_id") % 100 == 0))
+    times = F.when(F.col("event_id") % 100 == 0, 2).otherwise(1)
+    return table(spark, sf_dir, "events").select("*", F.explode(F.array_repeat(F.lit(0), times)).alias("_copy")).drop("_copy")
 
 
 EVENT_SQL = """
