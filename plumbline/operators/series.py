@@ -22,6 +22,9 @@ from plumbline.operators.distribution import (
     in_intervals, quantiles, running_totals, value_counts, with_totals)
 
 
+AXIS_BLOCK = 65_536
+
+
 def _null_safe(left: str, right: str, keys: Sequence[str]) -> Column:
     same = F.lit(True)
     for k in keys:
@@ -214,7 +217,11 @@ def max_per_step(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def cumulative_on_axis(df: DataFrame, key: str, step: str, value: str, last_step: Column | int) -> DataFrame:
     """Running total of the per-step maximum on the dense axis 0..last_step for each key."""
     per_step = max_per_step(df, [key, step], value)
-    axis = df.select(key).distinct().select(key, F.explode(F.sequence(F.lit(0).cast("bigint"), last_step)).alias(step))
+    # first the blocks of the axis, then the steps of a block: no row holds a whole axis
+    last = (last_step if isinstance(last_step, Column) else F.lit(last_step)).cast("bigint")
+    blocks = df.select(key).distinct().select(key, last.alias("_last"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / AXIS_BLOCK))).alias("_b"))
+    ends = F.least(F.col("_last"), F.col("_b") * AXIS_BLOCK + AXIS_BLOCK - 1)
+    axis = blocks.select(key, F.explode(F.sequence(F.col("_b") * AXIS_BLOCK, ends)).alias(step))
     dense = axis.join(per_step, [key, step], "left").select(key, step, F.coalesce(value, F.lit(0)).alias("n"))
     return running_totals(dense, [key], step, few_keys=False).select(key, step, F.col("cum_n").alias("cumulative"))
 

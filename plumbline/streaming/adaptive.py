@@ -20,6 +20,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions.columns import col
 from plumbline.operators.series import chunks, positions
+from plumbline.sources.tables import written
+
+#: Size maps that are composed in one task.
+MAPS = 4096
 
 
 @dataclass(frozen=True)
@@ -86,11 +90,34 @@ def detect_changes(df: DataFrame, key: str, order: Sequence[str], value: str, pe
     real = pieces.groupBy("key", "_chunk").agg(F.max((~F.col("_context")).cast("int")).alias("_real")).filter("_real = 1").drop("_real")
     used = pieces.join(real, ["key", "_chunk"], "left_semi")
     moves = used.groupBy("key", "_chunk").applyInPandas(maps, f"key {key_type}, _chunk long, sizes array<int>")
-    # Compose the maps: one short integer array per chunk, folded along each series.
-    along = Window.partitionBy("key").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = moves.select("key", "_chunk", F.aggregate(
-        F.coalesce(F.collect_list("sizes").over(along), F.array().cast("array<array<int>>")), F.lit(0),
-        lambda size, m: F.element_at(m, size + 1)).alias("size"))
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        """For each chunk of a block the map from the size at the block's start; with the last one that of the whole block."""
+        pdf = pdf.sort_values("_chunk")
+        maps = [np.asarray(m) for m in pdf["sizes"]]
+        now, before = np.arange(len(maps[0])), []
+        for m in maps:
+            before.append(now.tolist())
+            now = m[now]
+        whole = [None] * (len(maps) - 1) + [now.tolist()]
+        return pd.DataFrame({"key": pdf["key"], "_block": pdf["_block"], "_chunk": pdf["_chunk"], "before": before, "whole": whole})
+
+    def along(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The size at the start of each block of a series."""
+        pdf = pdf.sort_values("_block")
+        size, sizes = 0, []
+        for m in pdf["whole"]:
+            sizes.append(size)
+            size = int(m[size])
+        return pd.DataFrame({"key": pdf["key"], "_block": pdf["_block"], "start": sizes})
+
+    # Compose the maps: inside blocks of chunks, then along the blocks of a series, so that memory grows with neither's square.
+    blocked = moves.withColumn("_block", F.floor(F.col("_chunk") / MAPS).cast("long"))
+    composed = written(blocked.groupBy("key", "_block").applyInPandas(
+        inside, f"key {key_type}, _block long, _chunk long, before array<int>, whole array<int>"))
+    heads = composed.filter("whole is not null").select("key", "_block", "whole").groupBy("key").applyInPandas(
+        along, f"key {key_type}, _block long, start int")
+    starts = composed.join(heads, ["key", "_block"]).select("key", "_chunk", F.element_at("before", F.col("start") + 1).alias("size"))
 
     def alarms(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_pos")
