@@ -3,9 +3,7 @@
 import io
 import struct
 import zipfile
-import zlib
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -26,10 +24,11 @@ def text_archives(spark, sf):
                     archive.writestr("text.txt", text)
                     archive.writestr("id.txt", str(doc_id))
                 data = buffer.getvalue()
-                rows.append((f"a/{doc_id}.zip", data[:30] if doc_id % 10 == 0 else data))
-            yield pd.DataFrame(rows, columns=["path", "content"])
+                data = data[:30] if doc_id % 10 == 0 else data
+                rows.append((f"a/{doc_id}.zip", len(data), data))
+            yield pd.DataFrame(rows, columns=["path", "length", "content"])
 
-    return table(spark, sf, "documents").select("doc_id", "text").mapInPandas(build, "path string, content binary")
+    return table(spark, sf, "documents").select("doc_id", "text").mapInPandas(build, "path string, length long, content binary")
 
 
 @query("""SELECT 'a/' || doc_id || '.zip' AS path, doc_id % 10 <> 0 AS valid, CAST(CASE WHEN doc_id % 10 <> 0 THEN 2 ELSE 0 END AS BIGINT) AS members,
@@ -43,22 +42,35 @@ def archive_screening(spark, sf):
 
 
 def vector_images(spark, sf):
-    """Each embedding as an 8x8 grey PNG below a folder named after its label; every 20th is corrupt."""
-    def chunk(tag, body):
-        return struct.pack(">I", len(body)) + tag + body + struct.pack(">I", zlib.crc32(tag + body))
-
+    """Each embedding as a decoded grey image below a folder named after its label, in the form that Spark's image source gives.
+
+    Sizes are 8x8, 16x4 and 4x16; every 20th can't be decoded.
+    """
+    grey = F.transform("embedding", lambda e: F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), (e * F.lit(256.0).cast("float") + F.lit(128.0).cast("float")).cast("double")))))
+    data = F.unhex(F.array_join(F.transform(grey, lambda g: F.lpad(F.hex(g), 2, "0")), ""))
+    key, broken = F.col("vec_id"), F.col("vec_id") % 20 == 0
+    wide = F.when(key % 3 == 0, 16).when(key % 3 == 1, 4).otherwise(8)
+    tall = F.when(key % 3 == 0, 4).when(key % 3 == 1, 16).otherwise(8)
+    path = F.concat(F.lit("img/"), "label", F.lit("/"), "vec_id", F.lit(".png"))
+    minus = F.lit(-1)
+    return table(spark, sf, "embeddings").select(path.alias("path"), F.struct(
+        F.when(broken, minus).otherwise(tall).alias("height"), F.when(broken, minus).otherwise(wide).alias("width"),
+        F.lit(1).alias("nChannels"), data.alias("data")).alias("image"))
+
+
+def vector_files(spark, sf):
+    """The bytes of the same files: an EXIF block with a maker in every 15th, and with a position in every 30th."""
     def build(batches):
         for batch in batches:
             rows = []
-            for vec_id, vector, label in zip(batch["vec_id"], batch["embedding"], batch["label"]):
-                grey = np.clip(np.asarray(vector).reshape(8, 8) * 256 + 128, 0, 255).astype(np.uint8)
-                raw = b"".join(b"\x00" + line.tobytes() for line in grey)
-                data = (b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 8, 8, 8, 0, 0, 0, 0))
-                        + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
-                rows.append((f"img/{label}/{vec_id}.png", data[:40] if vec_id % 20 == 0 else data))
+            for path, vec_id in zip(batch["path"], batch["vec_id"]):
+                tags = [(271, 2, 4, b"abc\0")] + ([(34853, 4, 1, struct.pack("<I", 8))] if vec_id % 30 == 0 else [])
+                block = b"II*\0" + struct.pack("<IH", 8, len(tags)) + b"".join(struct.pack("<HHI", *t[:3]) + t[3] for t in tags) + b"\0" * 4
+                rows.append((path, struct.pack("<q", vec_id) + (b"Exif\0\0" + block if vec_id % 15 == 0 else b"")))
             yield pd.DataFrame(rows, columns=["path", "content"])
 
-    return table(spark, sf, "embeddings").mapInPandas(build, "path string, content binary")
+    named = table(spark, sf, "embeddings").select(F.concat(F.lit("img/"), "label", F.lit("/"), "vec_id", F.lit(".png")).alias("path"), "vec_id")
+    return named.mapInPandas(build, "path string, content binary")
 
 
 @query("""SELECT count(*) AS images_scanned, count(*) FILTER (vec_id % 20 = 0) AS corrupt_count, round(avg((vec_id % 20 = 0)::INT), 6) AS corrupt_rate,
@@ -68,15 +80,18 @@ def image_readability(spark, sf):
 
 
 @query("""WITH p AS (SELECT vec_id, unnest(embedding) AS e FROM embeddings WHERE vec_id % 20 <> 0), g AS (SELECT vec_id, CAST(floor(least(255, greatest(0, e * 256::FLOAT + 128::FLOAT))) AS DOUBLE) AS g FROM p)
-SELECT vec_id, 8 AS width, 8 AS height, round(avg(g), 4) AS brightness_mean, round(stddev_pop(g), 4) AS color_std_mean FROM g GROUP BY 1""", digits=4)
+SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN 16 WHEN 1 THEN 4 ELSE 8 END AS width, CASE vec_id % 3 WHEN 0 THEN 4 WHEN 1 THEN 16 ELSE 8 END AS height,
+  round(avg(g), 4) AS brightness_mean, round(stddev_pop(g), 4) AS color_std_mean FROM g GROUP BY 1""", digits=4)
 def image_statistics(spark, sf):
     found = assets.image_features(vector_images(spark, sf)).filter("open_ok")
     return found.select(F.regexp_extract("path", r"(\d+)\.png", 1).cast("bigint").alias("vec_id"), "width", "height", "brightness_mean", "color_std_mean")
 
 
-@query("SELECT count(*) FILTER (vec_id % 20 <> 0) AS low_res_count, 1.0::DOUBLE AS low_res_rate, 8.0::DOUBLE AS min, 8.0::DOUBLE AS p10, 8.0::DOUBLE AS median, 8.0::DOUBLE AS p90, 8.0::DOUBLE AS max FROM embeddings")
+@query("""WITH s AS (SELECT CASE WHEN vec_id % 3 = 2 THEN 8 ELSE 4 END AS v FROM embeddings WHERE vec_id % 20 <> 0)
+SELECT count(*) FILTER (v < 6) AS low_res_count, round(avg((v < 6)::INT), 6) AS low_res_rate, min(v)::DOUBLE AS min, round(quantile_cont(v, 0.1), 6) AS p10,
+  round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.9), 6) AS p90, max(v)::DOUBLE AS max FROM s""")
 def image_resolution(spark, sf):
-    return assets.resolution(assets.image_features(vector_images(spark, sf)))
+    return assets.resolution(assets.image_features(vector_images(spark, sf)), 6)
 
 
 @query()
@@ -87,9 +102,22 @@ def image_blur_and_hash(spark, sf):
     return assets.blur(found, 500.0).withColumn("near_duplicate_pairs", near.select("near_duplicate_pairs").scalar())
 
 
-@query("SELECT count(*) AS images, CAST(0 AS BIGINT) AS exif_images, CAST(0 AS BIGINT) AS gps_images, 0.0::DOUBLE AS gps_rate FROM embeddings")
+@query("""WITH g AS (SELECT vec_id, CAST(floor(least(255, greatest(0, e * 256::FLOAT + 128::FLOAT))) AS DOUBLE) AS g, i FROM
+  (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings WHERE vec_id % 20 <> 0 AND vec_id % 3 = 2)),
+l AS (SELECT g.vec_id, u.g + d.g + w.g + r.g - 4 * g.g AS v FROM g JOIN g u ON u.vec_id = g.vec_id AND u.i = g.i - 8 JOIN g d ON d.vec_id = g.vec_id AND d.i = g.i + 8
+  JOIN g w ON w.vec_id = g.vec_id AND w.i = g.i - 1 AND g.i % 8 > 0 JOIN g r ON r.vec_id = g.vec_id AND r.i = g.i + 1 AND g.i % 8 < 7)
+SELECT vec_id, round(var_pop(v), 4) AS blur_var_lap FROM l GROUP BY 1""", digits=4)
+def image_blur(spark, sf):
+    """Variance of the Laplacian of the square images."""
+    found = assets.image_features(vector_images(spark, sf)).filter("open_ok AND width = height")
+    return found.select(F.regexp_extract("path", r"(\d+)\.png", 1).cast("bigint").alias("vec_id"), "blur_var_lap")
+
+
+@query("""SELECT count(*) AS images, count(*) FILTER (vec_id % 15 = 0) AS exif_images, count(*) FILTER (vec_id % 30 = 0) AS gps_images,
+  round(avg((vec_id % 30 = 0)::INT), 6) AS gps_rate FROM embeddings""")
 def image_exif_privacy(spark, sf):
-    return security.exif_privacy(assets.image_features(vector_images(spark, sf)))
+    facts = assets.file_facts(vector_files(spark, sf))
+    return security.exif_privacy(assets.image_features(vector_images(spark, sf), facts=facts))
 
 
 @query("SELECT CAST(label AS VARCHAR) AS folder_label, count(*) AS n FROM embeddings GROUP BY 1")

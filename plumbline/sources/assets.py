@@ -1,8 +1,7 @@
 """Scans of image, annotation and archive files.
 
-Files are split over tasks by Spark's ``binaryFile`` source; each task looks at one file at a time.
-Decoding uses the small PNG reader below where the bytes are PNG; other formats go through Spark's
-``image`` source, which decodes in the JVM.
+Files are split over tasks by Spark's ``binaryFile`` and ``image`` sources; the latter decodes in the JVM. Pixel features
+are taken from its decoded struct, size, digest and EXIF from the bytes; only these small rows are joined.
 """
 
 from __future__ import annotations
@@ -10,7 +9,6 @@ from __future__ import annotations
 import io
 import struct
 import zipfile
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,10 +48,10 @@ def folder_label(path: Column) -> Column:
     return F.when(F.size(F.split(path, "/")) >= 2, F.element_at(F.split(path, "/"), -2))
 
 
-def archive_members(files: DataFrame) -> DataFrame:
-    """Members of many zip archives; an unreadable archive yields one row with ``valid`` false.
+def archive_members(files: DataFrame, limits: ArchiveLimits = ArchiveLimits()) -> DataFrame:
+    """Members of many zip archives (path, length, content); an unreadable archive yields one row with ``valid`` false.
 
-    Only the directory of an archive is read; nothing is expanded.
+    Only the directory of an archive is read; nothing is expanded. The content of archives beyond the size limit is never loaded.
     """
     def listing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["path", "archive_bytes", "valid", "member", "size", "compressed"]
@@ -67,8 +65,13 @@ def archive_members(files: DataFrame) -> DataFrame:
                     rows = [(path, len(content), False, None, 0, 0)]
                 yield pd.DataFrame(rows, columns=columns)
 
-    return files.select("path", "content").mapInPandas(
-        listing, "path string, archive_bytes long, valid boolean, member string, size long, compressed long")
+    schema = "path string, archive_bytes long, valid boolean, member string, size long, compressed long"
+    read = files.filter(F.col("length") <= limits.archive_bytes).select("path", "content").mapInPandas(listing, schema)
+    none = F.lit(None)
+    large = files.filter(F.col("length") > limits.archive_bytes).select(
+        "path", F.col("length").cast("long").alias("archive_bytes"), F.lit(True).alias("valid"), none.cast("string").alias("member"),
+        F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("compressed"))
+    return read.unionByName(large)
 
 
 def screen_archives(members: DataFrame, limits: ArchiveLimits = ArchiveLimits()) -> DataFrame:
@@ -90,62 +93,6 @@ def screen_archives(members: DataFrame, limits: ArchiveLimits = ArchiveLimits())
 
 # pixels
 
-def _png(data: bytes, most_pixels: int) -> np.ndarray:
-    """8-bit grey, RGB, RGBA or palette PNG as an RGB array; dimensions are checked before inflating."""
-    if data[:8] != b"\x89PNG\r\n\x1a\n":
-        raise ValueError("not a PNG file")
-    at, packed, palette = 8, b"", None
-    width = height = depth = kind = interlace = 0
-    while at + 8 <= len(data):
-        size, tag = struct.unpack(">I4s", data[at:at + 8])
-        body = data[at + 8:at + 8 + size]
-        if tag == b"IHDR":
-            width, height, depth, kind, _, _, interlace = struct.unpack(">IIBBBBB", body)
-            if width * height > most_pixels:
-                raise ValueError(f"image has {width * height} pixels; limit is {most_pixels} pixels")
-        elif tag == b"PLTE":
-            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
-        elif tag == b"IDAT":
-            packed += body
-        elif tag == b"IEND":
-            break
-        at += 12 + size
-    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(kind)
-    if depth != 8 or interlace or channels is None:
-        raise ValueError("unsupported PNG layout")
-    raw = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(height, 1 + width * channels)
-    out = np.zeros((height, width * channels), np.uint8)
-    above = np.zeros(width * channels, np.int32)
-    for y in range(height):
-        above = _unfilter(int(raw[y, 0]), raw[y, 1:].astype(np.int32), above, channels)
-        out[y] = above
-    pixels = out.reshape(height, width, channels)
-    if kind == 3:
-        return palette[pixels[:, :, 0]]
-    return pixels[:, :, :3] if channels >= 3 else np.repeat(pixels[:, :, :1], 3, axis=2)
-
-
-def _unfilter(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
-    """Reverses one PNG scan-line filter."""
-    if kind == 0:
-        return line
-    if kind == 2:
-        return (line + above) & 255
-    out = line.copy()
-    for i in range(len(out)):
-        left = out[i - step] if i >= step else 0
-        corner = above[i - step] if i >= step else 0
-        if kind == 1:
-            guess = left
-        elif kind == 3:
-            guess = (left + above[i]) >> 1
-        else:
-            base = left + above[i] - corner
-            guess = min((abs(base - left), 0, left), (abs(base - above[i]), 1, above[i]), (abs(base - corner), 2, corner))[2]
-        out[i] = (line[i] + guess) & 255
-    return out
-
-
 def _resized(grey: np.ndarray, size: int = 32) -> np.ndarray:
     """Box average (nearest when enlarging) to a square, from the summed-area table."""
     def edges(length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,10 +117,8 @@ def _perceptual_hash(grey: np.ndarray) -> str:
     return f"{int(''.join('1' if b else '0' for b in bits), 2):016x}"
 
 
-FEATURE_SCHEMA = ("path string, byte_size long, sha256 string, open_ok boolean, open_error string, width int, height int, "
-                  "mean_r double, mean_g double, mean_b double, std_r double, std_g double, std_b double, "
-                  "blur_var_lap double, entropy double, phash string, has_exif boolean, has_gps boolean, "
-                  "exif_make string, exif_model string, exif_datetime string")
+FEATURE_SCHEMA = ("path string, width int, height int, mean_r double, mean_g double, mean_b double, std_r double, std_g double, "
+                  "std_b double, blur_var_lap double, entropy double, phash string")
 
 
 def _features(rgb: np.ndarray) -> tuple:
@@ -216,22 +161,52 @@ def _exif(data: bytes) -> tuple:
         return False, False, None, None, None
 
 
-def image_features(files: DataFrame, limits: ArchiveLimits = ArchiveLimits()) -> DataFrame:
-    """One row per PNG file with decodability, dimensions, colour, blur, entropy, perceptual hash and EXIF."""
+def decoded_images(spark: SparkSession, path: str) -> DataFrame:
+    """(path, image) of every image file below a folder, decoded by Spark (JPEG, PNG, GIF, BMP, TIFF); width -1 where it can't."""
+    found = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(path)
+    return found.select(F.col("image.origin").alias("path"), "image")
+
+
+def file_facts(files: DataFrame) -> DataFrame:
+    """Size, digest and EXIF of each file (path, content)."""
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [_exif(data) for data in batch["content"]]
+            yield pd.DataFrame({"path": batch["path"], "byte_size": batch["byte_size"], "sha256": batch["sha256"], **{
+                name: [f[i] for f in found] for i, name in enumerate(("has_exif", "has_gps", "exif_make", "exif_model", "exif_datetime"))}})
+
+    sized = files.select("path", "content", F.octet_length("content").cast("long").alias("byte_size"), F.sha2("content", 256).alias("sha256"))
+    return sized.mapInPandas(scan, "path string, byte_size long, sha256 string, has_exif boolean, has_gps boolean, exif_make string, "
+                             "exif_model string, exif_datetime string")
+
+
+def image_features(images: DataFrame, limits: ArchiveLimits = ArchiveLimits(), facts: DataFrame | None = None) -> DataFrame:
+    """One row per decoded image (path, image): dimensions, colour, blur, entropy, perceptual hash, and the facts of its file.
+
+    ``open_error`` tells images that Spark has no decoder for from corrupt ones and from those beyond the pixel limit.
+    """
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
         names = [part.split()[0] for part in FEATURE_SCHEMA.split(", ")]
         for batch in batches:
             rows = []
-            for path, data in zip(batch["path"], batch["content"]):
-                try:
-                    found, error = _features(_png(data, limits.pixels)), None
-                except (ValueError, zlib.error, struct.error, IndexError, TypeError) as exc:
-                    found, error = (None,) * 11, str(exc)[:200]
-                rows.append((path, len(data), hashlib.sha256(data).hexdigest(), error is None, error, *found, *_exif(data)))
+            for path, height, width, channels, data in zip(*(batch[c] for c in ("path", "height", "width", "channels", "data"))):
+                pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+                rows.append((path, *_features(pixels[:, :, 2::-1] if channels >= 3 else np.repeat(pixels[:, :, :1], 3, axis=2))))
             yield pd.DataFrame(rows, columns=names).astype({"width": "Int32", "height": "Int32"})
 
-    found = files.select("path", "content").mapInPandas(scan, FEATURE_SCHEMA)
+    flat = images.select("path", F.col("image.height").alias("height"), F.col("image.width").alias("width"),
+                         F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+    size = F.col("width").cast("long") * F.col("height")
+    good = (F.col("width") > 0) & (size <= limits.pixels)
+    missing = F.when(extension(F.col("path")).isin("webp"), "no decoder").otherwise("corrupt")
+    bad = flat.filter(~good).select("path", F.when(F.col("width") > 0, F.format_string(
+        "image has %d pixels; limit is %d pixels", size, F.lit(limits.pixels))).otherwise(missing).alias("open_error"))
+    found = flat.filter(good).mapInPandas(scan, FEATURE_SCHEMA).withColumn("open_error", F.lit(None).cast("string"))
+    found = found.unionByName(bad, allowMissingColumns=True).withColumn("open_ok", F.col("open_error").isNull())
+    if facts is not None:
+        plain = F.regexp_replace("path", "^file:/+", "file:/")
+        named = facts.withColumn("_path", plain).drop("path")
+        found = found.withColumn("_path", plain).join(named, "_path", "left").drop("_path")
     short, long = F.least("width", "height"), F.greatest("width", "height")
     return found.withColumns({
         "short_side": short, "long_side": long, "aspect_ratio": F.col("width") / F.col("height"),
@@ -240,16 +215,12 @@ def image_features(files: DataFrame, limits: ArchiveLimits = ArchiveLimits()) ->
         "color_std_mean": (F.col("std_r") + F.col("std_g") + F.col("std_b")) / 3})
 
 
-def readable_images(spark: SparkSession, path: str) -> DataFrame:
-    """Decodability and dimensions by Spark's own image source (JPEG, PNG, GIF, BMP); width -1 is unreadable."""
-    found = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(path)
-    return found.select("image.origin", "image.width", "image.height", (F.col("image.width") > 0).alias("open_ok"))
-
-
 def readability(features: DataFrame) -> DataFrame:
+    """Corrupt and readable images; an image without a decoder is neither."""
+    corrupt = F.coalesce(F.col("open_error") != "no decoder", F.lit(False))
     return features.agg(
-        F.count(F.lit(1)).alias("images_scanned"), F.sum((~F.col("open_ok")).cast("bigint")).alias("corrupt_count"),
-        F.avg((~F.col("open_ok")).cast("double")).alias("corrupt_rate"), F.avg(F.col("open_ok").cast("double")).alias("readability_rate"))
+        F.count(F.lit(1)).alias("images_scanned"), F.sum(corrupt.cast("bigint")).alias("corrupt_count"),
+        F.avg(corrupt.cast("double")).alias("corrupt_rate"), F.avg(F.col("open_ok").cast("double")).alias("readability_rate"))
 
 
 def resolution(features: DataFrame, minimum: int = 224) -> DataFrame:

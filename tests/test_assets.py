@@ -44,16 +44,23 @@ def scan(spark, tmp_path_factory):
     return assets.read_files(spark, str(root))
 
 
-def test_image_features(scan):
-    rows = {r["path"].rsplit("/", 1)[1]: r for r in assets.image_features(scan.filter("path like '%.png'")).collect()}
+@pytest.fixture(scope="module")
+def images(spark, scan):
+    folder = scan.filter("path like '%broken.png'").first()["path"].rsplit("/", 1)[0]
+    return assets.decoded_images(spark, folder).filter("path like '%.png'")
+
+
+def test_image_features(scan, images):
+    found = assets.image_features(images, facts=assets.file_facts(scan))
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in found.collect()}
     assert rows["a.png"]["open_ok"] and (rows["a.png"]["width"], rows["a.png"]["mean_b"]) == (20, 30.0)
     assert rows["b.png"]["mean_r"] == 10.0 and rows["b.png"]["entropy"] == 0.0
     assert not rows["broken.png"]["open_ok"] and len(rows["a.png"]["phash"]) == 16
 
 
 @pytest.mark.parametrize("budget, ok", [(399, False), (400, True)])
-def test_pixel_budget(scan, budget, ok):
-    found = assets.image_features(scan.filter("path like '%a.png'"), assets.ArchiveLimits(pixels=budget)).first()
+def test_pixel_budget(images, budget, ok):
+    found = assets.image_features(images.filter("path like '%a.png'"), assets.ArchiveLimits(pixels=budget)).first()
     assert found["open_ok"] == ok
 
 
@@ -68,19 +75,22 @@ def test_annotations(scan):
 def test_archive_limits(spark):
     rows = [("ok", archive({"a.txt": "x" * 10})), ("many", archive({f"{i}": "x" for i in range(6)})),
             ("bomb", archive({"z": "0" * (2 << 20), "y": "ok"})), ("bad", b"PK not a zip")]
-    members = assets.archive_members(spark.createDataFrame(rows, "path string, content binary"))
+    files = spark.createDataFrame([(p, len(c), c) for p, c in rows], "path string, length long, content binary")
+    members = assets.archive_members(files)
     out = {r["path"]: r for r in assets.screen_archives(members, assets.ArchiveLimits(members=5)).collect()}
     assert out["ok"]["accepted"] == 1 and out["many"]["rejected"] == "too many files"
     assert (out["bomb"]["suspicious_ratio"], out["bomb"]["accepted"]) == (1, 1) and out["bad"]["rejected"] == "invalid archive"
-    tiny = assets.screen_archives(members, assets.ArchiveLimits(archive_bytes=5)).collect()
+    small = assets.ArchiveLimits(archive_bytes=5)
+    tiny = assets.screen_archives(assets.archive_members(files, small), small).collect()
     assert {r["rejected"] for r in tiny} == {"archive too large"}
 
 
 def test_spark_image_source_agrees(spark, scan, tmp_path):
     (tmp_path / "x.png").write_bytes(png(20, 20))
     (tmp_path / "y.png").write_bytes(b"nothing")
-    found = {r["origin"].rsplit("/", 1)[1]: r["open_ok"] for r in assets.readable_images(spark, str(tmp_path)).collect()}
-    assert found == {"x.png": True, "y.png": False}
+    (tmp_path / "z.webp").write_bytes(b"RIFF0000WEBP")
+    found = {r["path"].rsplit("/", 1)[1]: (r["open_ok"], r["open_error"]) for r in assets.image_features(assets.decoded_images(spark, str(tmp_path))).collect()}
+    assert found == {"x.png": (True, None), "y.png": (False, "corrupt"), "z.webp": (False, "no decoder")}
 
 
 def test_folder_label(spark):
