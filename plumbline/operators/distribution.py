@@ -19,6 +19,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions.columns import as_double, col
+from plumbline.sources.tables import written
 
 SAMPLED = 4  # sampled values for each cut point, so that intervals are of nearly the same size
 
@@ -105,12 +106,13 @@ def running_totals(counts: DataFrame, keys: Sequence[str], order: str, measures:
                    only=None, few_keys: bool = False, intervals: int | None = None) -> DataFrame:
     """Adds ``cum_<m>`` (inclusive running total) and ``all_<m>`` (total of the key).
 
-    ``counts`` holds one row per (keys, order). ``few_keys`` states that the number of keys is bounded by the schema (a key
+    ``counts`` holds one row per (keys, order); it is read three times (sample, sums, rows) and therefore written to the shared folder first.
+    ``few_keys`` states that the number of keys is bounded by the schema (a key
     per column), which bounds the broadcast interval table by columns x shuffle partitions; otherwise Spark chooses the
     join by size. ``only(before, size, total)`` (SQL text in, SQL text out) keeps just the intervals that a query needs.
     """
     keys = list(keys)
-    placed = in_intervals(counts, keys, order, few_keys, intervals)
+    placed = in_intervals(written(counts), keys, order, few_keys, intervals)
     whole, before = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_slot")
     slots = placed.groupBy(*keys, "_slot").agg(*[F.sum(m).alias(f"_size_{m}") for m in measures])
     slots = slots.select(
