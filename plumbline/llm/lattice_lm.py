@@ -12,6 +12,8 @@ probabilities, so what moves is words of blocks, not tokens of documents.
 
 from __future__ import annotations
 
+import itertools
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -145,7 +147,7 @@ def expected(words: list[str], weights: np.ndarray, pieces: Pieces) -> np.ndarra
         size, weight = letters.shape[1], weights[places]
         beta = np.full(alpha.shape, -np.inf)
         beta[size] = 0
-        whole, by_start = alpha[size], {}
+        whole, by_start, pieces_hit, rows_hit, shares = alpha[size], {}, [], [], []
         for arc in found:
             by_start.setdefault(arc[0], []).append(arc)
         for a in range(size - 1, -1, -1):
@@ -153,9 +155,13 @@ def expected(words: list[str], weights: np.ndarray, pieces: Pieces) -> np.ndarra
             for _, b, rows, at in by_start.get(a, ()):
                 log = pieces.logs[at, 0]
                 beta[a, rows] = np.logaddexp(beta[a, rows], beta[b, rows] + log)
-                share = np.exp(alpha[a, rows] + log + beta[b, rows] - whole[rows])
-                for k in range(width):
-                    counts[:, k] += np.bincount(at, share * weight[rows, k], len(counts))
+                pieces_hit.append(at)
+                rows_hit.append(rows)
+                shares.append(alpha[a, rows] + log + beta[b, rows] - whole[rows])
+        if shares:
+            at, rows, share = np.concatenate(pieces_hit), np.concatenate(rows_hit), np.exp(np.concatenate(shares))
+            for k in range(width):
+                counts[:, k] += np.bincount(at, share * weight[rows, k], len(counts))
         share = np.exp(alpha[:-1] + spelled + beta[1:] - whole).T
         codes, inverse = np.unique(letters, return_inverse=True)
         for k in range(width):
@@ -172,7 +178,7 @@ def _packed(classes: list[str]):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press, number = zstandard.ZstdCompressor(level=1), 0
-        index: dict[bytes, int] = {}
+        index: dict[bytes, int] = defaultdict(itertools.count().__next__)  # a new word gets the next place
         counts = np.zeros((1 << 16, width), np.int64)
         size = 0
 
@@ -197,7 +203,7 @@ def _packed(classes: list[str]):
             for k, text in enumerate(batch.column(3)):
                 raw = (text.as_py() or "").encode().lower()
                 words = raw.split()
-                places = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
+                places = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
                 if len(index) > len(counts):
                     counts = np.concatenate((counts, np.zeros((max(len(counts), len(index)), width), np.int64)))
                 own, n = np.unique(places, return_counts=True)
@@ -210,7 +216,7 @@ def _packed(classes: list[str]):
                 if size >= BLOCK:
                     yield rows(block, len(packed), doc=batch.column(0).slice(start, len(packed)), out=outs[start:k + 1], tokens=tokens, packed=packed)
                     yield from vocabulary(block)
-                    index, size, number = {}, 0, number + 1
+                    index, size, number = defaultdict(itertools.count().__next__), 0, number + 1
                     counts = np.zeros((1 << 16, width), np.int64)
                     packed, tokens, start, block = [], [], k + 1, TaskContext.get().partitionId() << 32 | number
             if packed:
