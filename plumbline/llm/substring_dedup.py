@@ -230,7 +230,8 @@ def substring_dedup(docs: DataFrame, many: int = MANY) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", text_of().alias("text")).withColumn("_row", F.xxhash64("text"))
     texts = rows.select(F.col("doc_id").alias("_id"), "_row", "text")
-    again = texts.select("text").mapInArrow(_keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key")
+    # written tables, so that Spark can split the rows of a frequent hash in the joins
+    again = cut(texts.select("text").mapInArrow(_keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key"))
     wanted = (texts.mapInArrow(_places, f"key long, _id {kind}, _row long, start int, size int").join(again, "key", "left_semi")
               .groupBy("_id", "_row").agg(F.collect_set(F.struct("key", "start", "size")).alias("wanted")))
     pressed = texts.mapInArrow(_pressed, f"_id {kind}, _row long, pressed binary")
@@ -244,7 +245,7 @@ def substring_dedup(docs: DataFrame, many: int = MANY) -> DataFrame:
     sorted_shards = one.sortWithinPartitions("key", "print").mapInArrow(_sorted_shards, "key long, print long, spans array<struct<a:int,b:int>>")
     other = found.join(hot, "key", "left_semi").groupBy("key", "print").agg(F.count(F.lit(1)).alias("n"), F.max("data").alias("data"))
     strings = cut(other.mapInArrow(_strings, "h1 long, h2 long, key long, print long, n long, at int"))
-    twice = strings.groupBy("h1", "h2").agg(F.sum("n").alias("times")).filter("times > 1").select("h1", "h2")
+    twice = cut(strings.groupBy("h1", "h2").agg(F.sum("n").alias("times")).filter("times > 1").select("h1", "h2"))
     parted = (strings.join(twice, ["h1", "h2"], "left_semi").groupBy("key", "print")
               .agg(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + 1).alias("b"))).alias("spans")))
     repeated = sorted_shards.union(parted)
