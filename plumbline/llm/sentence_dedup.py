@@ -109,12 +109,13 @@ def sentence_span_dedup(docs: DataFrame, span: int = 2, min_words: int = 15) ->
     rows = docs.select("doc_id", text_of().alias("text"))
     rows = rows.withColumn("_row", F.hash("text"))
     texts = rows.select(F.col("doc_id").alias("_id"), "_row", "text")
-    again = (texts.mapInArrow(_hashes(span, min_words, False), "a long").groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-             .filter("n > 1").select("a"))
+    # written tables, so that Spark can split a frequent run's rows in the joins
+    again = cut(texts.mapInArrow(_hashes(span, min_words, False), "a long").groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+                .filter("n > 1").select("a"))
     schema = f"a long, b int, _id {dict(docs.dtypes)['doc_id']}, _row int, first int, length int"
     places = cut(texts.mapInArrow(_hashes(span, min_words, True), schema).join(again, "a", "left_semi"))
     where = F.struct("_id", "_row", "first")
-    first = places.groupBy("a", "b").agg(F.min(where).alias("_first"), F.max(where).alias("_last")).filter("_first != _last")
+    first = cut(places.groupBy("a", "b").agg(F.min(where).alias("_first"), F.max(where).alias("_last")).filter("_first != _last"))
     later = (places.join(first, ["a", "b"]).filter(~where.eqNullSafe(F.col("_first")))
              .groupBy("_id", "_row").agg(F.collect_set(F.struct("first", "length")).alias("_spans")))
     same = rows["doc_id"].eqNullSafe(later["_id"]) & (rows["_row"] == later["_row"])
