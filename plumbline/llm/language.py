@@ -93,8 +93,11 @@ def fit(docs: DataFrame, profile: int = PROFILE, sample: int = SAMPLE) -> Profil
     """
     rows = docs.select("doc_id", "lang", "text").filter("lang is not null and text is not null")
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("language"), "doc_id", "text"), 11).cast("double") / float(1 << 53)
-    share = rows.groupBy("lang").agg((F.lit(float(sample)) / F.count(F.lit(1))).alias("_share"))
-    some = rows.join(share, "lang").filter(draw < F.col("_share")).select("lang", "text")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language, as the model
+    share = F.lit(0.0)
+    if sizes:
+        share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, sample / n)])[F.col("lang")]
+    some = rows.filter(draw < share).select("lang", "text")
     counts = some.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= profile)
