@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import gc
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -49,6 +55,24 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
+def kept_in_worker(name: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker has made stays for its next tasks: tokenizers with the words that they have met."""
+    store = sys.modules.setdefault("plumbline_kept", types.ModuleType("plumbline_kept"))
+    if not hasattr(store, name):
+        setattr(store, name, make())
+    return getattr(store, name)
+
+
+@contextmanager
+def without_collector() -> Iterator[None]:
+    """For code that makes very many small lists and no cycles: the garbage collector would only walk over them."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -6,7 +6,6 @@ their place inside the file; the places of the files follow from their totals, w
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 import zlib
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from plumbline.llm.common import byte_letters, partitions, shared_folder, text_of
+from plumbline.llm.common import byte_letters, kept_in_worker, partitions, shared_folder, text_of, without_collector
 
 #: Distinct words that a task keeps encoded; beyond it starts afresh, which costs time and changes nothing.
 KEPT_WORDS = 400_000
@@ -96,8 +95,8 @@ class WordEncoder:
 
 def _encoded(path: str, end: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # nothing here is cyclic, and the many small lists cost the collector dearly
-        encoder, before, part = WordEncoder(path), 0, TaskContext.get().partitionId()
+        encoder = kept_in_worker(f"words {path}", lambda: WordEncoder(path))
+        before, part = 0, TaskContext.get().partitionId()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             at = 0
@@ -106,7 +105,8 @@ def _encoded(path: str, end: int):
                 while to < len(texts) and size < AT_A_TIME:
                     size += len(texts[to])
                     to += 1
-                ids, counts = encoder.encode(texts[at:to], end)
+                with without_collector():
+                    ids, counts = encoder.encode(texts[at:to], end)
                 ends = np.cumsum(counts)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays(
