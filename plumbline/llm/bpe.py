@@ -6,7 +6,6 @@ no pair left drop out. Distinct words are merged once for a task's batch and tex
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import re
@@ -17,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.common import byte_letters, text_of
+from plumbline.llm.common import byte_letters, kept_in_worker, text_of, without_collector
 
 # The public pattern of byte-level BPE that parts text into words before the merges.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -178,12 +177,12 @@ def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 def _digests(path: str):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # nothing here is cyclic, and the many small lists cost the collector dearly
-        bpe = Bpe(path)
+        bpe = kept_in_worker(f"bpe {path}", lambda: Bpe(path))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in _groups(texts):
-                ids, joined = bpe.encode(texts[a:b])
+                with without_collector():
+                    ids, joined = bpe.encode(texts[a:b])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array([len(i) for i in ids], pa.int64()),
                      pa.array([hashlib.sha256(j).hexdigest() for j in joined]),
@@ -195,8 +194,7 @@ def _digests(path: str):
 
 def _ids(path: str):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # nothing here is cyclic, and the many small lists cost the collector dearly
-        bpe = Bpe(path)
+        bpe = kept_in_worker(f"bpe {path}", lambda: Bpe(path))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in _groups(texts):
@@ -208,7 +206,7 @@ def _ids(path: str):
 
 def _texts(path: str):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(path)
+        bpe = kept_in_worker(f"bpe {path}", lambda: Bpe(path))
         for batch in batches:
             texts = [bpe.decode(np.array(i or [], np.int64)).decode() for i in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
