@@ -276,18 +276,19 @@ def flat_logs(words: list[str]) -> np.ndarray:
 
 def word_logs(words: list[str], counts: np.ndarray, pieces: Pieces, totals: Totals) -> np.ndarray:
     """log10 probabilities of words: a column for each class, and the last one for all classes together."""
-    spelled = (1 - FLAT) * np.exp(marginal(words, pieces)) + FLAT * np.exp(flat_logs(words))[:, None]
+    spelled = np.logaddexp(np.log(1 - FLAT) + marginal(words, pieces), np.log(FLAT) + flat_logs(words)[:, None])
     if spelled.shape[1] == 1:
         spelled = np.repeat(spelled, len(totals.tokens), axis=1)
     every = counts.sum(axis=1, keepdims=True)
     whole = float(totals.tokens[-1])
-    back = SPELLED * spelled + ((1 - SPELLED) * every / whole if whole else (1 - SPELLED) * spelled)
-    back[:, -1] = spelled[:, -1]
     own = np.append(counts, every, axis=1)
     many = np.maximum(totals.tokens, 1)
-    kept = np.maximum(own - totals.discount, 0) / many
-    rest = np.where(totals.tokens > 0, totals.discount * totals.distinct / many, 1.0)
-    return np.log10(np.maximum(kept + rest * back, 1e-300))
+    with np.errstate(divide="ignore"):  # the log of no count
+        back = np.logaddexp(np.log(SPELLED) + spelled, np.log((1 - SPELLED) * every / whole)) if whole else spelled.copy()
+        back[:, -1] = spelled[:, -1]
+        kept = np.log(np.maximum(own - totals.discount, 0) / many)
+    rest = np.log(np.where(totals.tokens > 0, totals.discount * totals.distinct / many, 1.0))
+    return np.logaddexp(kept, rest + back) / np.log(10)
 
 
 def _scored(pieces: Pieces, totals: Totals):

@@ -136,6 +136,36 @@ def test_lattice_score(docs, empty):
     assert lattice_lm.score(empty, vocabulary("piece_bpe_32k.model")).count() == 0
 
 
+def spelled_brute(letters, pieces):
+    """Log of the summed probability of all segmentations into pieces of any length, one prefix after another."""
+    logs = dict(zip(pieces.keys.tolist(), pieces.logs[:, 0].tolist(), strict=True))
+    alpha = [0.0]
+    for to in range(1, len(letters) + 1):
+        ways = [alpha[-1] + sum(pieces.bytes[b, 0] for b in letters[to - 1].encode())]
+        for start in range(max(0, to - 40), to):
+            key = lattice_lm._hash(letters[start:to])
+            if key in logs:
+                ways.append(alpha[start] + logs[key])
+        alpha.append(np.logaddexp.reduce(ways))
+    return alpha[-1]
+
+
+def test_lattice_scores_long_words_in_log_space():
+    pieces = lattice_lm.Pieces.load(vocabulary("piece_bpe_32k.model"))
+    draw = random.Random(9)
+    some = ["".join(draw.choice("abcXYZ019+/日本") for _ in range(n)) for n in (3, 5000)]
+    totals = lattice_lm.Totals(np.array([90, 110]), np.array([40, 50]), 0.6, np.array([5, 6]))
+    got = lattice_lm.word_logs(some, np.array([[4], [0]]), pieces, totals)
+    for word, count, result in zip(some, (4, 0), got, strict=True):
+        spelled = np.logaddexp(spelled_brute("▁" + word, pieces) + math.log(1 - lattice_lm.FLAT), lattice_lm.flat_logs([word])[0] + math.log(lattice_lm.FLAT))
+        every = np.log(count / 110) if count else -np.inf
+        backs = [np.logaddexp(spelled + math.log(lattice_lm.SPELLED), every + math.log(1 - lattice_lm.SPELLED)), spelled]
+        for k, (tokens, kinds) in enumerate(((90, 40), (110, 50))):
+            kept = math.log((count - 0.6) / tokens) if count else -np.inf
+            assert result[k] == pytest.approx(np.logaddexp(kept, math.log(0.6 * kinds / tokens) + backs[k]) / math.log(10))
+    assert got[1].max() < -5000
+
+
 def simhash_brute(text):
     ws = words(lower(text))
     if not ws:
