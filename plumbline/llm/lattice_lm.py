@@ -27,8 +27,10 @@ from plumbline.llm.common import cut, held_out, text_of
 
 #: Bytes of text in a block.
 BLOCK = 32 << 20
-#: Characters of the longest piece that is used; words whose lattices a task holds at a time; rounds of re-estimation.
-LONGEST, WORDS, ROUNDS = 12, 1 << 14, 2
+#: Characters of the longest piece of the 32k vocabulary, for reference: lattices go by the vocabulary that is loaded.
+LONGEST = 16
+#: Words whose lattices a task holds at a time; rounds of re-estimation.
+WORDS, ROUNDS = 1 << 14, 2
 #: Shares of words that are spelled letter by letter, and of spelled words among those that a class has not; pseudo-counts of the prior.
 FLAT, SPELLED, PRIOR = 0.02, 0.8, 300.0
 #: Languages with a model of their own; the rest share one.
@@ -46,11 +48,13 @@ def _hash(text: str) -> int:
 
 @dataclass
 class Pieces:
-    """A vocabulary: sorted hashes of its pieces, their log probabilities (a column for each model), and those of the 256 bytes."""
+    """A vocabulary: sorted hashes of its pieces, their log probabilities (a column for each model), those of the 256 bytes, and the
+    characters of its longest piece."""
 
     keys: np.ndarray
     logs: np.ndarray
     bytes: np.ndarray
+    longest: int
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -59,15 +63,17 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         found: dict[int, float] = {}
+        longest = 1
         for i in range(model.get_piece_size()):
             piece, score = model.id_to_piece(i), model.get_score(i)
-            if model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or len(piece) > LONGEST or chr(SPACE) in piece[1:]:
+            if model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or chr(SPACE) in piece[1:]:
                 continue
             found[_hash(piece)] = 1 / (100 + min(-score, 1e6))
+            longest = max(longest, len(piece))
         keys = np.array(sorted(found), np.uint64)
         weights = np.array([found[int(k)] for k in keys])
         weights /= weights.sum()
-        return cls(keys, np.log(weights * 0.99)[:, None], np.full((256, 1), np.log(0.01 / 256)))
+        return cls(keys, np.log(weights * 0.99)[:, None], np.full((256, 1), np.log(0.01 / 256)), longest)
 
 
 def lattices(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -88,14 +94,14 @@ def arcs(letters: np.ndarray, pieces: Pieces) -> Iterator[tuple[int, int, np.nda
     """(from, to, rows, piece) of all pieces in words of equal length, by the place where they end."""
     count, size = letters.shape
     prefix = np.zeros((size + 1, count), np.uint64)
-    power = np.ones(LONGEST + 1, np.uint64)
+    power = np.ones(pieces.longest + 1, np.uint64)
     with np.errstate(over="ignore"):
         for j in range(size):
             prefix[j + 1] = prefix[j] * BASE + letters[:, j] + np.uint64(1)
-        for k in range(LONGEST):
+        for k in range(pieces.longest):
             power[k + 1] = power[k] * BASE
         for to in range(1, size + 1):
-            for k in range(1, min(LONGEST, to) + 1):
+            for k in range(1, min(pieces.longest, to) + 1):
                 want = prefix[to] - prefix[to - k] * power[k]
                 at = np.minimum(np.searchsorted(pieces.keys, want), len(pieces.keys) - 1)
                 rows = np.flatnonzero(pieces.keys[at] == want)
@@ -254,7 +260,7 @@ def estimated(counts: np.ndarray, pieces: Pieces) -> Pieces:
     every = counts[:, -1:] + 0.1
     every = every / every.sum()
     logs = np.log((counts + PRIOR * every) / (counts.sum(axis=0) + PRIOR))
-    return Pieces(pieces.keys, logs[:-256], logs[-256:])
+    return Pieces(pieces.keys, logs[:-256], logs[-256:], pieces.longest)
 
 
 @dataclass

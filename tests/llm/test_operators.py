@@ -150,6 +150,21 @@ def spelled_brute(letters, pieces):
     return alpha[-1]
 
 
+def test_lattice_uses_the_longest_pieces():
+    import sentencepiece
+
+    path = vocabulary("piece_bpe_32k.model")
+    model, pieces = sentencepiece.SentencePieceProcessor(model_file=path), lattice_lm.Pieces.load(path)
+    plain = [p for i in range(model.get_piece_size()) for p in [model.id_to_piece(i)]
+             if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)) and "▁" not in p[1:]]
+    assert pieces.longest == max(map(len, plain)) > 12 and len(pieces.keys) == len(set(plain))
+    assert {lattice_lm._hash(p) for p in plain} == set(pieces.keys.tolist())
+    some = ["international", "understanding", "internationalrepresentation", "x"]
+    assert np.allclose(lattice_lm.marginal(some, pieces)[:, 0], [spelled_brute("▁" + w, pieces) for w in some])
+    counts = lattice_lm.expected(["international"], np.array([[1.0]]), pieces)
+    assert counts[np.searchsorted(pieces.keys, np.uint64(lattice_lm._hash("▁international"))), 0] > 0
+
+
 def test_lattice_scores_long_words_in_log_space():
     pieces = lattice_lm.Pieces.load(vocabulary("piece_bpe_32k.model"))
     draw = random.Random(9)
