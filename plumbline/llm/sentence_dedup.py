@@ -98,10 +98,11 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["doc_id", "kept_text", "n_sentences", "n_removed", "chars_removed", "kept_sha256"])
 
 
-def sentence_span_dedup(docs: DataFrame, span: int = 2, min_words: int = 15) -> DataFrame:
+def sentence_span_dedup(docs: DataFrame, span: int = 2, min_words: int = 0) -> DataFrame:
     """(doc_id, kept_text, n_sentences, n_removed, chars_removed, kept_sha256) of every row of (doc_id, text, ...).
 
-    A run is ``span`` consecutive sentences, or as many more as make ``min_words`` words; a text with less is one run. White
+    Every ``span`` consecutive sentences are a run, however short; a text with less is one run. With ``min_words`` a run goes on until it
+    has so many words, and what is left at a text's end with less is no run; words are split at white space. White
     space at a sentence's ends and case do not count. Of equal runs the one with the smallest (doc_id, text hash, position)
     is the first; all sentences of the others go. A null id comes first; rows that repeat both id and text count as one row
     and share its result. A null text is empty, and nothing is removed from it. Other columns are ignored.

@@ -466,3 +466,13 @@ def test_sentence_spans(spark, docs, empty):
     assert rows(got, "doc_id", "n_sentences", "n_removed", "kept_text") == brute(table, 2, 12)
     assert sentence_dedup.sentence_span_dedup(empty).count() == 0
     assert sentence_dedup.sentence_span_dedup(docs).count() == docs.count()
+
+
+def test_sentence_spans_of_few_words(spark):
+    passage = "昨日は雨が降りました。今日は晴れています。明日は風が強いでしょう！傘は要りますか？いいえ。"
+    footer = "All rights reserved. Do not copy. Ask us."
+    table = [(1, "一番目の文章。" + passage + "終わりです。"), (2, "別の話が始まる。" + passage + "続きがある。"),
+             (3, "The first text tells of one thing. " + footer), (4, "Another text says much more of it. " + footer)]
+    got = sentence_dedup.sentence_span_dedup(spark.createDataFrame(table, "doc_id long, text string"))
+    assert {r.doc_id: (r.n_removed, r.kept_text) for r in got.collect()} == {
+        1: (0, table[0][1]), 2: (5, "別の話が始まる。続きがある。"), 3: (0, table[2][1]), 4: (3, "Another text says much more of it. ")}
