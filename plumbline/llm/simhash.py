@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.llm.common import cut, partitions, text_of
 from plumbline.llm.components import components
@@ -213,9 +213,30 @@ def near_components(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame
             .select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
+def first_of_each(docs: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of each component of a table's rows those with one id and text, all columns; rows that are equal in both count as one.
+
+    ``rows`` has (doc_id, sha, print) of every row, ``roots`` (node, root) of the prints that are linked. The smallest (doc_id, sha) stays, null
+    ids last.
+    """
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")).alias("least")
+    named = rows.groupBy("print").agg(least).join(roots, F.col("print") == F.col("node"), "left")
+    stays = (named.groupBy(F.coalesce("root", "print").alias("root")).agg(F.min("least").alias("least"))
+             .select(F.col("least.doc_id").alias("_kept_id"), F.col("least.sha").alias("_kept_sha")))
+    keyed = docs.withColumn("_sha", text_sha())
+    same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha"))
+    return keyed.join(stays, same, "left_semi").dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+
+
+def text_sha() -> Column:
+    return F.sha2(text_of(), 256)
+
+
 def without_near_copies(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
-    """The rows of a table that stay, with all columns: of each component the one whose id names it; of rows that repeat that id, one."""
-    stays = near_components(docs, size, seed).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    return (docs.withColumn("_stays", name).join(stays.select(name.alias("_stays")).distinct(), "_stays", "left_semi")
-            .dropDuplicates(["_stays"]).drop("_stays"))
+    """The rows of a table that stay, with all columns: of each component those with the smallest (doc_id, text hash), null ids last.
+
+    Rows that are equal in id and text count as one; rows that share only an id, or have none, are rows of their own.
+    """
+    rows = cut(docs.select("doc_id", text_sha().alias("sha"), text_of().alias("text"))
+               .mapInArrow(_fingerprints(size, seed), f"doc_id {dict(docs.dtypes)['doc_id']}, sha string, print long"))
+    return first_of_each(docs, rows, components(links(rows.select("print").distinct())))

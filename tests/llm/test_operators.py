@@ -476,3 +476,20 @@ def test_sentence_spans_of_few_words(spark):
     got = sentence_dedup.sentence_span_dedup(spark.createDataFrame(table, "doc_id long, text string"))
     assert {r.doc_id: (r.n_removed, r.kept_text) for r in got.collect()} == {
         1: (0, table[0][1]), 2: (5, "別の話が始まる。続きがある。"), 3: (0, table[2][1]), 4: (3, "Another text says much more of it. ")}
+
+
+def planted_ids():
+    """Rows without ids, and an id with two texts, one of them a near copy of another's; each with the number of its group."""
+    draw = random.Random(10)
+    own = [" ".join(f"w{draw.randrange(10**6)}" for _ in range(80)) for _ in range(8)]
+    table = [(None, own[0], 0), (None, own[1], 1), (None, own[2], 2), (None, own[2], 2), (3, own[3], 3), (5, own[3].upper(), 3), (5, own[4], 4),
+             (None, own[5].upper(), 5), (9, own[5], 5), (11, own[6], 6), (11, own[6], 6), (12, None, 7), (None, "", 7), (13, " ", 7)]
+    stay = [(None, own[0]), (None, own[1]), (None, own[2]), (3, own[3]), (5, own[4]), (9, own[5]), (11, own[6]), (12, None)]
+    return [(i, t, g) for i, t, g in table], sorted(stay, key=repr)
+
+
+def test_near_copies_of_rows_that_share_or_lack_an_id(spark):
+    table, stay = planted_ids()
+    frame = spark.createDataFrame(table, "doc_id long, text string, n int")
+    for parts in (1, 3):
+        assert rows(simhash.without_near_copies(frame.repartition(parts)), "doc_id", "text") == stay
