@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 from plumbline.llm import (  # noqa: E402
-    bpe, components, exact_dedup, language, lattice_lm, mixing, sentence_dedup, simhash, substring_dedup, suffix_array, syncmers, token_files)
+    bpe, components, exact_dedup, language, lattice_lm, mixing, resemblance, sentence_dedup, simhash, substring_dedup, suffix_array, syncmers, token_files)
 from plumbline.llm.queries import vocabulary  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, key string, _id int, n int"
@@ -493,3 +493,35 @@ def test_near_copies_of_rows_that_share_or_lack_an_id(spark):
     frame = spark.createDataFrame(table, "doc_id long, text string, n int")
     for parts in (1, 3):
         assert rows(simhash.without_near_copies(frame.repartition(parts)), "doc_id", "text") == stay
+        assert rows(resemblance.without_near_copies(frame.repartition(parts)), "doc_id", "text") == stay
+
+
+@pytest.mark.parametrize("cell", [2048, 3])
+def test_near_copies_by_resemblance(spark, cell):
+    draw = random.Random(11)
+    passage = [f"p{i}" for i in range(12)]
+    texts = []
+    for _ in range(40):
+        now = [f"w{draw.randrange(500)}" for _ in range(draw.choice([3, 5, 9, 14, 60, 150]))] + draw.choice([[], passage])
+        for _ in range(draw.randint(1, 5)):
+            texts.append(" ".join(now))
+            now = list(now)
+            for _ in range(draw.randint(0, 2)):
+                now[draw.randrange(len(now))] = f"w{draw.randrange(500)}"
+
+    def shingles(text):
+        ws = words(lower(text))
+        return {tuple(ws[i:i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+    sets = [shingles(t) for t in texts]
+    edges = [(j, i) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = sorted(r.doc_id for r in resemblance.without_near_copies(frame, cell).collect())
+    assert got == sorted(set(root)) and 40 < len(got) < len(texts) - 20
+    # radius 3 over shingles of three words leaves near copies in
+    assert simhash.without_near_copies(frame).count() > len(got)
+    assert resemblance.without_near_copies(frame.limit(0)).count() == 0
