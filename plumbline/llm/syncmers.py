@@ -1,8 +1,8 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-A text's tokens are its runs of up to 16 characters without white space. A window of three tokens is an anchor when the token with the
-smallest hash stands at one of its edges: that depends on the window alone, so equal passages have equal anchors wherever
-they stand. The fingerprint keeps the anchors with the smallest hashes; two fingerprints are as like as these agree.
+A text's tokens are its runs of up to 16 characters without white space; in a longer run, every eight consecutive characters are one. A
+window of three tokens is an anchor when the token with the smallest hash stands at one of its edges: that depends on the window alone,
+so equal passages have equal anchors wherever they stand, also inside text without white space. The fingerprint keeps the anchors with the smallest hashes; two fingerprints are as like as these agree.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from plumbline.llm.common import partitions, text_of
 
 #: Anchors that a fingerprint keeps, those of the smallest hashes among all anchors of the whole text.
 KEPT = 64
-TOKEN = r"\S{1,16}"
+#: The first group is a short run, which is taken whole, or the eight characters from each place of a longer one.
+TOKEN = r"(?=((?<!\S)\S{1,16}+(?!\S)|\S{8}))(?:(?<!\S)\S{1,16}+(?!\S))?+"
 LEAST = -(1 << 63)
 
 
@@ -35,7 +36,7 @@ def anchors(text: Column) -> Column:
         windows = F.filter(F.transform(F.sequence(F.lit(0), F.size(h) - 3), window), lambda x: x.isNotNull())
         return F.when(F.size(h) < 3, h).otherwise(windows)
 
-    return let(F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t)), of)
+    return let(F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1)), lambda t: F.xxhash64(t)), of)
 
 
 def sketch(text: Column, kept: int = KEPT) -> Column:

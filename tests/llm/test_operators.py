@@ -305,6 +305,15 @@ def test_syncmers_by_brute_force(spark):
     assert sorted(got) == sorted(r[0] for r in hashed.collect())
 
 
+def test_syncmers_of_unspaced_text_do_not_depend_on_its_offset(spark):
+    draw = random.Random(12)
+    for letters in ("日月火水木金土年時分今何人女男子山川田中", "abcdefghijklmnopqrstuvwxyz0123456789+/"):
+        passage, other = ("".join(draw.choice(letters) for _ in range(n)) for n in (300, 400))
+        table = [(0, passage), *[(k, other[:k] + passage + other[20:]) for k in range(1, 16)]]
+        got = dict(spark.createDataFrame(table, "i int, text string").select("i", syncmers.anchors(F.col("text"))).collect())
+        assert len(set(got[0])) > 100 and all(set(got[0]) <= set(got[k]) for k in range(1, 16))
+
+
 ODD = ["", " ", "a  b ", "<|endoftext|>x <|endoftext|>  y", "a\u0085b c\x1cd  e", "don't 'S 'll 1234 ５", "é ́x", "    a", "🙂👍🏽 x\t y", "ΑΣ. İ ß ǅ", "<|startoftext|> A"]
 
 
