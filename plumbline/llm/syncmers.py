@@ -2,7 +2,8 @@
 
 A text's tokens are its runs of up to 16 characters without white space; in a longer run, every eight consecutive characters are one. A
 window of three tokens is an anchor when the token with the smallest hash stands at one of its edges: that depends on the window alone,
-so equal passages have equal anchors wherever they stand, also inside text without white space. The fingerprint keeps the anchors with the smallest hashes; two fingerprints are as like as these agree.
+so equal passages have equal anchors wherever they stand, also inside text without white space. All anchors count: two texts are as like as
+the shares of their sets of anchors that are common, and a fingerprint is a digest of the set.
 """
 
 from __future__ import annotations
@@ -13,8 +14,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.llm.common import partitions, text_of
 
-#: Anchors that a fingerprint keeps, those of the smallest hashes among all anchors of the whole text.
-KEPT = 64
 #: The first group is a short run, which is taken whole, or the eight characters from each place of a longer one.
 TOKEN = r"(?=((?<!\S)\S{1,16}+(?!\S)|\S{8}))(?:(?<!\S)\S{1,16}+(?!\S))?+"
 LEAST = -(1 << 63)
@@ -25,36 +24,50 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def anchors(text: Column) -> Column:
-    """Hashes of all closed syncmers of a text in order; a text of one or two tokens has its tokens."""
+def placed(text: Column) -> Column:
+    """(position, anchor) of all closed syncmers of a text in order; a text of one or two tokens has its tokens.
+
+    A position is the number of tokens before the anchor.
+    """
+
+    def at(i: Column, anchor: Column) -> Column:
+        return F.struct(i.cast("int").alias("position"), anchor.alias("anchor"))
 
     def of(h: Column) -> Column:
         def window(i: Column) -> Column:
             a, b, c = F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)
-            return F.when(F.least(a, c) <= b, F.xxhash64(a, b, c))
+            return F.when(F.least(a, c) <= b, at(i, F.xxhash64(a, b, c)))
 
         windows = F.filter(F.transform(F.sequence(F.lit(0), F.size(h) - 3), window), lambda x: x.isNotNull())
-        return F.when(F.size(h) < 3, h).otherwise(windows)
+        return F.when(F.size(h) < 3, F.transform(h, lambda x, i: at(i, x))).otherwise(windows)
 
     return let(F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1)), lambda t: F.xxhash64(t)), of)
 
 
-def sketch(text: Column, kept: int = KEPT) -> Column:
-    """The ``kept`` smallest distinct anchors, 32 bits each."""
-    short = F.transform(anchors(text), lambda x: F.shiftrightunsigned(x, 32))
-    return F.slice(F.sort_array(F.array_distinct(F.coalesce(short, F.array().cast("array<bigint>")))), 1, kept)
+def anchors(text: Column) -> Column:
+    """Hashes of all closed syncmers of a text in order."""
+    return F.transform(placed(text), lambda x: x["anchor"])
+
+
+def anchor_positions(docs: DataFrame) -> DataFrame:
+    """(doc_id, position, anchor): a row for each anchor of every row of (doc_id, text, ...); none for a text without tokens."""
+    return docs.select("doc_id", F.inline(placed(text_of())))
+
+
+def distinct(text: Column) -> Column:
+    """The set of a text's anchors, sorted."""
+    return F.sort_array(F.array_distinct(anchors(text)))
 
 
-def shown(sketch: Column) -> Column:
-    """A sketch as text: eight hex digits for each anchor."""
-    return F.array_join(F.transform(sketch, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+def shown(marks: Column) -> Column:
+    """SHA-256 of a sorted set of anchors as hex digits; empty for none."""
+    return F.when(F.size(marks) == 0, "").otherwise(F.sha2(F.array_join(F.transform(marks, lambda x: F.lpad(F.hex(x), 16, "0")), ""), 256))
 
 
-def likeness(a: Column, b: Column, kept: int = KEPT) -> Column:
-    """The share of common anchors among the smallest of both, an estimate of the texts' resemblance; 1 for two empty ones."""
-    union = F.slice(F.sort_array(F.array_distinct(F.concat(a, b))), 1, kept)
-    common = let(union, lambda u: F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u))
-    return F.when(a == b, 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(common)
+def likeness(a: Column, b: Column) -> Column:
+    """The resemblance of two sets of anchors: common ones among all; 1 for two empty ones."""
+    common = let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(common)
 
 
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -80,22 +93,23 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     return (rows.withColumn("next", F.lead(F.struct(*columns)).over(ahead)).filter("_copy = 0").select("doc_id", *columns, "next"))
 
 
-def edited_fingerprints(docs: DataFrame, kept: int = KEPT) -> DataFrame:
+def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text of (doc_id, text, ...) and of its edited text.
 
     The edited text has the last quarter of its code points replaced by as many of the next document's, or by all of them. Gives (doc_id, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next). A null text is empty; an empty text has an empty
     fingerprint, alike only to itself. Repeated rows get a row each; an only row is its own next one. Other columns are ignored.
     """
-    rows = docs.select("doc_id", text_of().alias("body"))
-    pairs = with_next(rows.withColumn("marks", sketch(F.col("body"), kept)), ["body", "marks"])
+    # anchors are made where they are compared: only texts move
+    pairs = with_next(docs.select("doc_id", text_of().alias("body")), ["body"])
     quarter = F.floor(F.char_length("body") / 4).cast("int")
     text = F.concat(F.substring(F.col("body"), F.lit(1), F.char_length("body") - quarter),
                     F.substring(F.col("next.body"), F.lit(1), quarter))
-    edited = pairs.select("doc_id", F.char_length("body").cast("long").alias("n_chars"), text.alias("edited"), "marks",
-                          F.col("next.marks").alias("next_marks"))
-    edited = edited.withColumn("edited_marks", sketch(F.col("edited"), kept))
-    return edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), shown(F.col("marks")).alias("fingerprint"),
-                         shown(F.col("edited_marks")).alias("edited_fingerprint"),
-                         likeness(F.col("marks"), F.col("edited_marks"), kept).alias("near_edited"),
-                         likeness(F.col("marks"), F.col("next_marks"), kept).alias("near_next"))
+    edited = pairs.select("doc_id", F.char_length("body").cast("long").alias("n_chars"), text.alias("edited"), "body",
+                          F.col("next.body").alias("next_body"))
+    made = edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), distinct(F.col("body")).alias("marks"),
+                         distinct(F.col("edited")).alias("edited_marks"), distinct(F.col("next_body")).alias("next_marks"))
+    return made.select("doc_id", "n_chars", "edited_sha256", shown(F.col("marks")).alias("fingerprint"),
+                       shown(F.col("edited_marks")).alias("edited_fingerprint"),
+                       likeness(F.col("marks"), F.col("edited_marks")).alias("near_edited"),
+                       likeness(F.col("marks"), F.col("next_marks")).alias("near_next"))

@@ -314,6 +314,21 @@ def test_syncmers_of_unspaced_text_do_not_depend_on_its_offset(spark):
         assert len(set(got[0])) > 100 and all(set(got[0]) <= set(got[k]) for k in range(1, 16))
 
 
+def test_syncmers_keep_all_anchors_and_their_positions(spark):
+    draw = random.Random(13)
+    own = [[f"w{draw.randrange(10**6)}" for _ in range(20_000)] for _ in range(2)]
+    passage = [f"p{i}" for i in range(150)]
+    texts = [" ".join(own[0][:5000] + passage + own[0][5000:]), " ".join(own[1][:900] + passage + own[1][900:]), None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    at = defaultdict(dict)
+    for r in syncmers.anchor_positions(frame).collect():
+        at[r.doc_id][r.anchor] = r.position
+    common = set(at[0]) & set(at[1])
+    assert len(common) > 60 and {at[0][a] - at[1][a] for a in common} == {4100} and 2 not in at
+    first = [r for r in syncmers.edited_fingerprints(frame.filter("doc_id < 2")).collect() if r.doc_id == 0][0]
+    assert first.near_next == pytest.approx(len(common) / len(set(at[0]) | set(at[1]))) and len(first.fingerprint) == 64
+
+
 ODD = ["", " ", "a  b ", "<|endoftext|>x <|endoftext|>  y", "a\u0085b c\x1cd  e", "don't 'S 'll 1234 ５", "é ́x", "    a", "🙂👍🏽 x\t y", "ΑΣ. İ ß ǅ", "<|startoftext|> A"]
 
 
