@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import bpe, exact_dedup, language, lattice_lm, mixing, sentence_dedup, simhash, substring_dedup, syncmers, token_files
+from plumbline.llm import (
+    bpe, conversations, exact_dedup, language, lattice_lm, mixing, oracles, quality, sentence_dedup, simhash, substring_dedup, syncmers,
+    token_files, vector_codes)
 from plumbline.llm.common import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +95,26 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences that repeat an earlier run of sentences are removed."""
     cleaned = sentence_dedup.sentence_span_dedup(documents(spark, sf_dir))
     return cleaned.select("doc_id", "n_sentences", "n_removed", "chars_removed", "kept_sha256")
+
+
+@query
+def op11_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bradley-Terry scores of all texts, learned from labels of the documents that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    docs = documents(spark, sf_dir).withColumn("held_out", held_out(F.col("doc_id"), 5, 0))
+    return quality.scored(docs, labels, ~F.col("held_out"), keep=["doc_id", "held_out"])
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product quantisation codes of all vectors, nearest entries by equal-average search."""
+    return vector_codes.coded_with_sums(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"))
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations are damaged by a hash and repaired by the cheapest edits."""
+    return conversations.repair(spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet"), conversations.damage_kind)
+
+
+ORACLES |= {"op12_vector_codes": oracles.vector_codes(), "op13_conversation_repair": oracles.conversation_repair()}
