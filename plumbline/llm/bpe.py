@@ -22,6 +22,8 @@ from plumbline.llm.common import byte_letters, kept_in_worker, text_of, without_
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces of text that a task keeps encoded; beyond it starts afresh, which costs time and changes nothing.
 KEPT_PIECES = 300_000
+#: Bytes of such pieces, so that long ones count as what they are.
+KEPT_BYTES = 24 << 20
 #: Characters of text that a task encodes at a time.
 AT_A_TIME = 2_000_000
 NONE = np.int64(1) << 40
@@ -55,6 +57,7 @@ class Bpe:
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
+        self.held = 0
         self.commas: list[bytes] = []
         self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -128,6 +131,7 @@ class Bpe:
         got = [[i for w in ws for i in ([self.special[w]] if w in self.special else lists[unique[w]])] for ws in words]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         self.index.update(zip(pieces, range(len(self.sizes), len(self.sizes) + len(pieces)), strict=True))
+        self.held += sum(map(len, pieces))
         self.commas.extend(",".join(map(str, g)).encode() for g in got)
         self.starts = np.append(self.starts, len(self.flat) + np.cumsum(sizes) - sizes)
         self.flat = np.append(self.flat, np.fromiter((i for g in got for i in g), np.int32, int(sizes.sum())))
@@ -136,7 +140,7 @@ class Bpe:
     def encode(self, texts: Sequence[str]) -> tuple[list[np.ndarray], list[bytes]]:
         """The ids of each text, and the same as decimals joined by commas."""
         parts = [self.pieces(t) for t in texts]
-        if len(self.index) > KEPT_PIECES:
+        if len(self.index) > KEPT_PIECES or self.held > KEPT_BYTES:
             self.forget()
         new = set().union(*parts).difference(self.index)
         if new:

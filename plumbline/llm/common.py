@@ -56,13 +56,24 @@ def ascii_lower(column: Column) -> Column:
 
 
 def kept_in_worker(name: str, make: Callable[[], Any]) -> Any:
-    """What a Python worker has made stays for its next tasks: tokenizers with the words that they have met."""
+    """What a Python worker has made stays for its next tasks of that name: a tokenizer with the words that it has met.
+
+    A worker keeps one such thing; what another operator has left goes first.
+    """
     store = sys.modules.setdefault("plumbline_kept", types.ModuleType("plumbline_kept"))
     if not hasattr(store, name):
+        let_go()
         setattr(store, name, make())
     return getattr(store, name)
 
 
+def let_go() -> None:
+    """Frees what earlier tasks of other operators have left in this Python worker."""
+    store = sys.modules.get("plumbline_kept")
+    for name in [n for n in vars(store or types.SimpleNamespace()) if not n.startswith("__")]:
+        delattr(store, name)
+
+
 @contextmanager
 def without_collector() -> Iterator[None]:
     """For code that makes very many small lists and no cycles: the garbage collector would only walk over them."""

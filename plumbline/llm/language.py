@@ -11,11 +11,16 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from plumbline.llm.common import let_go
+
 #: n-grams in a profile; documents labelled with a language that are read for its profile, about.
 PROFILE, SAMPLE = 400, 4000
 UNKNOWN = "und"
+#: Bytes of text that a task gives on at a time.
+AT_A_TIME = 4_000_000
 
 
 @cache
@@ -76,6 +81,7 @@ class Profiles:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of n-grams for each language of a batch."""
+    let_go()
     for batch in batches:
         by: dict[str, list[np.ndarray]] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -107,12 +113,20 @@ def fit(docs: DataFrame, profile: int = PROFILE, sample: int = SAMPLE) -> Profil
     return Profiles({k: np.array([g for _, g in sorted(v)], np.int64) for k, v in lists.items()})
 
 
-def _predicted(profiles: Profiles, names: tuple[str, str]):
+def _predicted(profiles: Profiles, names: tuple[str, str], read: int, kept: int):
+    """Tasks that read column ``read`` and give the first ``kept`` columns on, some megabytes of text at a time."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [profiles.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
-            columns = [*batch.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], *names])
+        let_go()
+        for whole in batches:
+            at, sizes = 0, pc.fill_null(pc.binary_length(whole.column(read)), 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            while at < whole.num_rows:
+                to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_A_TIME)) + 1  # a longer text comes alone
+                batch = whole.slice(at, to - at)
+                got = [profiles.predict(t.as_py()) for t in batch.column(read)]
+                columns = [*batch.columns[:kept], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:kept], *names])
+                at = to
 
     return task
 
@@ -126,7 +140,8 @@ def identify(docs: DataFrame, train: Column, keep: list[str] | None = None, prof
     """
     keep = [c for c in keep or ["doc_id"] if c not in names]
     profiles = fit(docs.filter(train), profile, sample)
-    source = docs.select(*keep, F.col("text").alias("_read"))
-    schema = [f for f in source.schema if f.name != "_read"]
-    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return source.mapInArrow(_predicted(profiles, names), f"{spec}, {names[0]} string, {names[1]} double")
+    # a text that is kept anyway is not sent a second time
+    source = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias("_read"))
+    read = keep.index("text") if "text" in keep else len(keep)
+    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:len(keep)])
+    return source.mapInArrow(_predicted(profiles, names, read, len(keep)), f"{spec}, {names[0]} string, {names[1]} double")

@@ -21,6 +21,8 @@ from plumbline.llm.common import byte_letters, kept_in_worker, partitions, share
 
 #: Distinct words that a task keeps encoded; beyond it starts afresh, which costs time and changes nothing.
 KEPT_WORDS = 400_000
+#: Bytes of such words, so that long ones count as what they are.
+KEPT_BYTES = 24 << 20
 #: Characters of text that a task encodes at a time.
 AT_A_TIME = 2_000_000
 # What the writer is told about stripes, row groups and Bloom filters.
@@ -57,11 +59,13 @@ class WordEncoder:
 
     def forget(self) -> None:
         self.index: dict[bytes, int] = {}
+        self.held = 0
         self.parts: dict[str, list[int]] = {}
         self.ids: list[np.ndarray] = []
         self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, words: list[bytes]) -> None:
+        self.held += sum(map(len, words))
         texts = [w.decode() for w in words]
         plain = [bool(PLAIN.fullmatch(t)) for t in texts]
         parts = [PARTS.findall(t.lower()) if p else () for t, p in zip(texts, plain, strict=True)]
@@ -79,7 +83,7 @@ class WordEncoder:
     def encode(self, texts: Sequence[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, each text ended by ``end``, and the number of ids of each text."""
         parts = [t.encode().split() for t in texts]
-        if len(self.index) > KEPT_WORDS:
+        if len(self.index) > KEPT_WORDS or self.held > KEPT_BYTES:
             self.forget()
         new = set().union(*parts).difference(self.index)
         if new:
