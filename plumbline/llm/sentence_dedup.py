@@ -108,12 +108,13 @@ def sentence_span_dedup(docs: DataFrame, span: int = 2, min_words: int = 0) -> D
     and share its result. A null text is empty, and nothing is removed from it. Other columns are ignored.
     """
     rows = docs.select("doc_id", text_of().alias("text"))
-    rows = rows.withColumn("_row", F.hash("text"))
+    # 128 bits name a text: rows whose ids repeat or are null must not share a name by chance
+    rows = rows.withColumn("_row", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
     texts = rows.select(F.col("doc_id").alias("_id"), "_row", "text")
     # written tables, so that Spark can split a frequent run's rows in the joins
     again = cut(texts.mapInArrow(_hashes(span, min_words, False), "a long").groupBy("a").agg(F.count(F.lit(1)).alias("n"))
                 .filter("n > 1").select("a"))
-    schema = f"a long, b int, _id {dict(docs.dtypes)['doc_id']}, _row int, first int, length int"
+    schema = f"a long, b int, _id {dict(docs.dtypes)['doc_id']}, _row binary, first int, length int"
     places = cut(texts.mapInArrow(_hashes(span, min_words, True), schema).join(again, "a", "left_semi"))
     where = F.struct("_id", "_row", "first")
     first = cut(places.groupBy("a", "b").agg(F.min(where).alias("_first"), F.max(where).alias("_last")).filter("_first != _last"))
