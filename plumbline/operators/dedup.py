@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.columns import col, identity, ratio
+from plumbline.operators.clusters import hash_counts, hex_word, neighbours, segment_masks
 from plumbline.operators.profile import column_types
 
 
@@ -104,12 +105,6 @@ def label_conflicts(df: DataFrame, content: Column, label: str) -> DataFrame:
         F.avg(conflict.cast("double")).alias("conflict_rate"))
 
 
-def _hex_word(text: Column) -> Column:
-    """A 16-digit hexadecimal text as a signed 64-bit word."""
-    return F.shiftleft(F.conv(F.substring(text, 1, 8), 16, 10).cast("bigint"), 32).bitwiseOR(
-        F.conv(F.substring(text, 9, 8), 16, 10).cast("bigint"))
-
-
 def near_duplicate_pairs(df: DataFrame, item: str, phash: str, max_distance: int = 6,
                          block_digits: int = 4) -> DataFrame:
     """Distinct-hash pairs within a Hamming distance, inside blocks of equal leading digits.
@@ -124,10 +119,9 @@ def near_duplicate_pairs(df: DataFrame, item: str, phash: str, max_distance: int
     hashes = (df.filter(col(phash).isNotNull()).groupBy(F.lower(col(phash)).alias("hash"))
               .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(col(item).alias("item"))).alias("ends_lo"),
                    F.max(F.struct(col(item).alias("item"))).alias("ends_hi")))
-    segments = max_distance + 2
-    # Neighbouring bits are often correlated, so each segment takes every segments-th bit.
-    masks = [sum(1 << bit for bit in range(i, 64 - 4 * block_digits, segments)) for i in range(segments)]
-    word = _hex_word(F.col("hash"))
+    masks = segment_masks(max_distance, block_digits)
+    segments = len(masks)
+    word = hex_word(F.col("hash"))
     keys = F.array(*[
         F.struct(F.lit(1 << i).alias("bit"), F.lit((1 << j) - 1).alias("below"),
                  word.bitwiseAND(F.lit(masks[i] | masks[j])).alias("bits"))
@@ -151,12 +145,17 @@ def near_duplicate_pairs(df: DataFrame, item: str, phash: str, max_distance: int
     return found.filter("item_pairs > 0")
 
 
-def near_duplicates(df: DataFrame, item: str, phash: str, max_distance: int = 6) -> DataFrame:
-    """Summary of the near-duplicate search: items with a hash, item pairs, hash pairs."""
-    pairs = near_duplicate_pairs(df, item, phash, max_distance)
-    found = pairs.agg(F.coalesce(F.sum("item_pairs"), F.lit(0)).alias("near_duplicate_pairs"),
-                      F.count(F.lit(1)).alias("hash_pairs"))
-    return found.withColumn("hashed_items", df.agg(F.count(col(phash))).scalar())
+def near_duplicates(df: DataFrame, item: str, phash: str, max_distance: int = 6, block_digits: int = 4) -> DataFrame:
+    """Summary of the near-duplicate search: item pairs, hash pairs and items with a hash, as sums over the hashes.
+
+    Copies are counted, neighbours are summed inside the join's partial aggregate; no pair is a row of its own.
+    """
+    hashes = hash_counts(df, item, phash)
+    near = neighbours(hashes.withColumn("name", F.col("hash")), max_distance, block_digits).select("hash", "links", "partners")
+    found = hashes.join(near, "hash", "left")
+    return found.agg(F.expr("coalesce(sum(n * (n - 1 + coalesce(partners, 0))), 0L) div 2").alias("near_duplicate_pairs"),
+                     F.expr("coalesce(sum(links), 0L) div 2 + coalesce(sum(if(n > 1, 1L, 0L)), 0L)").alias("hash_pairs"),
+                     F.expr("coalesce(sum(n), 0L)").alias("hashed_items"))
 
 
 def schema_delta(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import dedup, profile, quality
+from plumbline.operators import clusters, dedup, profile, quality
 from plumbline.plans.registry import query
 from plumbline.roles import Roles
 from plumbline.sources import fixtures as fx
@@ -311,6 +311,26 @@ def near_duplicate_pairs(spark, sf):
         "hash_a", "hash_b", "hamming", "item_pairs")
 
 
+_CLUSTERS = "WITH RECURSIVE " + _NEAR.removeprefix("WITH ") + """, h AS (SELECT DISTINCT phash AS h FROM fp),
+e AS (SELECT hash_a AS x, hash_b AS y FROM f UNION SELECT hash_b, hash_a FROM f UNION SELECT h, h FROM h),
+reach AS (SELECT h AS root, h AS node FROM h UNION SELECT r.root, e.y FROM reach r JOIN e ON r.node = e.x),
+named AS (SELECT node AS hash, min(root) AS cluster FROM reach GROUP BY 1), it AS (SELECT doc_id, phash AS hash, cluster FROM fp JOIN named ON fp.phash = named.hash),
+cl AS (SELECT cluster, min(doc_id) AS representative, count(*) AS cluster_items FROM it GROUP BY 1)"""
+
+
+@query(_CLUSTERS + " SELECT doc_id, hash, cluster, representative, cluster_items FROM it JOIN cl USING (cluster)")
+def near_duplicate_clusters(spark, sf):
+    """Every item with its cluster of near duplicates: as many rows as items."""
+    return clusters.clustered_items(_fingerprints(spark, sf), "doc_id", "phash", 6).withColumnRenamed("item", "doc_id")
+
+
+@query(_CLUSTERS + """ SELECT (SELECT count(*) FROM fp) AS hashed_items, count(*) FILTER (cluster_items > 1) AS clusters,
+  CAST(coalesce(sum(cluster_items) FILTER (cluster_items > 1), 0) AS BIGINT) AS clustered_items, max(cluster_items) AS largest_cluster,
+  (SELECT count(*) FROM f) AS near_duplicate_pairs, (SELECT count(DISTINCT hash_a || hash_b) FROM f) AS hash_pairs FROM cl""")
+def near_duplicate_summary(spark, sf):
+    return clusters.cluster_summary(clusters.near_duplicate_clusters(_fingerprints(spark, sf), "doc_id", "phash", 6))
+
+
 @query("""SELECT * FROM (VALUES ('o_orderkey', 'shared', 'bigint', 'bigint'), ('o_custkey', 'type_changed', 'bigint', 'string'),
   ('o_orderstatus', 'only_baseline', 'string', NULL), ('o_totalprice', 'shared', 'double', 'double'),
   ('o_orderdate', 'shared', 'timestamp_ntz', 'timestamp_ntz'), ('o_orderpriority', 'shared', 'string', 'string'),
