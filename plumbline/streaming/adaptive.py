@@ -10,7 +10,9 @@ A key with a third of all rows is spread over as many tasks as it has chunks.
 
 from __future__ import annotations
 
+import bisect
 import math
+from collections import deque
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -145,10 +147,10 @@ def alarm_windows(detected: DataFrame, key: str, length: int, base: float, raise
 
 
 def detect_changes_stream(stream: DataFrame, key: str, time: str, value: str, detector: Detector = Detector(),
-                          alarm_length: int = 100, idle: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
+                          alarm_length: int = 100, idle: str = "1 hour", lateness: str = "10 minutes", ties: Sequence[str] = ()) -> DataFrame:
     """The same detector on a stream; state per key: the window, the row count and the alarm end.
 
-    The watermark expires keys that stay silent for ``idle``.
+    Rows of a micro-batch are taken by time, equal times by ``ties``. The watermark expires keys that stay silent for ``idle``.
     """
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
     key_type = stream.schema[key].dataType.simpleString()
@@ -159,7 +161,7 @@ def detect_changes_stream(stream: DataFrame, key: str, time: str, value: str, de
             return
         window, count, until = state.get if state.exists else ([], 0, -1)
         window = list(window)
-        rows = pd.concat(list(batches)).sort_values(time, kind="stable")
+        rows = pd.concat(list(batches)).sort_values([time, *ties], kind="stable")
         out = []
         for ts, x in zip(rows[time], rows[value]):
             window = (window + [float(x)])[-detector.max_window:]
@@ -173,11 +175,77 @@ def detect_changes_stream(stream: DataFrame, key: str, time: str, value: str, de
         state.setTimeoutTimestamp(max(int(rows[time].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame(out, columns=["key", time, "position", "value", "alarm", "raised_budget"])
 
-    return stream.withWatermark(time, lateness).select(key, time, value).groupBy(key).applyInPandasWithState(
+    return stream.withWatermark(time, lateness).select(key, time, *ties, value).groupBy(key).applyInPandasWithState(
         update, f"key {key_type}, {time} timestamp, position long, value double, alarm boolean, raised_budget boolean",
         "window array<double>, count long, until long", "append", "EventTimeTimeout")
 
 
+class TrailingWindow:
+    """The last ``size`` values of a series in order of arrival, nulls among them, and its numbers in order of value.
+
+    The ring is the state that is kept; the sorted list is made from it once and then follows each value by one insertion and one removal.
+    """
+
+    def __init__(self, size: int, values: Sequence[float | None] = ()) -> None:
+        self.size, self.ring, self.ordered = size, deque(values), sorted(x for x in values if x is not None)
+
+    def push(self, value: float | None) -> None:
+        self.ring.append(value)
+        if value is not None:
+            bisect.insort(self.ordered, value)
+        gone = self.ring.popleft() if len(self.ring) > self.size else None
+        if gone is not None:
+            del self.ordered[bisect.bisect_left(self.ordered, gone)]
+
+    def quantile(self, level: float) -> float | None:
+        """Linearly interpolated quantile; null while no value has come."""
+        if not self.ordered:
+            return None
+        at = level * (len(self.ordered) - 1)
+        low = int(at)
+        high = min(low + 1, len(self.ordered) - 1)
+        if low == at:
+            return self.ordered[low]
+        return (high - at) * self.ordered[low] + (at - low) * self.ordered[high]
+
+
+def review_budget_stream(stream: DataFrame, key: str, order: Sequence[str], value: str, window: int, human: float, oracle: float = 0.0,
+                         idle: str = "30 days", lateness: str = "10 minutes") -> DataFrame:
+    """Review budget on a stream: thresholds are trailing quantiles that each key carries in its state.
+
+    Gives (key, order..., value, tau2, tau1, query, route) of every row. ``order`` names the event time and then what breaks its ties; the rows of a
+    micro-batch are taken in that order, and later batches must bring later rows of a key, as a log does. The state is a ring of
+    the values of the last ``window`` rows, whatever number of rows a key has; a key that stays silent for ``idle`` of event time is forgotten.
+    A row whose value is null takes a place in the window, as in a frame of rows, and is not asked about.
+    """
+    upper, lower = 1.0 - min(max(human, 0.0), 1.0), 1.0 - min(max(human + oracle, 0.0), 1.0)
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    time, kinds = order[0], dict(stream.dtypes)
+
+    def update(name, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = TrailingWindow(window, state.get[0] if state.exists else ())
+        rows = pd.concat(list(batches)).sort_values(list(order), kind="stable")
+        out = []
+        for x in rows[value]:
+            x = None if pd.isna(x) else float(x)
+            held.push(x)
+            tau2, tau1 = held.quantile(upper), held.quantile(lower)
+            tau1 = None if tau1 is None else min(tau1, tau2)
+            asked = None if x is None else x > tau2
+            out.append((tau2, tau1, asked, "none" if x is None else "human" if asked else "oracle" if x > tau1 else "none"))
+        state.update((list(held.ring),))
+        state.setTimeoutTimestamp(max(int(rows[time].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
+        found = pd.DataFrame(out, columns=["tau2", "tau1", "query", "route"])
+        yield pd.concat([pd.DataFrame({key: [name[0]] * len(rows)}), rows[[*order, value]].reset_index(drop=True), found], axis=1)
+
+    columns = ", ".join(f"`{c}` {kinds[c]}" for c in (key, *order, value))
+    return stream.withWatermark(time, lateness).select(key, *order, value).groupBy(key).applyInPandasWithState(
+        update, f"{columns}, tau2 double, tau1 double, query boolean, route string", "ring array<double>", "append", "EventTimeTimeout")
+
+
 def uncertainty(probabilities: Column, alpha: float = 1.0) -> Column:
     """Entropy plus alpha times one minus the margin of a class-probability array."""
     p = F.transform(probabilities, lambda x: F.least(F.lit(1.0), F.greatest(F.lit(1e-12), x.cast("double"))))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.functions.columns import PII_PATTERNS, col, missing_flag
 from plumbline.operators import gate
@@ -78,6 +79,58 @@ def run_available(stream: DataFrame, mode: str = "append", keys: Sequence[str] =
     return out.drop("_batch")
 
 
+def gate_closed_windows(windows: DataFrame, home: str, policy: str = gate.DEFAULT_POLICY, pii_threshold: float = 0.01):
+    """Starts a query that judges every window as it closes: one verdict row in ``home/verdicts`` for each, written with its batch.
+
+    ``windows`` must come from a watermarked aggregate; in append mode a window is given out once, when the watermark has passed its
+    end, so no verdict is ever taken back. A retried batch overwrites its own folder.
+    """
+    def judge(batch: DataFrame, batch_id: int) -> None:
+        counted = batch.select(F.date_format("window_start", "yyyy-MM-dd'T'HH:mm").alias("run_id"), F.col("rows").alias("window_rows"))
+        verdicts = gate_windows(batch, policy, pii_threshold).join(counted, "run_id").withColumn("batch", F.lit(batch_id).cast("long"))
+        verdicts.write.mode("overwrite").parquet(f"{home}/verdicts/batch={batch_id}")
+
+    return (windows.writeStream.outputMode("append").option("checkpointLocation", f"{home}/state")
+            .trigger(availableNow=True).foreachBatch(judge).start())
+
+
+def write_batches(home: str, mode: str):
+    """Starts the writer of ``run_available`` on a stream that is still fed: batch by batch into ``home/out``."""
+    def start(stream: DataFrame):
+        def write(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{home}/out/batch={batch_id}")
+
+        return (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/state")
+                .trigger(availableNow=True).foreachBatch(write).start())
+
+    return start
+
+
+def run_in_slices(slices: Sequence[DataFrame], build: Callable[[DataFrame], DataFrame],
+                  start: Callable[[DataFrame], StreamingQuery], home: str) -> DataFrame:
+    """Feeds a streaming query slice by slice and gives (arrived, dropped) of each micro-batch.
+
+    Each slice arrives as files in ``home/in``, any number of them, and the query goes on from its checkpoint: a restart between any
+    two micro-batches, as after a lost driver. ``arrived`` are the rows that an observed metric counts before the stateful operator,
+    ``dropped`` those groups that the operator refused as too late.
+    """
+    spark, progress = slices[0].sparkSession, []
+    for part in slices:
+        part.write.mode("append").parquet(f"{home}/in")
+        stream = spark.readStream.schema(part.schema).parquet(f"{home}/in").observe("arrivals", F.count(F.lit(1)).alias("rows"))
+        running = start(build(stream))
+        running.awaitTermination()
+        for p in running.recentProgress:
+            seen = p.observedMetrics.get("arrivals") if p.observedMetrics else None
+            progress.append((p.batchId, int(seen["rows"]) if seen is not None else 0, sum(o.numRowsDroppedByWatermark for o in p.stateOperators)))
+    return spark.createDataFrame(progress, "batch long, arrived long, dropped long")
+
+
+def written_batches(spark: SparkSession, home: str, folder: str = "out") -> DataFrame:
+    """All rows that the batches of a query have written."""
+    return spark.read.parquet(f"{home}/{folder}/batch=*")
+
+
 def read_stream(spark, path: str, pattern: str = "*.parquet", files_per_batch: int = 1) -> DataFrame:
     """A folder of Parquet files as a stream; the schema comes from the files already there."""
     schema = spark.read.option("pathGlobFilter", pattern).parquet(path).schema
