@@ -39,6 +39,30 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
             .load(path).select("path", "length", "content"))
 
 
+def write_files(files: DataFrame, root: str) -> int:
+    """Writes (path, content) rows as files below a shared folder, each by the task that holds it; a retried task writes the same files.
+
+    The folder is reached through its own file system (file, hdfs, s3, gs), not through a local disk of the executor.
+    """
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        made: set[str] = set()
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                target = f"{base.rstrip('/')}/{path}"
+                folder = target.rsplit("/", 1)[0]
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with store.open_output_stream(target) as out:
+                    out.write(content)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return files.select("path", "content").mapInPandas(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
 
@@ -161,9 +185,15 @@ def _exif(data: bytes) -> tuple:
         return False, False, None, None, None
 
 
-def decoded_images(spark: SparkSession, path: str) -> DataFrame:
+def image_glob() -> str:
+    """File names of the accepted formats, in small or capital letters."""
+    return "*.{" + ",".join(f(e) for e in IMAGE_EXTENSIONS for f in (str.lower, str.upper)) + "}"
+
+
+def decoded_images(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, image) of every image file below a folder, decoded by Spark (JPEG, PNG, GIF, BMP, TIFF); width -1 where it can't."""
-    found = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(path)
+    found = (spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True)
+             .option("pathGlobFilter", pattern).load(path))
     return found.select(F.col("image.origin").alias("path"), "image")
 
 
