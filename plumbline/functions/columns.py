@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -127,6 +128,19 @@ def slice_label(ts: Column, mode: str) -> Column | None:
     return None
 
 
+def slice_bounds(ts: datetime, mode: str) -> tuple[datetime, datetime]:
+    """Start of the period that holds a timestamp, and of the next one: the inverse of ``slice_label``."""
+    day = ts.replace(hour=0, minute=0, second=0, microsecond=0)
+    if mode == "day":
+        return day, day + timedelta(days=1)
+    if mode == "week":
+        monday = day - timedelta(days=day.weekday())
+        return monday, monday + timedelta(days=7)
+    months = 3 if mode == "quarter" else 1
+    first = day.year * 12 + (day.month - 1) // months * months
+    return tuple(day.replace(year=m // 12, month=m % 12 + 1, day=1) for m in (first, first + months))
+
+
 def seconds_of(ts: Column) -> Column:
     """Seconds since the epoch of a zone-less timestamp, fraction included."""
     return F.unix_micros(ts.cast("timestamp")) / F.lit(1e6)

@@ -88,7 +88,9 @@ def in_intervals(df: DataFrame, keys: Sequence[str], order: str, few_keys: bool
     """
     count = intervals or interval_count(df)
     bucket = F.pmod(F.xxhash64(order), F.lit(SAMPLED * count)).alias("_bucket")
-    sample = df.groupBy(*keys, bucket).agg(F.min(F.struct(F.xxhash64(F.lit(1), col(order)), col(order).alias("v"))).alias("_s"))
+    # the sample carries all columns, so that it reads the very exchange that its frame's other readers read: counts are made once
+    rest = [col(c).alias(f"r{i}") for i, c in enumerate(df.columns) if c not in (*keys, order)]
+    sample = df.groupBy(*keys, bucket).agg(F.min(F.struct(F.xxhash64(F.lit(1), col(order)), col(order).alias("v"), *rest)).alias("_s"))
     cuts = sample.groupBy(*keys).agg(F.sort_array(F.collect_list("_s.v")).alias("_all")).select(
         *keys, F.filter("_all", lambda v, i: i % SAMPLED == SAMPLED - 1).alias("_cuts"))
     if keys:
@@ -106,13 +108,13 @@ def running_totals(counts: DataFrame, keys: Sequence[str], order: str, measures:
                    only=None, few_keys: bool = False, intervals: int | None = None) -> DataFrame:
     """Adds ``cum_<m>`` (inclusive running total) and ``all_<m>`` (total of the key).
 
-    ``counts`` holds one row per (keys, order); it is read three times (sample, sums, rows) and therefore written to the shared folder first.
+    ``counts`` holds one row per (keys, order); it is read three times (sample, sums, rows) from one exchange, which Spark reuses.
     ``few_keys`` states that the number of keys is bounded by the schema (a key
     per column), which bounds the broadcast interval table by columns x shuffle partitions; otherwise Spark chooses the
     join by size. ``only(before, size, total)`` (SQL text in, SQL text out) keeps just the intervals that a query needs.
     """
     keys = list(keys)
-    placed = in_intervals(written(counts), keys, order, few_keys, intervals)
+    placed = in_intervals(counts, keys, order, few_keys, intervals)
     whole, before = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_slot")
     slots = placed.groupBy(*keys, "_slot").agg(*[F.sum(m).alias(f"_size_{m}") for m in measures])
     slots = slots.select(
@@ -193,8 +195,22 @@ def roc_auc_from_counts(counts: DataFrame, keys: Sequence[str], score: str = "sc
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Adds the average rank of ``value`` within its key (ties share their mean rank)."""
-    ranked = running_totals(value_counts(df.filter(col(value).isNotNull()), list(keys), value), keys, value,
-                            few_keys=False)
-    ranks = ranked.select(*keys, value, (F.col("cum_n") - (F.col("n") - 1) / 2.0).alias(out))
-    return df.join(ranks, [*keys, value], "left")
+    """Adds the average rank of ``value`` within its key (ties share their mean rank); null keys are a key, null values have no rank.
+
+    Ranks come from running totals over counts. A value with more than one interval's share of all rows would gather its rows in one
+    task; there are fewer such values than intervals, so their ranks are broadcast and their rows stay where they are. Only
+    the rows of other values meet their rank by shuffle.
+    """
+    counts = written(value_counts(df.filter(col(value).isNotNull()), list(keys), value))
+    ranked = running_totals(counts, keys, value, few_keys=False)
+    ranks = written(ranked.select(*keys, value, "n", (F.col("cum_n") - (F.col("n") - 1) / 2.0).alias(out)))
+    share = counts.agg(F.coalesce(F.sum("n"), F.lit(0)) / interval_count(df)).first()[0]
+    frequent = ranks.filter(F.col("n") > share).drop("n")
+    rows = df.filter(col(value).isNotNull())
+    near = joined(rows, frequent, [*keys, value], small=True)
+    names = frequent.drop(out).withColumnsRenamed({k: f"_key{i}" for i, k in enumerate([*keys, value])})
+    same = F.lit(True)
+    for i, k in enumerate([*keys, value]):
+        same = same & col(k).eqNullSafe(F.col(f"_key{i}"))
+    far = joined(rows.join(F.broadcast(names), same, "left_anti"), ranks.filter(F.col("n") <= share).drop("n"), [*keys, value])
+    return near.unionByName(far).unionByName(df.filter(col(value).isNull()), allowMissingColumns=True)

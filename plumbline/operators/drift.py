@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.columns import (
-    as_double, col, is_datetime, is_numeric, numeric_columns, slice_label, timestamp_of)
+    as_double, col, is_datetime, is_numeric, numeric_columns, slice_bounds, slice_label, timestamp_of)
 from plumbline.operators.dedup import schema_delta
 from plumbline.operators.distribution import (
     bounded_rows, ks_from_counts, ks_p_value, melt, quantiles, value_counts)
@@ -52,10 +52,35 @@ def slice_range(sliced: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("num_slices"))
 
 
+def end_slices(df: DataFrame, roles: Roles) -> tuple[DataFrame, tuple[str, str]] | None:
+    """The rows of the first and the last period of the time column with their label, and the two labels.
+
+    The least and greatest timestamp are one aggregate over that column alone. They give the two periods' ranges on the raw column, a
+    filter that reaches the scan, so all periods between are skipped by the files' statistics. None where slices are not
+    periods of a timestamp column.
+    """
+    if not roles.time or not is_datetime(df.schema[roles.time].dataType) or slice_label(F.lit(None), roles.slice_mode) is None:
+        return None
+    time = col(roles.time)
+    lo, hi = df.agg(F.min(time.cast("timestamp_ntz")), F.max(time.cast("timestamp_ntz"))).first()
+    label = slice_label(timestamp_of(df, roles.time), roles.slice_mode)
+    if lo is None:
+        return df.filter(F.lit(False)).withColumn(SLICE, label), ("", "")
+    kind = df.schema[roles.time].dataType
+    (_, first_end), (last_start, _) = slice_bounds(lo, roles.slice_mode), slice_bounds(hi, roles.slice_mode)
+    ends = [F.lit(t.isoformat(" ")).cast("timestamp_ntz").cast(kind) for t in (first_end, last_start)]
+    pair = df.filter((time < ends[0]) | (time >= ends[1])).withColumn(SLICE, label)
+    names = df.sparkSession.range(1).select(*[slice_label(F.lit(t.isoformat(" ")).cast("timestamp_ntz"), roles.slice_mode) for t in (lo, hi)]).first()
+    return pair, (names[0], names[1])
+
+
 def drift_first_last(sliced: DataFrame, columns: Sequence[str], minimum: int = 20, k: int | None = 10,
-                     by: Sequence[str] = ()) -> DataFrame:
-    """KS distance between the first and the last slice for each numeric column."""
-    first, last = sliced.agg(F.min(SLICE), F.max(SLICE)).first()
+                     by: Sequence[str] = (), ends: tuple[str, str] | None = None) -> DataFrame:
+    """KS distance between the first and the last slice for each numeric column.
+
+    ``ends`` names the two slices where they are known, as for a frame of ``end_slices``.
+    """
+    first, last = ends or sliced.agg(F.min(SLICE), F.max(SLICE)).first()
     pair = sliced.filter(F.col(SLICE).isin(first, last))
     pair = pair.withColumn("_late", (F.col(SLICE) != F.lit(first)).cast("int"))
     counts = value_counts(melt(pair, columns, [*by, "_late"]), [*by, "column"],
@@ -65,6 +90,15 @@ def drift_first_last(sliced: DataFrame, columns: Sequence[str], minimum: int = 2
     return found if k is None else top(found, k, "ks", "column")
 
 
+def drift_of_ends(df: DataFrame, roles: Roles, columns: Sequence[str], k: int | None = 10) -> DataFrame | None:
+    """``drift_first_last`` by the cheapest way: only the two periods are read where slices are periods."""
+    pair = end_slices(df, roles)
+    if pair is not None:
+        return drift_first_last(pair[0], columns, k=k, ends=pair[1])
+    sliced = with_slices(df, roles)
+    return None if sliced is None else drift_first_last(sliced, columns, k=k)
+
+
 def cross_drift(a: DataFrame, b: DataFrame, threshold: float = 0.30, max_columns: int | None = None) -> DataFrame:
     """Per shared numeric column of two tables: KS, p-value, means, mean change, flag."""
     in_b = set(numeric_columns(b))

@@ -153,7 +153,8 @@ def prepare(df: DataFrame, label: str, key: str, max_features: int = 50, max_row
     from plumbline.functions.columns import numeric_columns
     from plumbline.operators.security import stratified_sample
     counts = df.filter(col(label).isNotNull()).groupBy(col(label).alias("c")).agg(F.count(F.lit(1)).alias("n"))
-    major = counts.orderBy(F.desc("n"), "c").limit(1).first()["c"]
+    first = counts.orderBy(F.desc("n"), "c").limit(1).first()
+    major = first["c"] if first is not None else None  # without labelled rows nothing is left either way
     features = numeric_columns(df, [label, key])
     if len(features) > max_features:
         features = [r["column"] for r in bounded_rows(numeric_variances(df, features, max_features), max_features)]

@@ -73,8 +73,39 @@ def stratified_folds(df: DataFrame, key: Sequence[str], seed: int, folds: int, l
     return ranked.withColumn("_fold", ((F.col("_pos") - 1) % folds).cast("int")).drop("_draw", "_pos")
 
 
+def category_plan(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., column, mode, pooled, kept): the value that stands for missing ones, values seen once, and values seen more often.
+
+    The mode is the most frequent value, of equally frequent ones the smallest. Rows seen once are counted after missing values have
+    become the mode, as a pipeline of two fitted steps would count them. Counts collapse map-side; there is a row for each column.
+    """
+    long = df.select(*by, *[col(c).cast("string").alias(c) for c in columns]).unpivot(list(by), list(columns), "column", "value")
+    counts = long.filter("value is not null").groupBy(*by, "column", "value").agg(F.count(F.lit(1)).alias("n"))
+    missing = df.groupBy(*by).agg(*[F.sum(col(c).isNull().cast("bigint")).alias(c) for c in columns])
+    missing = missing.unpivot(list(by), list(columns), "column", "missing")
+    modes = counts.groupBy(*by, "column").agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("m"))
+    filled = counts.join(modes, [*by, "column"]).join(missing, [*by, "column"])
+    often = F.col("n") + F.when(F.col("value") == F.col("m.value"), F.col("missing")).otherwise(0)
+    return filled.groupBy(*by, "column").agg(
+        F.max("m.value").alias("mode"), F.sort_array(F.collect_list(F.when(often < 2, F.col("value")))).alias("pooled"),
+        F.sort_array(F.collect_list(F.when(often >= 2, F.col("value")))).alias("kept"))
+
+
+#: Stands for all values that a fit has seen once.
+POOLED = "\x00pooled"
+
+
+def with_categories(df: DataFrame, plan: dict[str, tuple[str, list[str]]]) -> DataFrame:
+    """Text columns as a fitted plan (mode, pooled) reads them: missing values as the mode, values seen once as one value of their own."""
+    out = {}
+    for c, (mode, pooled) in plan.items():
+        x = F.coalesce(col(c), F.lit(mode))
+        out[c] = F.when(x.isin(pooled), POOLED).otherwise(x) if pooled else x
+    return df.withColumns(out) if out else df
+
+
 def feature_stages(numeric: Sequence[str], categorical: Sequence[str]) -> list:
-    """Median impute and scale; mode-free missing category and one-hot."""
+    """Median impute and scale; one-hot of text columns, unknown values as zeros."""
     stages, parts = [], []
     if numeric:
         stages += [Imputer(inputCols=list(numeric), outputCols=[f"_i_{c}" for c in numeric], strategy="median",
@@ -129,8 +160,10 @@ def label_noise(df: DataFrame, label: str, features: Sequence[str], ids: Sequenc
         model = LogisticRegression(featuresCol="_features", labelCol="_y", family="multinomial", maxIter=max_iter,
                                    regParam=folds / (total * (folds - 1.0)), elasticNetParam=0.0, standardization=False,
                                    probabilityCol="_prob", predictionCol="_pred", rawPredictionCol="_raw")
-        fitted = Pipeline(stages=[*feature_stages(numeric, categorical), model]).fit(train)
-        return fitted.transform(held).select(
+        plan = {r["column"]: (r["mode"], r["pooled"]) for r in bounded_rows(category_plan(train, categorical), len(categorical))} if categorical else {}
+        used = [c for c in categorical if c in plan]
+        fitted = Pipeline(stages=[*feature_stages(numeric, used), model]).fit(with_categories(train, plan))
+        return fitted.transform(with_categories(held, plan)).select(
             *[f"_id_{c}" for c in ids], "observed_label", F.col("_y").cast("int").alias("_y"), vector_to_array("_prob").alias("p"))
 
     # The folds are independent jobs; the driver only waits for them, Spark runs them side by side.
@@ -191,10 +224,19 @@ def noise_by_class(noise: LabelNoise, confidence: float = 0.80) -> DataFrame:
         F.avg(F.col("suspected").cast("double")).alias("suspected_rate"))
 
 
-def holdout(df: DataFrame, key: Sequence[Column], share: float = 0.25, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """Train and test rows by keyed hash, so that both sides are stable under repartitioning."""
-    draw = uniform(seed, *key)
-    return df.filter(draw >= share), df.filter(draw < share)
+def holdout(df: DataFrame, label: str, key: Sequence[Column], share: float = 0.25, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows, the test taking exactly floor(share * n) rows of each class; a null label is a class.
+
+    Rows of a class are dealt in hash order of their key: row number r is a test row where floor(r * share) steps up. Ranks are
+    counted over hash ranges, so no class is sorted in one task, and both sides are read from one written table.
+    """
+    parts = [k.alias(f"_k{i}") for i, k in enumerate(key)]
+    drawn = df.select("*", uniform(seed, *key).alias("_draw"), *parts)
+    names = [f"_k{i}" for i in range(len(parts))]
+    ranked = positions(drawn, [label], ["_draw", *names], F.floor(F.col("_draw") * 256))
+    test = F.floor(F.col("_pos") * share) > F.floor((F.col("_pos") - 1) * share)
+    dealt = written(ranked.withColumn("_test", test).drop("_draw", "_pos", *names))
+    return dealt.filter(~F.col("_test")).drop("_test"), dealt.filter("_test").drop("_test")
 
 
 def auc_of(scored: DataFrame, score: Column, positive: Column) -> DataFrame:
@@ -214,19 +256,19 @@ def _as_number(label: str) -> tuple:
 
 def predictability_auc(df: DataFrame, label: str, features: Sequence[str], ids: Sequence[str] = (), seed: int = 7,
                        minimum: int = 200) -> DataFrame | None:
-    """Hold-out AUC of a logistic regression on the numeric columns (missing as 0); binary labels only."""
+    """AUC of a logistic regression on the numeric columns (missing as 0) on a stratified hold-out; binary labels only."""
     counts = class_counts(df, label)
     if counts is None or len(counts) != 2 or sum(counts.values()) < minimum or not features:
         return None
     high = max(counts, key=_as_number)
     key = [col(c) for c in (ids or features)]
     frame = df.filter(col(label).isNotNull()).select(
-        (col(label).cast("string") == high).cast("double").alias("_y"), uniform(seed, *key).alias("_draw"),
+        (col(label).cast("string") == high).cast("double").alias("_y"), *[k.alias(f"_key{i}") for i, k in enumerate(key)],
         *[F.coalesce(as_double(df, c), F.lit(0.0)).alias(c) for c in features])
+    train, test = holdout(frame, "_y", [F.col(f"_key{i}") for i in range(len(key))], 0.25, seed)
     stages = [VectorAssembler(inputCols=list(features), outputCol="_features"),
               LogisticRegression(featuresCol="_features", labelCol="_y", maxIter=100)]
-    fitted = Pipeline(stages=stages).fit(frame.filter("_draw >= 0.25"))
-    scored = fitted.transform(frame.filter("_draw < 0.25"))
+    scored = Pipeline(stages=stages).fit(train).transform(test)
     return auc_of(scored, vector_to_array("probability")[1], F.col("_y") == 1.0).select("auc", "positives", "negatives")
 
 

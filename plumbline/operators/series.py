@@ -3,8 +3,8 @@
 A window partitioned by entity sorts a whole entity in one task, which fails when one entity holds a
 third of the rows. Two devices avoid that and stay exact:
 
-* ``steps`` looks back inside (entity, period) and takes the last time of the preceding period from
-  the small table of period ends;
+* ``steps`` looks back inside intervals of the order of (entity, time) and takes the last point of the preceding interval from
+  the small table of interval ends;
 * ``positions`` numbers the rows of an entity by adding the counts of earlier periods, and
   ``chunks`` cuts the numbered series into pieces that carry enough preceding rows as context for
   any trailing window.
@@ -55,41 +55,28 @@ def duplicate_timestamps(df: DataFrame, time: str, entities: Sequence[str] = ())
         (F.sum(F.col("n") - 1) / F.nullif(F.sum("n"), F.lit(0))).alias("duplicate_rate"))
 
 
-def steps(df: DataFrame, time: str, entities: Sequence[str] = (), period: str = "day",
-          across_entities: bool = False) -> DataFrame:
+def steps(df: DataFrame, time: str, entities: Sequence[str] = (), across_entities: bool = False) -> DataFrame:
     """Seconds between consecutive records as (step, n) counts.
 
     Steps run within an entity; ``across_entities`` also counts the (often negative) step from the
-    last record of one entity to the first of the next in entity order.
+    last record of one entity to the first of the next in entity order. All points stand in one order of (entity, time) that is cut into
+    as many intervals as there are tasks, whether they belong to one series or to millions; each interval only
+    learns the last point of the one before it.
     """
     entities = list(entities)
-    pts = points(df, time, entities).withColumn("_period", F.date_trunc(period, "ts"))
-    inside = Window.partitionBy(*entities, "_period").orderBy("ts")
-    looked = pts.withColumn("_prev", F.lag("ts").over(inside))
-    ends = pts.groupBy(*entities, "_period").agg(F.max("ts").alias("_end"))
-    order = Window.partitionBy(*(entities or [F.lit(0)])).orderBy("_period")
-    ends = ends.withColumn("_earlier", F.lag("_end").over(order)).drop("_end")
-    joined = looked.alias("a").join(ends.alias("b"), _null_safe("a", "b", [*entities, "_period"]))
-    prev = F.coalesce("a._prev", "b._earlier")
-    gaps = joined.select((seconds_of(F.col("a.ts")) - seconds_of(prev)).alias("step"), F.lit(1).alias("n"))
+    pts = points(df, time, entities)
+    placed = in_intervals(pts.select(F.struct(*entities, "ts").alias("e"), "n"), [], "e")
+    looked = placed.withColumn("_prev", F.lag("e").over(Window.partitionBy("_slot").orderBy("e")))
+    ends = placed.groupBy("_slot").agg(F.max("e").alias("_last"))
+    ends = ends.select("_slot", F.lag("_last").over(Window.orderBy("_slot")).alias("_earlier"))  # a row for each interval
+    prev = F.coalesce("_prev", "_earlier")
+    found = looked.join(F.broadcast(ends), "_slot").select("e", "n", prev.alias("p")).filter("p is not null")
+    if not across_entities:
+        for name in entities:
+            found = found.filter(F.col("e")[name].eqNullSafe(F.col("p")[name]))
+    gaps = found.select((seconds_of(F.col("e.ts")) - seconds_of(F.col("p.ts"))).alias("step"), F.lit(1).alias("n"))
     repeats = pts.filter("n > 1").select(F.lit(0.0).alias("step"), (F.col("n") - 1).alias("n"))
-    found = gaps.filter(F.col("step").isNotNull()).unionByName(repeats)
-    if across_entities and entities:
-        found = found.unionByName(_entity_steps(pts, entities))
-    return found.groupBy("step").agg(F.sum("n").alias("n"))
-
-
-def _entity_steps(pts: DataFrame, entities: list[str]) -> DataFrame:
-    """First record of an entity minus the last record of the entity before it."""
-    spans = pts.groupBy(*entities).agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
-    spans = in_intervals(spans.select(F.struct(*entities).alias("e"), "first", "last"), [], "e")
-    near = Window.partitionBy("_slot").orderBy("e")
-    inner = spans.withColumn("_prev", F.lag("last").over(near))
-    slots = spans.groupBy("_slot").agg(F.max_by("last", "e").alias("_last"))
-    slots = slots.withColumn("_earlier", F.lag("_last").over(Window.orderBy("_slot"))).drop("_last")
-    joined = inner.join(F.broadcast(slots), "_slot")
-    step = seconds_of(F.col("first")) - seconds_of(F.coalesce("_prev", "_earlier"))
-    return joined.select(step.alias("step"), F.lit(1).alias("n")).filter(F.col("step").isNotNull())
+    return gaps.unionByName(repeats).groupBy("step").agg(F.sum("n").alias("n"))
 
 
 def cadence(step_counts: DataFrame, minimum: int = 50) -> DataFrame:

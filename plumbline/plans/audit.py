@@ -8,12 +8,14 @@ columns, so a table larger than the cluster's memory costs scans, not spills.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.columns import (
-    PII_PATTERNS, categorical_columns, col, missing_flag, normalize_missing, numeric_columns)
+    PII_PATTERNS, categorical_columns, col, missing_flag, normalize_missing, numeric_columns, seconds_of, timestamp_of)
 from plumbline.operators import dedup, drift, evidence, fairness, gate, labels, profile, quality, robust, scoring, series
 from plumbline.operators.security import table_fingerprint
 from plumbline.roles import Roles, TabularThresholds
@@ -35,14 +37,39 @@ def emit(frame: DataFrame, *metrics: Column) -> DataFrame:
     return frame.select(F.explode(F.array(*metrics)).alias("m")).select("m.*")
 
 
-def column_scan(df: DataFrame, roles: Roles, thresholds: TabularThresholds) -> DataFrame:
-    """Everything that one pass over all columns can measure."""
+@dataclass(frozen=True)
+class Check:
+    """A check of the user's own: an aggregate column over all rows, run in the audit's shared scan.
+
+    ``above`` and ``below`` are limits beyond which the check has a finding; it is then named by ``finding``.
+    """
+
+    dimension: str
+    name: str
+    value: Column
+    above: float | None = None
+    below: float | None = None
+    finding: str = ""
+
+    def metrics(self, value: Column) -> list[Column]:
+        beyond = F.lit(False)
+        if self.above is not None:
+            beyond = beyond | (value > self.above)
+        if self.below is not None:
+            beyond = beyond | (value < self.below)
+        return [metric(self.dimension, self.name, "value", value, F.lit("own check")),
+                metric(self.dimension, self.name, "finding", F.when(beyond, 1.0), F.lit("own check"), F.lit(self.finding or self.name))]
+
+
+def column_scan(df: DataFrame, roles: Roles, thresholds: TabularThresholds, checks: Sequence[Check] = ()) -> DataFrame:
+    """Everything that one pass over all columns can measure, checks of the user's own among it."""
     texts = categorical_columns(df, roles.reserved)
     hits = [(c, p) for c in texts for p in PII_PATTERNS]
     row = df.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.avg(missing_flag(df, c)).alias(f"m{i}") for i, c in enumerate(df.columns)],
-        *[F.avg(col(c).rlike(PII_PATTERNS[p]).cast("double")).alias(f"h{i}") for i, (c, p) in enumerate(hits)])
+        *[F.avg(col(c).rlike(PII_PATTERNS[p]).cast("double")).alias(f"h{i}") for i, (c, p) in enumerate(hits)],
+        *[c.value.cast("double").alias(f"own{i}") for i, c in enumerate(checks)])
     rates = [F.col(f"m{i}") for i in range(len(df.columns))]
     flagged = {c: F.lit(False) for c in texts}
     for i, (c, _) in enumerate(hits):
@@ -57,6 +84,8 @@ def column_scan(df: DataFrame, roles: Roles, thresholds: TabularThresholds) -> D
     out += [metric("security", "confidentiality_pii_heuristics", "hit_rate",
                    F.when(F.col(f"h{i}") >= thresholds.pii_hit_rate, F.col(f"h{i}")), F.lit(c), F.lit(p))
             for i, (c, p) in enumerate(hits)]
+    for i, c in enumerate(checks):
+        out += c.metrics(F.col(f"own{i}"))
     if roles.label:
         out.append(metric("quality", "label_stats", "label_missing_rate", F.col(f"m{df.columns.index(roles.label)}")))
     return emit(row, *out).filter(F.col("value").isNotNull())
@@ -75,7 +104,7 @@ def numeric_passes(df: DataFrame, roles: Roles) -> list[DataFrame]:
     parts = [emit(robust.outlier_rates(df, fences), metric("quality", "outliers_iqr", "outlier_rate", F.col("outlier_rate"), F.col("column")))]
     sliced = drift.with_slices(df, roles)
     if sliced is not None:
-        ks = drift.drift_first_last(sliced, columns, k=None)
+        ks = drift.drift_of_ends(df, roles, columns, k=None)
         parts.append(emit(ks, metric("reliability", "numeric_drift_ks_first_last", "top_10_ks", F.col("ks"), F.col("column"))))
         by_slice = profile.missing_by_slice(sliced, drift.SLICE, df.columns)
         parts.append(emit(by_slice, metric("reliability", "missing_rate_by_slice", "missing_rate", F.col("missing_rate"), F.col("slice"))))
@@ -155,10 +184,13 @@ def series_passes(df: DataFrame, roles: Roles) -> list[DataFrame]:
 
 def audit(df: DataFrame, roles: Roles, thresholds: TabularThresholds = TabularThresholds(), dataset: str = "dataset",
           run_id: str | None = None, kind: str = "tabular", models: bool = False,
-          fingerprint: bool = True) -> DataFrame:
-    """The metric table of one data set: (run_id, dataset, dimension, check, subject, key, value, text)."""
+          fingerprint: bool = True, checks: Sequence[Check] = ()) -> DataFrame:
+    """The metric table of one data set: (run_id, dataset, dimension, check, subject, key, value, text).
+
+    ``checks`` of the user's own are aggregates in the scan that the built-in checks share.
+    """
     df = normalize_missing(df)
-    parts = [column_scan(df, roles, thresholds), *numeric_passes(df, roles), *content_passes(df, roles),
+    parts = [column_scan(df, roles, thresholds, checks), *numeric_passes(df, roles), *content_passes(df, roles),
              *label_passes(df, roles), *fairness_passes(df, roles)]
     if kind == "series" and roles.time:
         parts += series_passes(df, roles)
@@ -177,7 +209,11 @@ def audit(df: DataFrame, roles: Roles, thresholds: TabularThresholds = TabularTh
 def model_passes(df: DataFrame, roles: Roles, thresholds: TabularThresholds) -> list[DataFrame]:
     """Label noise and label predictability (fits models, so only on request)."""
     skip = {*roles.reserved, *roles.annotators, *roles.ids}
-    noise = labels.label_noise(df, roles.label, [c for c in df.columns if c not in skip], roles.ids)
+    features = [c for c in df.columns if c not in skip]
+    if roles.time:  # time is a feature of its own, as a number
+        df = df.withColumn("_time_feature", seconds_of(timestamp_of(df, roles.time)))
+        features.append("_time_feature")
+    noise = labels.label_noise(df, roles.label, features, roles.ids)
     parts = []
     if noise.scored is not None:
         parts.append(emit(labels.noise_summary(noise), *[
@@ -215,6 +251,13 @@ def headline(metrics: DataFrame) -> DataFrame:
     return row.unpivot(["run_id"], list(scoring.METRICS), "metric", "value").filter(F.col("value").isNotNull())
 
 
+def own_findings(metrics: DataFrame) -> DataFrame:
+    """(run_id, dimension, check, value, finding) of every check of the user's own; ``finding`` is null where its limits hold."""
+    own = metrics.filter("subject = 'own check'")
+    return own.groupBy("run_id", "dimension", "check").agg(
+        F.max(F.when(F.col("key") == "value", F.col("value"))).alias("value"), F.max(F.when(F.col("key") == "finding", F.col("text"))).alias("finding"))
+
+
 def report(metrics: DataFrame, thresholds: TabularThresholds = TabularThresholds(), rules=scoring.TABULAR_RULES,
            weights: dict | None = None) -> DataFrame:
     """One row per run: score, grade, component points, verdict, findings, recommendations."""

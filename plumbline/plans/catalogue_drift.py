@@ -40,8 +40,7 @@ def _drift_query(mode: str):
 
     @query(sql, name=f"drift_first_last_{mode}")
     def run(spark, sf):
-        sliced = drift.with_slices(table(spark, sf, "lineitem"), Roles(time="l_shipdate", slice_mode=mode))
-        return drift.drift_first_last(sliced, _LINE)
+        return drift.drift_of_ends(table(spark, sf, "lineitem"), Roles(time="l_shipdate", slice_mode=mode), _LINE)
 
 
 for _mode in ("month", "quarter", "week", "day"):

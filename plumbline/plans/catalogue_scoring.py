@@ -18,6 +18,13 @@ _ALL = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate
 _TEXT = ["o_orderstatus", "o_orderpriority", "note"]
 
 
+def _mark_sql(columns, source: str) -> str:
+    """Fingerprint and encoded size of a table: sums of the 32-bit words of each row's digest."""
+    cells = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns)
+    words = ", ',', ".join(f"CAST(coalesce(sum(('0x' || substr(h, {1 + 8 * i}, 8))::UBIGINT), 0) AS VARCHAR)" for i in range(8))
+    return (f"mark AS (SELECT CAST(sum(b) AS BIGINT) AS encoded_bytes, sha256(concat({words})) AS fingerprint FROM (SELECT sha256(e) AS h, strlen(e) AS b FROM (SELECT {cells} AS e FROM {source})))")
+
+
 def _full_audit_sql() -> str:
     med = ", ".join(f"median({c}) AS m_{c}" for c in _NUM)
     mad = ", ".join(f"median(abs({c} - m_{c})) AS d_{c}" for c in _NUM)
@@ -67,7 +74,9 @@ def _full_audit_sql() -> str:
             f"1 - count({c}) / count(*) AS m_{c}" for c in _ALL) + f" FROM audited GROUP BY {g})", f"'{g}'")
         add("fairness", "group_checks", "positive_rate_disparity", "max(p) - min(p)",
             f"(SELECT avg(big) AS p FROM audited WHERE big IS NOT NULL AND {g} IS NOT NULL GROUP BY {g})", f"'{g}'")
-    return ("WITH " + fx.AUDITED_SQL + ", " + _ks_sql(_NUM, "audited", "strftime(o_orderdate, '%Y-%m')")
+    rows.append("SELECT 'security', 'integrity', '', 'sha256', NULL, fingerprint FROM mark")
+    rows.append("SELECT 'security', 'availability_asset_checks', '', 'byte_size', CAST(encoded_bytes AS DOUBLE), NULL FROM mark")
+    return ("WITH " + fx.AUDITED_SQL + ", " + _mark_sql(_ALL, "audited") + ", " + _ks_sql(_NUM, "audited", "strftime(o_orderdate, '%Y-%m')")
             + f", md AS (SELECT {med} FROM audited), mm AS (SELECT {mad} FROM audited, md), sc AS (SELECT ({parts}) / ({used}) AS score FROM audited, md, mm), "
             + 'am(dimension, "check", subject, "key", value, "text") AS (' + " UNION ALL ".join(rows) + ")")
 
@@ -86,13 +95,19 @@ def _orders_metrics(spark, sf):
 
 @query(_AUDIT + " SELECT 'orders' AS run_id, 'orders' AS dataset, dimension, \"check\", subject, \"key\", round(value, 6) AS value, \"text\" FROM am")
 def full_audit(spark, sf):
-    return _orders_audit(spark, sf, fingerprint=False)
+    return _orders_audit(spark, sf)
 
 
-@query()
-def audit_report(spark, sf):
-    """Score, verdict, findings and recommendations of the full audit, fingerprint included."""
-    return audit.audit_history(audit.report(_orders_metrics(spark, sf)), created_at=F.lit("2025-01-01 00:00:00"))
+@query("WITH " + fx.AUDITED_SQL + """, o AS (SELECT avg((o_totalprice > 0)::INT) AS a, avg((length(note) > 2)::INT) AS b, count(*) FILTER (o_orderdate IS NULL) AS c FROM audited)
+SELECT 'orders' AS run_id, 'quality' AS dimension, 'positive prices' AS "check", round(a, 6) AS value, CASE WHEN a < 0.99 THEN 'Prices are missing or not positive' END AS finding FROM o
+UNION ALL SELECT 'orders', 'security', 'long notes', round(b, 6), CASE WHEN b > 0.02 THEN 'Many notes hold free text' END FROM o
+UNION ALL SELECT 'orders', 'reliability', 'orders without date', c, NULL FROM o""")
+def audit_own_checks(spark, sf):
+    """Checks of the user's own in the full audit's shared scan."""
+    checks = [audit.Check("quality", "positive prices", F.avg((F.col("o_totalprice") > 0).cast("double")), below=0.99, finding="Prices are missing or not positive"),
+              audit.Check("security", "long notes", F.avg((F.length("note") > 2).cast("double")), above=0.02, finding="Many notes hold free text"),
+              audit.Check("reliability", "orders without date", F.count_if(F.col("o_orderdate").isNull()), above=0)]
+    return audit.own_findings(_orders_audit(spark, sf, fingerprint=False, checks=checks))
 
 
 @query()
@@ -267,6 +282,28 @@ def compare_run_findings(spark, sf):
     return out.select("dataset_name", "run_id", "score_delta", "grade_before", "grade_after", changed.alias("findings_changed"))
 
 
+def _listed_sql(at: int, clean: str) -> str:
+    """The texts of the rules that hold for a run, as a list."""
+    texts = ", ".join(f"CASE WHEN {c} THEN '{scoring.TABULAR_RULES[i][at]}' END" for c, i in _RULE_SQL if scoring.TABULAR_RULES[i][at])
+    some = f"list_filter([{texts}], lambda x: x IS NOT NULL)"
+    return f"CASE WHEN len({some}) > 0 THEN {some} ELSE ['{clean}'] END"
+
+
+_SETS = (", ls AS (SELECT dataset_name, run_id, " + _listed_sql(3, scoring.CLEAN_FINDING) + " AS findings, " + _listed_sql(4, scoring.CLEAN_RECOMMENDATION) + " AS recommendations FROM hist), "
+         "l AS (SELECT *, lag(findings) OVER w AS p_findings, lag(recommendations) OVER w AS p_recommendations FROM ls WINDOW w AS (PARTITION BY dataset_name ORDER BY run_id)) "
+         + " UNION ALL ".join(f"SELECT dataset_name, run_id, '{k}' AS kind, array_to_string(list_sort(list_filter({k}, lambda x: NOT list_contains(p_{k}, x))), ' | ') AS new, "
+                              f"array_to_string(list_sort(list_filter(p_{k}, lambda x: NOT list_contains({k}, x))), ' | ') AS resolved FROM l WHERE p_{k} IS NOT NULL" for k in ("findings", "recommendations")))
+
+
+@query(_HIST + _SETS)
+def compare_run_finding_sets(spark, sf):
+    """Findings and recommendations of each run that the run before did not have, and those that are gone."""
+    out = gate.compare_findings(_history(spark, sf))
+    rows = F.array(*[F.struct(F.lit(k).alias("kind"), F.array_join(f"new_{k}", " | ").alias("new"), F.array_join(f"resolved_{k}", " | ").alias("resolved"))
+                     for k in ("findings", "recommendations")])
+    return out.select("dataset_name", "run_id", F.explode(rows).alias("r")).select("dataset_name", "run_id", "r.*")
+
+
 @query(_HIST + " SELECT 'tabular' AS analyzer, dataset_name, arg_max(run_id, run_id) AS run_id, arg_max(score, run_id) AS score, arg_max(grade, run_id) AS grade FROM hist GROUP BY dataset_name")
 def latest_runs(spark, sf):
     history = scoring.health_score(monthly_runs(spark, sf)).withColumn("record_id", F.col("run_id"))
@@ -300,39 +337,54 @@ def compare_two_runs(spark, sf):
 
 # evidence
 
+_REPORTED = _AUDIT + """, runs AS (SELECT 'orders' AS run_id, max(value) FILTER ("check" = 'missingness' AND "key" = 'overall_missing_rate') AS missingness,
+  max(value) FILTER ("key" = 'exact_duplicate_row_rate') AS duplicate_rate, max(value) FILTER ("key" = 'row_hash_cross_split_rate') AS split_leakage,
+  max(value) FILTER ("key" = 'columns_with_hits') AS pii_flag_count, max(value) FILTER ("key" = 'hit_rate') AS pii_worst_rate, max(value) FILTER ("key" = 'top_10_ks') AS max_drift_ks,
+  max(value) FILTER ("check" = 'row_anomaly_score_mad' AND "key" = 'p99') AS p99_anomaly, max(value) FILTER ("key" = 'positive_rate_disparity') AS max_positive_rate_disparity,
+  avg(CASE WHEN value <= 0.2 THEN 1 ELSE greatest(0, 1 - (value - 0.2) / 0.3) END) FILTER ("key" = 'positive_rate_disparity') AS mean_disparity_credit FROM am), """ + SCORE_SQL + _REVIEW
+
+
+@query(_REPORTED + " SELECT '2025-01-01T000000Z0000-tabular-' || substr(fingerprint, 1, 12) AS record_id, 'orders' AS dataset_name, fingerprint AS file_sha256, score, grade, "
+       + ", ".join(f"round({p}, 6) AS {p}" for p in _POINTS) + ", verdict, findings, recommendations FROM rv, mark")
+def audit_report(spark, sf):
+    """Record id, score, verdict, findings and recommendations of the full audit, fingerprint included."""
+    report = audit.audit_history(audit.report(_orders_metrics(spark, sf)), created_at=F.lit("2025-01-01 00:00:00"))
+    return report.select("record_id", "dataset_name", "file_sha256", "score", "grade", *_POINTS, "verdict", F.array_join("findings", "; ").alias("findings"),
+                         F.array_join("recommendations", "; ").alias("recommendations"))
+
+
 def _evidence_frames(spark, sf):
-    metrics = _orders_metrics(spark, sf).filter("check NOT IN ('integrity', 'availability_asset_checks')")
+    metrics = _orders_metrics(spark, sf)
     return metrics, audit.evidence_values(metrics, audit.report(metrics))
 
 
 def _evidence_sql(rules) -> str:
-    heads = f"""{_AUDIT}, pv AS (SELECT concat_ws('.', dimension, "check", "key") AS path, max(value) AS value, max("text") AS txt FROM am GROUP BY 1
+    counted = {n: "greatest(1, " + " + ".join(f"coalesce(({c})::INT, 0)" for c, i in _RULE_SQL if scoring.TABULAR_RULES[i][at]) + ")" for n, at in (("findings", 3), ("recommendations", 4))}
+    heads = f"""{_REPORTED}, pv AS (SELECT concat_ws('.', dimension, "check", "key") AS path, max(value) AS value, max("text") AS txt FROM am GROUP BY 1
   UNION ALL SELECT 'fairness.group_checks.max_disparity', max(value), NULL FROM am WHERE dimension = 'fairness' AND "key" IN ('positive_rate_disparity', 'max_missingness_disparity')
-  UNION ALL SELECT 'verdict', NULL, 'x' UNION ALL SELECT 'config', 1.0, NULL UNION ALL SELECT 'dataset_name', NULL, 'orders')"""
+  UNION ALL SELECT 'verdict', NULL, verdict FROM rv UNION ALL SELECT 'score', score, grade FROM rv UNION ALL SELECT 'findings', {counted['findings']}, NULL FROM rv
+  UNION ALL SELECT 'recommendations', {counted['recommendations']}, NULL FROM rv UNION ALL SELECT 'config', 1.0, NULL UNION ALL SELECT 'dataset_name', NULL, 'orders')"""
     options = ", ".join(
         f"('{area}', '{m}', {i}, {p}, '{path}', {'NULL' if limit is None or path in evidence.UNBOUNDED_PATHS else 0.3 if limit == 'drift_ks' else limit}, '{risky}')"
         for i, (area, m, paths, limit, risky) in enumerate(rules) for p, path in enumerate(paths))
     return heads + f""", ru(area, metric, rule, priority, path, threshold, risky) AS (VALUES {options}),
 j AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY priority) AS rn FROM pv JOIN ru USING (path) WHERE value IS NOT NULL OR txt IS NOT NULL),
-ev AS (SELECT area, metric, path AS evidence_path, value, threshold, CASE WHEN threshold IS NULL OR value IS NULL THEN 'Evidence'
+ev AS (SELECT area, metric, path AS evidence_path, value, txt, threshold, CASE WHEN threshold IS NULL OR value IS NULL THEN 'Evidence'
   WHEN CASE WHEN risky = 'above' THEN value > threshold ELSE value < threshold END THEN 'Review' ELSE 'OK' END AS status FROM j WHERE rn = 1)"""
 
 
-_SKIP = "('findings', 'recommendations', 'score')"
-
-
-@query(_evidence_sql(evidence.REGULATION_RULES) + " SELECT area, metric, evidence_path, round(value, 6) AS value, CAST(threshold AS DOUBLE) AS threshold, status FROM ev")
+@query(_evidence_sql(evidence.REGULATION_RULES) + " SELECT area, metric, evidence_path, round(value, 6) AS value, txt AS text, CAST(threshold AS DOUBLE) AS threshold, status FROM ev")
 def regulation_evidence(spark, sf):
     _, values = _evidence_frames(spark, sf)
-    found = evidence.evidence(values.filter(f"path NOT IN {_SKIP}"))
-    return found.select("area", "metric", "evidence_path", "value", "threshold", "status")
+    found = evidence.evidence(values)
+    return found.select("area", "metric", "evidence_path", "value", "text", "threshold", "status")
 
 
-@query(_evidence_sql(evidence.STANDARD_RULES) + " SELECT area, metric, evidence_path, round(value, 6) AS value, CAST(threshold AS DOUBLE) AS threshold, status FROM ev")
+@query(_evidence_sql(evidence.STANDARD_RULES) + " SELECT area, metric, evidence_path, round(value, 6) AS value, txt AS text, CAST(threshold AS DOUBLE) AS threshold, status FROM ev")
 def standard_evidence(spark, sf):
     _, values = _evidence_frames(spark, sf)
-    found = evidence.evidence(values.filter(f"path NOT IN {_SKIP}"), evidence.STANDARD_RULES)
-    return found.select("area", "metric", "evidence_path", "value", "threshold", "status")
+    found = evidence.evidence(values, evidence.STANDARD_RULES)
+    return found.select("area", "metric", "evidence_path", "value", "text", "threshold", "status")
 
 
 @query(_evidence_sql(evidence.STANDARD_RULES) + " SELECT 'orders' AS run_id, unnest(" + str(list(evidence.STANDARD_AREAS)) + ") AS area EXCEPT SELECT 'orders', area FROM ev")
@@ -343,21 +395,28 @@ def standard_gaps(spark, sf):
 
 
 _META = Roles(label="quality", split="split", groups=("lang", "source"), sources=("source",), ids=("doc_id",), metadata={"purpose": "search"})
+_FACTS = "WITH " + fx.DOC_SQL + """, fact AS (SELECT count(quality) > 0 AS label, count(split) > 0 AS split, count(lang) > 0 OR count(source) > 0 AS groups, count(lang) > 0 AND count(source) > 0 AS two_groups,
+  count(source) > 0 AS sources, false AS conditions, false AS two_raters, count(split) > 0 AS split_or_time, count(source) > 0 OR count(doc_id) > 0 AS sources_or_ids, count(*) > 0 AS "columns",
+  false AS annotation_files, true AS hashes, true AS purpose, false AS known_limitations, false AS intended_use FROM doc)"""
+
+
+def _needs_sql(needs) -> str:
+    return " AND ".join(f'"{n}"' for n in needs) or "true"
 
 
-@query("SELECT unnest(" + str(list(evidence.DATASHEET_SECTIONS)) + ") AS section, unnest([true, true, false, true, true, true, false, true, false, false]) AS filled, "
-       "0.6 AS completeness_rate WHERE (SELECT count(*) FROM documents) > 0".replace("0.6 AS", "CAST(0.6 AS DOUBLE) AS"))
+@query(_FACTS + ", s AS (" + " UNION ALL ".join(f"SELECT '{name}' AS section, {_needs_sql(needs)} AS filled FROM fact" for name, needs in evidence.SECTION_NEEDS)
+       + ") SELECT section, filled, avg(filled::INT) OVER () AS completeness_rate FROM s")
 def datasheet_completeness(spark, sf):
     return evidence.datasheet_completeness(fx.doc_labels(spark, sf), _META)
 
 
-@query("SELECT CAST(5 AS BIGINT) AS observed, CAST(6 AS BIGINT) AS expected, CAST(0.833333 AS DOUBLE) AS rate WHERE (SELECT count(*) FROM documents) > 0")
+@query(_FACTS + " SELECT CAST(2 + label::INT + sources::INT + conditions::INT + groups::INT AS BIGINT) AS observed, CAST(6 AS BIGINT) AS expected, "
+       "round((2 + label::INT + sources::INT + conditions::INT + groups::INT) / 6, 6) AS rate FROM fact")
 def observability(spark, sf):
     return evidence.observability(fx.doc_labels(spark, sf), _META)
 
 
-# Skipped for these roles: three checks on annotation files, two on conditions, one on raters, one on both groups and conditions.
-@query("SELECT CAST(count(*) FILTER (ran) AS BIGINT) AS ran, CAST(count(*) FILTER (NOT ran) AS BIGINT) AS skipped FROM (SELECT unnest([" + ", ".join(["true"] * 27 + ["false"] * 7) + "]) AS ran) WHERE (SELECT count(*) FROM documents) > 0")
+@query(_FACTS + " " + " UNION ALL ".join(f"SELECT '{name}' AS \"check\", {_needs_sql(needs)} AS ran FROM fact" for name, needs in evidence.CHECK_NEEDS))
 def check_registry(spark, sf):
-    checks = evidence.check_registry(fx.doc_labels(spark, sf), _META)
-    return checks.agg(F.sum(F.col("ran").cast("bigint")).alias("ran"), F.sum((~F.col("ran")).cast("bigint")).alias("skipped"))
+    """Every check with whether the documents hold what it needs."""
+    return evidence.check_registry(fx.doc_labels(spark, sf), _META)
