@@ -30,10 +30,11 @@ ORC_OPTIONS = {"orc.stripe.size": str(16 << 20), "orc.row.index.stride": "1000",
                "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "zstd"}
 
 
-# Words of visible ASCII and composed Latin letters, which normalisation only lowers; and how such a word is parted
-# before the merges. All other words, and those that may hold a special token, go through the library's whole chain.
+# Texts of visible ASCII, composed Latin letters and white space, which normalisation only lowers; words of the same letters; and
+# how such texts are parted before the merges. All other words, and those that may hold a special token, go through the library's whole chain.
+PLAIN_TEXT = re.compile("[\t-\r -~À-ÖØ-öø-įĲ-ňŊ-ž]*")
 PLAIN = re.compile("(?!.*<\\|)[!-~À-ÖØ-öø-įĲ-ňŊ-ž]+")
-PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^a-z0-9ß-öø-ž]+")
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^\t-\r a-z0-9ß-öø-ž]+")
 LETTERS = {b: c for c, b in byte_letters().items()}
 
 
@@ -45,7 +46,8 @@ def _letters(word: str) -> str:
 class WordEncoder:
     """Encodes texts by a tokenizer in which white space always parts tokens and has none of its own.
 
-    Every distinct word goes through the tokenizers library once; texts are put together from the words' ids.
+    A plain text is cut into its parts at once, any other into words; every distinct one goes through the tokenizers library once, and
+    texts are put together from their ids.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,41 +60,50 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index: dict[str | bytes, int] = {}
         self.held = 0
         self.parts: dict[str, list[int]] = {}
         self.ids: list[np.ndarray] = []
         self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def learn(self, words: list[bytes]) -> None:
-        self.held += sum(map(len, words))
+    def part_ids(self, part: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(_letters(part))]
+
+    def word_ids(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of whole words, each of which may hold anything but white space."""
         texts = [w.decode() for w in words]
         plain = [bool(PLAIN.fullmatch(t)) for t in texts]
         parts = [PARTS.findall(t.lower()) if p else () for t, p in zip(texts, plain, strict=True)]
         for p in set().union(*parts).difference(self.parts):
-            self.parts[p] = [t.id for t in self.tokenizer.model.tokenize(_letters(p))]
+            self.parts[p] = self.part_ids(p)
         rest = self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False)
         others, known = iter(rest), self.parts
-        got = [[i for x in xs for i in known[x]] if p else next(others).ids for xs, p in zip(parts, plain, strict=True)]
+        return [[i for x in xs for i in known[x]] if p else next(others).ids for xs, p in zip(parts, plain, strict=True)]
+
+    def learn(self, new: set[str | bytes]) -> None:
+        pieces, words = [p for p in new if isinstance(p, str)], [p for p in new if isinstance(p, bytes)]
+        got = [self.part_ids(p) for p in pieces] + (self.word_ids(words) if words else [])
+        pieces += words
+        self.held += sum(map(len, pieces))
         sizes = np.fromiter(map(len, got), np.int64, len(got))
-        self.index.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
+        self.index.update(zip(pieces, range(len(self.sizes), len(self.sizes) + len(pieces)), strict=True))
         starts = len(self.flat) + np.cumsum(sizes) - sizes
         self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())))
         self.starts, self.sizes = np.append(self.starts, starts), np.append(self.sizes, sizes)
 
     def encode(self, texts: Sequence[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, each text ended by ``end``, and the number of ids of each text."""
-        parts = [t.encode().split() for t in texts]
+        parts = [PARTS.findall(t.lower()) if PLAIN_TEXT.fullmatch(t) and "<|" not in t else t.encode().split() for t in texts]
         if len(self.index) > KEPT_WORDS or self.held > KEPT_BYTES:
             self.forget()
         new = set().union(*parts).difference(self.index)
         if new:
-            self.learn(list(new))
+            self.learn(new)
         get, n = self.index.__getitem__, [len(p) for p in parts]
         words = np.fromiter(map(get, chain.from_iterable(parts)), np.int64, sum(n))
         size = self.sizes[words]
         total = np.concatenate(([0], np.cumsum(size)))
-        bounds = total[np.cumsum(n)]  # where each text ends among the ids of words
+        bounds = total[np.cumsum(n)]  # where each text ends among the ids of its parts
         ids = self.flat[np.repeat(self.starts[words] - total[:-1], size) + np.arange(total[-1])]
         return np.insert(ids, bounds, end), np.diff(bounds, prepend=0) + 1
 
