@@ -486,12 +486,56 @@ def test_sentence_spans(spark, docs, empty):
     base = [" ".join(draw.choice("abcdefgh") * draw.randint(1, 3) for _ in range(draw.randint(3, 12))) + draw.choice([".", "!", "?\n", "。"]) + " " for _ in range(40)]
     table = [(i, "".join(draw.choices(base, k=draw.randint(1, 12)))) for i in range(60)] + [(100, None), (101, ""), (102, "  \n "), (103, "no end")]
     frame = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
-    got = sentence_dedup.sentence_span_dedup(frame, 2, 12)
+    got = sentence_dedup.sentence_span_dedup(frame, 2, 12, 0)
     assert rows(got, "doc_id", "n_sentences", "n_removed", "kept_text") == brute(table, 2, 12)
     assert sentence_dedup.sentence_span_dedup(empty).count() == 0
     assert sentence_dedup.sentence_span_dedup(docs).count() == docs.count()
 
 
+def test_sentence_spans_as_the_query_takes_them(spark, docs):
+    """Runs of three sentences and long runs of two, every result column, on texts with repeats, nulls and ids that repeat."""
+    draw = random.Random(18)
+    base = [" ".join(draw.choice("abcdefgh") * draw.randint(1, 3) for _ in range(draw.choice([2, 5, 40, 70]))) + draw.choice([". ", "! ", "?\n", "。"]) for _ in range(40)]
+    table = [(draw.choice([i, i, 7, None]), "".join(draw.choices(base, k=draw.randint(0, 9)))) for i in range(90)] + [(100, None), (101, "  \n "), (102, "no end"), (103, "x " * 30_000)]
+    table += corpus_texts()
+
+    def runs(parts):
+        plain = [p.strip().lower() for p in parts]
+        if 0 < len(plain) < 3:
+            return [(0, len(plain))] if "".join(plain) else []
+        two = [(i, i + 2) for i in range(len(plain) - 1) if len(plain[i]) + len(plain[i + 1]) >= 200]
+        return [(i, i + 3) for i in range(len(plain) - 2)] + two
+
+    seen = defaultdict(set)
+    names = {k: ((i is not None, i or 0), hashlib.sha256((t or "").encode()).digest()[:16]) for k, (i, t) in enumerate(table)}
+    cut = {k: sentence_dedup.sentences(t or "") for k, (_, t) in enumerate(table)}
+    said = {k: [(a, b, "\0".join(p.strip().lower() for p in cut[k][a:b])) for a, b in runs(cut[k])] for k in cut}
+    for k, found in said.items():
+        for a, _, s in found:
+            seen[s].add((*names[k], a))
+    want = []
+    for k, (i, _) in enumerate(table):
+        gone = {x for a, b, s in said[k] if min(seen[s]) != (*names[k], a) for x in range(a, b)}
+        kept = "".join(p for x, p in enumerate(cut[k]) if x not in gone)
+        want.append((i, len(cut[k]), len(gone), sum(len(cut[k][x]) for x in gone), hashlib.sha256(kept.encode()).hexdigest()))
+    frame = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
+    got = rows(sentence_dedup.sentence_span_dedup(frame), "doc_id", "n_sentences", "n_removed", "chars_removed", "kept_sha256")
+    assert got == sorted(want, key=repr) and sum(r[2] for r in got) > 50
+
+
+def corpus_texts():
+    return [(r[0], r[1]) for r in corpus()]
+
+
+def test_rows_of_one_id_do_not_share_a_name_by_chance(spark):
+    """Two texts of one id that agree in Spark's 32-bit hash: what repeats of the one does not touch the other."""
+    pool = spark.range(400_000).select(F.concat(F.lit("Row "), "id", F.lit(". It stands alone. So it stays.")).alias("t"))
+    twins = pool.groupBy(F.hash("t").alias("h")).agg(F.sort_array(F.collect_list("t")).alias("ts")).filter("size(ts) > 1").first()["ts"]
+    frame = spark.createDataFrame([(0, twins[0]), (7, twins[0]), (7, twins[1])], "doc_id long, text string")
+    kept = rows(sentence_dedup.sentence_span_dedup(frame, 4, 0, 0), "doc_id", "kept_text")
+    assert kept == sorted([(0, twins[0]), (7, ""), (7, twins[1])], key=repr)
+
+
 def test_sentence_spans_of_few_words(spark):
     passage = "昨日は雨が降りました。今日は晴れています。明日は風が強いでしょう！傘は要りますか？いいえ。"
     footer = "All rights reserved. Do not copy. Ask us."
