@@ -23,6 +23,12 @@ from plumbline.operators.series import positions
 from plumbline.sources.tables import written
 
 MAX_CLASSES = 50
+# Why an assessment of label noise is skipped.
+TOO_MANY_CLASSES = "Classification labels only, with at most {most} classes."
+TOO_FEW_ROWS = "Need at least {least} labeled rows; found {found}."
+ONE_CLASS = "Need at least two observed classes."
+LONE_ROWS = "Every class needs at least two labeled rows for out-of-fold assessment."
+NO_FEATURES = "No usable non-constant features were available for label-noise assessment."
 
 
 @dataclass
@@ -129,17 +135,17 @@ def label_noise(df: DataFrame, label: str, features: Sequence[str], ids: Sequenc
     """
     counts = class_counts(df, label)
     if counts is None:
-        return LabelNoise(None, [], f"Classification labels only, with at most {MAX_CLASSES} classes.")
+        return LabelNoise(None, [], TOO_MANY_CLASSES.format(most=MAX_CLASSES))
     total = sum(counts.values())
     if total < minimum:
-        return LabelNoise(None, [], f"Need at least {minimum} labeled rows; found {total}.")
+        return LabelNoise(None, [], TOO_FEW_ROWS.format(least=minimum, found=total))
     if len(counts) < 2:
-        return LabelNoise(None, [], "Need at least two observed classes.")
+        return LabelNoise(None, [], ONE_CLASS)
     if min(counts.values()) < 2:
-        return LabelNoise(None, [], "Every class needs at least two labeled rows for out-of-fold assessment.")
+        return LabelNoise(None, [], LONE_ROWS)
     numeric, categorical, dropped = usable_features(df, features, max_categories)
     if not numeric + categorical:
-        return LabelNoise(None, [], "No usable non-constant features were available for label-noise assessment.")
+        return LabelNoise(None, [], NO_FEATURES)
     classes = sorted(counts)
     folds = min(5, min(counts.values()))
     position = F.array_position(F.array(*[F.lit(c) for c in classes]), col(label).cast("string")) - 1

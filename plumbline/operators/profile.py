@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from plumbline.functions.columns import (
     as_double, coarse_type, col, is_nested, is_numeric, missing_flag, ratio)
@@ -94,8 +94,8 @@ def column_profile(df: DataFrame, roles: Roles = Roles(), approx: bool = False)
                     role.alias("role"), "samples"))
 
 
-def constant_columns(df: DataFrame) -> DataFrame:
-    """Columns with at most one distinct value, missing counted as a value; no distinct needed."""
+def constant_flags(df: DataFrame) -> list[Column]:
+    """For each column an aggregate that tells whether it has at most one value, missing counted as a value."""
     aggregates = []
     for f in df.schema:
         value = F.to_json(F.struct(col(f.name))) if is_nested(f.dataType) else col(f.name)
@@ -103,8 +103,13 @@ def constant_columns(df: DataFrame) -> DataFrame:
             value = value.cast("int")
         nulls = F.sum(missing_flag(df, f.name))
         same = (nulls == 0) & (F.min(value) == F.max(value))
-        aggregates.append(F.coalesce((nulls == F.count(F.lit(1))) | same, F.lit(True)).alias(f.name))
-    row = df.agg(*aggregates)
+        aggregates.append(F.coalesce((nulls == F.count(F.lit(1))) | same, F.lit(True)))
+    return aggregates
+
+
+def constant_columns(df: DataFrame) -> DataFrame:
+    """Columns with at most one distinct value, missing counted as a value; no distinct needed."""
+    row = df.agg(*[flag.alias(c) for c, flag in zip(df.columns, constant_flags(df), strict=True)])
     return row.unpivot([], [col(c) for c in df.columns], "column", "constant")
 
 
@@ -189,10 +194,10 @@ def numeric_variances(df: DataFrame, columns: Sequence[str], k: int) -> DataFram
     return top(row.unpivot([], [col(c) for c in columns], "column", "variance"), k, "variance", "column")
 
 
-def task_type(df: DataFrame, label: str) -> DataFrame:
-    """Learning task suggested by a label column."""
+def task_type(df: DataFrame, label: str, counts: DataFrame | None = None) -> DataFrame:
+    """Learning task suggested by a label column; ``counts`` (label, n) saves the scan where it is there already."""
     numeric = F.lit(is_numeric(df.schema[label].dataType))
-    counts = df.groupBy(col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.groupBy(col(label).alias("label")).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
     stats = counts.agg(F.count("label").alias("distinct_labels"), F.sum("n").alias("rows"))
     d, rows = F.col("distinct_labels"), F.col("rows")
     return stats.select(

@@ -38,9 +38,11 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
     return entropy_of_shares(shares(df, label))
 
 
-def label_stats(df: DataFrame, label: str, max_classes: int = 50) -> DataFrame:
-    """Missing rate and cardinality of a label, with class shares when it has 2 to 50 classes."""
-    counts = df.groupBy(col(label).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+def label_stats(df: DataFrame, label: str, max_classes: int = 50, counts: DataFrame | None = None) -> DataFrame:
+    """Missing rate and cardinality of a label, with class shares when it has 2 to 50 classes; ``counts`` (label, n) saves the scan."""
+    if counts is None:
+        counts = df.groupBy(col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.groupBy(F.col("label").cast("string").alias("label")).agg(F.sum("n").alias("n"))
     known = F.when(F.col("label").isNotNull(), F.col("n"))
     framed = with_totals(counts, label_cardinality=F.count("label"), _rows=F.sum("n"), _known=F.sum(known))
     k = F.col("label_cardinality")

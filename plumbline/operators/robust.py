@@ -64,14 +64,14 @@ def mad_scores(df: DataFrame, columns: Sequence[str], keep: Sequence[str] | None
 
 
 def score_summary(scored: DataFrame, score: str = "anomaly_score", threshold: float = 3.0) -> DataFrame:
-    """Mean, p95, p99, maximum and outlier share of row scores."""
-    high = F.coalesce((col(score) > threshold).cast("int"), F.lit(0))
-    rows = scored.agg(
-        F.lit(1).alias("key"), F.avg(score).alias("mean"), F.max(score).alias("max"),
-        F.avg(high.cast("double")).alias("outlier_rate"), F.sum(high.cast("bigint")).alias("outlier_count"))
-    counts = value_counts(scored.filter(col(score).isNotNull()).select(
-        F.lit(1).alias("key"), col(score).alias("value")), ["key"])
-    points = quantiles(counts, ["key"], {"p95": 0.95, "p99": 0.99})
+    """Mean, p95, p99, maximum and outlier share of row scores, all from one frame of counts; a row without a score is no outlier."""
+    counts = value_counts(scored.select(F.lit(1).alias("key"), col(score).alias("value")), ["key"])
+    high = F.when(F.col("value") > threshold, F.col("n")).otherwise(0)
+    known = F.when(F.col("value").isNotNull(), F.col("n"))
+    rows = counts.groupBy("key").agg(
+        (F.sum(F.col("value") * F.col("n")) / F.sum(known)).alias("mean"), F.max("value").alias("max"),
+        (F.sum(high) / F.sum("n")).alias("outlier_rate"), F.sum(high).alias("outlier_count"))
+    points = quantiles(counts.filter("value is not null"), ["key"], {"p95": 0.95, "p99": 0.99})
     return rows.join(F.broadcast(points.drop("n_values")), "key", "left").drop("key")
 
 

@@ -1,9 +1,9 @@
-"""Full audits: one metric table per data set, composed from a few shared passes.
+"""Full audits: one metric table per data set, composed from shared passes.
 
-Pass 1 scans every column once (missing cells, pattern hits, constants). Pass 2 melts the numeric
-columns into value counts that serve outliers, medians and drift. Pass 3 groups row contents for
-duplicates and leakage. Pass 4 builds the group cube. Nothing is cached: each pass reads only its
-columns, so a table larger than the cluster's memory costs scans, not spills.
+One scan of all columns measures missing cells, pattern hits, constants and the user's own checks. Numeric columns are melted into value
+counts that serve quartiles and medians, then drift and scores follow. Row contents are grouped once for duplicates and leakage, labels and the
+group cube are counted once and written, as they are small. No data are cached: each pass reads only its columns, so a table larger
+than the cluster's memory costs scans, not spills.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from plumbline.functions.columns import (
 from plumbline.operators import dedup, drift, evidence, fairness, gate, labels, profile, quality, robust, scoring, series
 from plumbline.operators.security import table_fingerprint
 from plumbline.roles import Roles, TabularThresholds
+from plumbline.sources.tables import written
 
 METRIC_SCHEMA = ["dimension", "check", "subject", "key", "value", "text"]
 
@@ -69,7 +70,8 @@ def column_scan(df: DataFrame, roles: Roles, thresholds: TabularThresholds, chec
         F.count(F.lit(1)).alias("rows"),
         *[F.avg(missing_flag(df, c)).alias(f"m{i}") for i, c in enumerate(df.columns)],
         *[F.avg(col(c).rlike(PII_PATTERNS[p]).cast("double")).alias(f"h{i}") for i, (c, p) in enumerate(hits)],
-        *[c.value.cast("double").alias(f"own{i}") for i, c in enumerate(checks)])
+        *[c.value.cast("double").alias(f"own{i}") for i, c in enumerate(checks)],
+        *[flag.alias(f"k{i}") for i, flag in enumerate(profile.constant_flags(df))])
     rates = [F.col(f"m{i}") for i in range(len(df.columns))]
     flagged = {c: F.lit(False) for c in texts}
     for i, (c, _) in enumerate(hits):
@@ -84,6 +86,7 @@ def column_scan(df: DataFrame, roles: Roles, thresholds: TabularThresholds, chec
     out += [metric("security", "confidentiality_pii_heuristics", "hit_rate",
                    F.when(F.col(f"h{i}") >= thresholds.pii_hit_rate, F.col(f"h{i}")), F.lit(c), F.lit(p))
             for i, (c, p) in enumerate(hits)]
+    out += [metric("reliability", "schema_consistency", "constant_column", F.when(F.col(f"k{i}"), 1.0), F.lit(c)) for i, c in enumerate(df.columns)]
     for i, c in enumerate(checks):
         out += c.metrics(F.col(f"own{i}"))
     if roles.label:
@@ -130,10 +133,11 @@ def content_passes(df: DataFrame, roles: Roles) -> list[DataFrame]:
 def label_passes(df: DataFrame, roles: Roles) -> list[DataFrame]:
     parts = []
     if roles.label:
-        stats = quality.label_stats(df, roles.label)
+        counts = written(df.groupBy(col(roles.label).alias("label")).agg(F.count(F.lit(1)).alias("n")))  # a row for each label
+        stats = quality.label_stats(df, roles.label, counts=counts)
         parts.append(emit(stats, metric("quality", "label_stats", "class_share", F.col("share"), F.col("label")))
                      .filter(F.col("value").isNotNull()))
-        kind = profile.task_type(df, roles.label)
+        kind = profile.task_type(df, roles.label, counts)
         parts.append(emit(kind, metric("quality", "label_stats", "label_cardinality", F.col("distinct_labels"),
                                        text=F.col("task_type"))))
         features = categorical_columns(df, roles.reserved)
@@ -151,7 +155,7 @@ def label_passes(df: DataFrame, roles: Roles) -> list[DataFrame]:
 def fairness_passes(df: DataFrame, roles: Roles) -> list[DataFrame]:
     if not roles.groups:
         return []
-    cube = fairness.group_cube(df, roles.groups, roles.label)
+    cube = written(fairness.group_cube(df, roles.groups, roles.label))  # a row for each group and label, read by all that follow
     shares = fairness.group_shares(cube).groupBy("group_column").agg(
         F.count(F.lit(1)).alias("num_groups"), F.min("share").alias("min_group_share"), F.max("share").alias("max_group_share"))
     parts = [emit(shares, *[metric("fairness", "group_checks", k, F.col(k), F.col("group_column"))
@@ -194,8 +198,6 @@ def audit(df: DataFrame, roles: Roles, thresholds: TabularThresholds = TabularTh
              *label_passes(df, roles), *fairness_passes(df, roles)]
     if kind == "series" and roles.time:
         parts += series_passes(df, roles)
-    constants = profile.constant_columns(df).filter("constant")
-    parts.append(emit(constants, metric("reliability", "schema_consistency", "constant_column", F.lit(1.0), F.col("column"))))
     if fingerprint:
         mark = table_fingerprint(df)
         parts.append(emit(mark, metric("security", "integrity", "sha256", text=F.col("fingerprint")),

@@ -25,63 +25,91 @@ def _mark_sql(columns, source: str) -> str:
     return (f"mark AS (SELECT CAST(sum(b) AS BIGINT) AS encoded_bytes, sha256(concat({words})) AS fingerprint FROM (SELECT sha256(e) AS h, strlen(e) AS b FROM (SELECT {cells} AS e FROM {source})))")
 
 
-def _full_audit_sql() -> str:
-    med = ", ".join(f"median({c}) AS m_{c}" for c in _NUM)
-    mad = ", ".join(f"median(abs({c} - m_{c})) AS d_{c}" for c in _NUM)
-    parts = " + ".join(f"coalesce(abs({c} - m_{c}) / d_{c}, 0)" for c in _NUM)
-    used = " + ".join(f"({c} IS NOT NULL)::INT" for c in _NUM)
-    rows = []
+def _audit_sql(prelude: str, src: str, columns, numbers, texts, label: str, kind: str, slice_sql: str | None = None, split: str | None = None, groups=(), ids=(), entities=None,
+               time: str | None = None) -> str:
+    """The metric table of an audit of a CTE as ``am``: the SQL twin of ``audit.audit``."""
+    med = ", ".join(f"median({c}) AS m_{c}" for c in numbers)
+    mad = ", ".join(f"median(abs({c} - m_{c})) AS d_{c}" for c in numbers)
+    parts = " + ".join(f"coalesce(CASE WHEN d_{c} > 0 THEN abs({c} - m_{c}) / d_{c} END, 0)" for c in numbers)
+    used = " + ".join(f"(d_{c} > 0 AND {c} IS NOT NULL)::INT" for c in numbers)
+    rows, n, order = [], len(columns), f"max({label}) AS hi, count(DISTINCT {label}) AS k"
 
     def add(dimension, check, key, value, source, subject="''", text="NULL"):
         rows.append(f"SELECT '{dimension}', '{check}', {subject}, '{key}', CAST({value} AS DOUBLE), {text} FROM {source}")
 
-    add("reliability", "schema_consistency", "num_rows", "count(*)", "audited")
-    add("reliability", "schema_consistency", "num_cols", "9", "(SELECT 1)")
-    add("quality", "missingness", "overall_missing_rate", " + ".join(f"(count(*) - count({c}))" for c in _ALL).join("()") + " / (count(*) * 9.0)", "audited")
-    for c in _ALL:
-        add("quality", "missingness", "missing_rate", f"1 - count({c}) / count(*)", "audited", f"'{c}'")
-    add("quality", "label_stats", "label_missing_rate", "1 - count(big) / count(*)", "audited")
-    for c in _TEXT:
+    add("reliability", "schema_consistency", "num_rows", "count(*)", src)
+    add("reliability", "schema_consistency", "num_cols", str(n), "(SELECT 1)")
+    missing = " + ".join(f"(count(*) - count({c}))" for c in columns)
+    add("quality", "missingness", "overall_missing_rate", f"({missing}) / (count(*) * {n}.0)", src)
+    for c in columns:
+        add("quality", "missingness", "missing_rate", f"1 - count({c}) / count(*)", src, f"'{c}'")
+        rows.append(f"SELECT * FROM (SELECT 'reliability', 'schema_consistency', '{c}', 'constant_column', 1.0, NULL FROM {src} HAVING count(DISTINCT {c}) + (count({c}) < count(*))::INT <= 1)")
+    add("quality", "label_stats", "label_missing_rate", f"1 - count({label}) / count(*)", src)
+    for c in texts:
         for p, r in PII_PATTERNS.items():
-            rows.append(f"SELECT * FROM (SELECT 'security', 'confidentiality_pii_heuristics', '{c}', 'hit_rate', avg(regexp_matches({c}, '{r}')::INT) AS v, '{p}' FROM audited) WHERE v >= 0.01")
-    flags = " + ".join("(SELECT max(v >= 0.01)::INT FROM (" + " UNION ALL ".join(
-        f"SELECT avg(regexp_matches({c}, '{r}')::INT) AS v FROM audited" for r in PII_PATTERNS.values()) + "))" for c in _TEXT)
+            rows.append(f"SELECT * FROM (SELECT 'security', 'confidentiality_pii_heuristics', '{c}', 'hit_rate', avg(regexp_matches({c}, '{r}')::INT) AS v, '{p}' FROM {src}) WHERE v >= 0.01")
+    flags = " + ".join("(SELECT coalesce(max(v >= 0.01)::INT, 0) FROM (" + " UNION ALL ".join(
+        f"SELECT avg(regexp_matches({c}, '{r}')::INT) AS v FROM {src}" for r in PII_PATTERNS.values()) + "))" for c in texts) or "0"
     add("security", "confidentiality_pii_heuristics", "columns_with_hits", flags, "(SELECT 1)")
-    for c in _NUM:
-        add("quality", "outliers_iqr", "outlier_rate", f"avg(({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1))::INT)",
-            f"audited, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM audited)", f"'{c}'")
-    add("reliability", "numeric_drift_ks_first_last", "top_10_ks", "ks", "d", '"column"')
-    add("reliability", "missing_rate_by_slice", "missing_rate", "(3 * count(*) - count(o_totalprice) - count(o_orderpriority) - count(big)) / (count(*) * 9.0)",
-        "audited GROUP BY strftime(o_orderdate, '%Y-%m')", "strftime(o_orderdate, '%Y-%m')")
+    for c in numbers:
+        rows.append(f"SELECT 'quality', 'outliers_iqr', '{c}', 'outlier_rate', avg(({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1))::INT * (q3 <> q1)::INT), NULL "
+                    f"FROM {src}, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM {src})")
+    if slice_sql:
+        add("reliability", "numeric_drift_ks_first_last", "top_10_ks", "ks", "d", '"column"')
+        add("reliability", "missing_rate_by_slice", "missing_rate", f"({missing}) / (count(*) * {n}.0)", f"{src} GROUP BY {slice_sql}", slice_sql)
     for k, e in (("mean", "avg(score)"), ("p95", "quantile_cont(score, 0.95)"), ("p99", "quantile_cont(score, 0.99)"), ("max", "max(score)")):
         add("robustness", "row_anomaly_score_mad", k, e, "sc")
-    add("quality", "duplicates", "exact_duplicate_row_rate", "1 - (SELECT count(*) FROM (SELECT DISTINCT * FROM audited)) / count(*)", "audited")
-    add("quality", "split_leakage", "row_hash_cross_split_rate", "avg((k > 1)::INT)",
-        "(SELECT count(DISTINCT split) AS k FROM audited GROUP BY o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority)")
-    add("quality", "duplicates", "duplicate_id_rate", "1 - count(DISTINCT o_orderkey) / count(*)", "audited")
-    add("quality", "label_stats", "class_share", "count(*) / (SELECT count(big) FROM audited)", "audited WHERE big IS NOT NULL GROUP BY big", "CAST(big AS VARCHAR)")
-    add("quality", "label_stats", "label_cardinality", "count(DISTINCT big)", "audited", text="'Binary classification'")
-    add("robustness", "rare_category_label_concentration", "num_findings", "count(*)",
-        "(SELECT c FROM (SELECT v, big, count(*) AS n, sum(count(*)) OVER (PARTITION BY c, v) AS t, c, sum(count(*)) FILTER (big IS NOT NULL) OVER (PARTITION BY c, v) AS known FROM ("
-        + " UNION ALL ".join(f"SELECT '{c}' AS c, {c} AS v, big FROM audited WHERE {c} IS NOT NULL" for c in _TEXT)
-        + ") GROUP BY c, v, big) WHERE big IS NOT NULL AND t >= 5 AND t <= greatest(5, floor((SELECT count(*) FROM audited) * 0.001)) AND n / known >= 0.95)")
-    for g in ORDER_ROLES.groups:
-        share = f"(SELECT count(*) / (SELECT count(*) FROM audited) AS s FROM audited GROUP BY {g})"
+    add("quality", "duplicates", "exact_duplicate_row_rate", f"1 - (SELECT count(*) FROM (SELECT DISTINCT {', '.join(columns)} FROM {src})) / count(*)", src)
+    if split:
+        add("quality", "split_leakage", "row_hash_cross_split_rate", "avg((k > 1)::INT)", f"(SELECT count(DISTINCT {split}) AS k FROM {src} GROUP BY {', '.join(c for c in columns if c != split)})")
+    if ids:
+        add("quality", "duplicates", "duplicate_id_rate", f"1 - (SELECT count(*) FROM (SELECT DISTINCT {', '.join(ids)} FROM {src})) / count(*)", src)
+    add("quality", "label_stats", "class_share", "n / t", f"(SELECT {label} AS l, count(*) AS n, sum(count(*)) OVER () AS t, count(*) OVER () AS k FROM {src} WHERE {label} IS NOT NULL GROUP BY 1 "
+        f"QUALIFY k BETWEEN 2 AND 50 ORDER BY n DESC, CAST(l AS VARCHAR) LIMIT 10)", "CAST(l AS VARCHAR)")
+    add("quality", "label_stats", "label_cardinality", f"count(DISTINCT {label})", src, text=f"'{kind}'")
+    if texts:
+        add("robustness", "rare_category_label_concentration", "num_findings", "count(*)",
+            "(SELECT c FROM (SELECT c, v, l, count(*) AS n, sum(count(*)) OVER (PARTITION BY c, v) AS t, sum(count(*)) FILTER (l IS NOT NULL) OVER (PARTITION BY c, v) AS known FROM ("
+            + " UNION ALL ".join(f"SELECT '{c}' AS c, {c} AS v, {label} AS l FROM {src} WHERE {c} IS NOT NULL" for c in texts)
+            + f") GROUP BY c, v, l) WHERE l IS NOT NULL AND t >= 5 AND t <= greatest(5, floor((SELECT count(*) FROM {src}) * 0.001)) AND n / known >= 0.95)")
+    for g in groups:
+        share = f"(SELECT count(*) / (SELECT count(*) FROM {src}) AS s FROM {src} GROUP BY {g})"
         for k, e in (("num_groups", "count(*)"), ("min_group_share", "min(s)"), ("max_group_share", "max(s)")):
             add("fairness", "group_checks", k, e, share, f"'{g}'")
-        gaps = "greatest(" + ", ".join(f"max(m_{c}) - min(m_{c})" for c in _ALL) + ")"
+        gaps = "greatest(" + ", ".join(f"max(m_{c}) - min(m_{c})" for c in columns) + ")"
         add("fairness", "group_checks", "max_missingness_disparity", gaps, "(SELECT " + ", ".join(
-            f"1 - count({c}) / count(*) AS m_{c}" for c in _ALL) + f" FROM audited GROUP BY {g})", f"'{g}'")
+            f"1 - count({c}) / count(*) AS m_{c}" for c in columns) + f" FROM {src} GROUP BY {g} HAVING true) HAVING count(*) >= 2", f"'{g}'")
         add("fairness", "group_checks", "positive_rate_disparity", "max(p) - min(p)",
-            f"(SELECT avg(big) AS p FROM audited WHERE big IS NOT NULL AND {g} IS NOT NULL GROUP BY {g})", f"'{g}'")
+            f"(SELECT avg(({label} = hi)::INT) AS p FROM {src}, (SELECT {order} FROM {src}) WHERE k = 2 AND {label} IS NOT NULL AND {g} IS NOT NULL GROUP BY {g}) HAVING count(*) >= 2", f"'{g}'")
+    steps = ""
+    if time:
+        who = ", ".join(entities)
+        axis = "time_axis_health"
+        add("quality", axis, "time_parse.parse_ok_rate", f"count({time}) / count(*)", src)
+        add("quality", axis, "time_range.span_days", f"(epoch_us(max({time})) - epoch_us(min({time}))) / 86400000000.0", src)
+        add("quality", axis, "duplicate_timestamps.duplicate_rate", "sum(n - 1) / sum(n)", f"(SELECT count(*) AS n FROM {src} WHERE {time} IS NOT NULL GROUP BY {who}, {time})")
+        pace = "CASE WHEN count(*) >= 50 THEN {} END".format
+        add("quality", axis, "cadence_global.irregularity_ratio", pace("(quantile_cont(step, 0.9) - quantile_cont(step, 0.1)) / greatest(1e-9, quantile_cont(step, 0.5))"), "st WHERE step > 0")
+        add("quality", axis, "cadence_global.median_step_seconds", pace("quantile_cont(step, 0.5)"), "st WHERE step > 0")
+        add("quality", axis, "gaps_global.large_gap_rate", "avg((step > 10 * med)::INT)", "st, (SELECT quantile_cont(step, 0.5) AS med FROM st)")
+        add("quality", axis, "gaps_global.largest_gap_seconds", "max(step)", "st")
+        steps = (f", st AS (SELECT step FROM (SELECT (epoch_us({time}) - epoch_us(lag({time}) OVER (ORDER BY {who}, {time}))) / 1e6 AS step FROM {src} WHERE {time} IS NOT NULL) WHERE step IS NOT NULL)")
     rows.append("SELECT 'security', 'integrity', '', 'sha256', NULL, fingerprint FROM mark")
     rows.append("SELECT 'security', 'availability_asset_checks', '', 'byte_size', CAST(encoded_bytes AS DOUBLE), NULL FROM mark")
-    return ("WITH " + fx.AUDITED_SQL + ", " + _mark_sql(_ALL, "audited") + ", " + _ks_sql(_NUM, "audited", "strftime(o_orderdate, '%Y-%m')")
-            + f", md AS (SELECT {med} FROM audited), mm AS (SELECT {mad} FROM audited, md), sc AS (SELECT ({parts}) / ({used}) AS score FROM audited, md, mm), "
-            + 'am(dimension, "check", subject, "key", value, "text") AS (' + " UNION ALL ".join(rows) + ")")
+    drifted = ", " + _ks_sql(numbers, src, slice_sql) if slice_sql else ""
+    return ("WITH " + prelude + ", " + _mark_sql(columns, src) + drifted + steps
+            + f", md AS (SELECT {med} FROM {src}), mm AS (SELECT {mad} FROM {src}, md), sc AS (SELECT CASE WHEN ({used}) > 0 THEN ({parts}) / ({used}) END AS score FROM {src}, md, mm), "
+            + 'am0(dimension, "check", subject, "key", value, "text") AS (' + " UNION ALL ".join(rows) + '), am AS (SELECT * FROM am0 WHERE value IS NOT NULL OR "text" IS NOT NULL)')
 
 
-_AUDIT = _full_audit_sql()
+_AUDIT = _audit_sql(fx.AUDITED_SQL, "audited", _ALL, _NUM, _TEXT, "big", "Binary classification", "strftime(o_orderdate, '%Y-%m')", "split", ORDER_ROLES.groups, ORDER_ROLES.ids)
+_SHOWN = """ SELECT '{0}' AS run_id, '{0}' AS dataset, dimension, "check", subject, "key", round(value, 6) AS value, "text" FROM am""".format
+_WEEK = "strftime(date_trunc('week', ts), '%Y-%m-%d') || '/' || strftime(date_trunc('week', ts) + INTERVAL 6 DAY, '%Y-%m-%d')"
+_SERIES_AUDIT = _audit_sql(fx.EVENT_SQL, "ev", ["event_id", "ts", "user_id", "event_type", "value", "props"], ["event_id", "user_id", "value"], ["props"], "event_type",
+                           "Multi-class classification", _WEEK, ids=["event_id"], entities=["user_id"], time="ts")
+_DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic", "split"]
+_DOC_AUDIT = _audit_sql(fx.DOC_SQL, "doc", _DOC_COLUMNS, ["doc_id", "n_chars", "toxic"], ["text", "lang", "source"], "quality", "Binary classification", "split", "split",
+                        ["lang", "source"], ["doc_id"])
 
 
 def _orders_audit(spark, sf, **options):
@@ -93,9 +121,14 @@ def _orders_metrics(spark, sf):
     return materialized(spark, f"audit:{sf}", lambda: _orders_audit(spark, sf), (fx.table(spark, sf, "orders"),))
 
 
-@query(_AUDIT + " SELECT 'orders' AS run_id, 'orders' AS dataset, dimension, \"check\", subject, \"key\", round(value, 6) AS value, \"text\" FROM am")
+def _shown(metrics):
+    """Metric rows that say something: a check that found nothing to measure has neither value nor text."""
+    return metrics.filter("value is not null or text is not null")
+
+
+@query(_AUDIT + _SHOWN("orders"))
 def full_audit(spark, sf):
-    return _orders_audit(spark, sf)
+    return _shown(_orders_audit(spark, sf))
 
 
 @query("WITH " + fx.AUDITED_SQL + """, o AS (SELECT avg((o_totalprice > 0)::INT) AS a, avg((length(note) > 2)::INT) AS b, count(*) FILTER (o_orderdate IS NULL) AS c FROM audited)
@@ -110,18 +143,18 @@ def audit_own_checks(spark, sf):
     return audit.own_findings(_orders_audit(spark, sf, fingerprint=False, checks=checks))
 
 
-@query()
+@query(_SERIES_AUDIT + _SHOWN("events"))
 def series_audit(spark, sf):
     """Time-series audit of the event stream table."""
     roles = Roles(label="event_type", time="ts", entities=("user_id",), ids=("event_id",), slice_mode="week")
-    return audit.audit(fx.event_series(spark, sf), roles, dataset="events", kind="series", fingerprint=False)
+    return _shown(audit.audit(fx.event_series(spark, sf), roles, dataset="events", kind="series"))
 
 
-@query()
+@query(_DOC_AUDIT + _SHOWN("documents"))
 def document_audit(spark, sf):
     """Audit of labelled documents, whole texts scanned for personal data."""
     roles = Roles(label="quality", split="split", groups=("lang", "source"), ids=("doc_id",))
-    return audit.audit(fx.doc_labels(spark, sf), roles, dataset="documents")
+    return _shown(audit.audit(fx.doc_labels(spark, sf), roles, dataset="documents"))
 
 
 # Monthly runs: every month of orders is one data set of the audit history.
