@@ -172,7 +172,7 @@ def fairness_passes(df: DataFrame, roles: Roles) -> list[DataFrame]:
 def series_passes(df: DataFrame, roles: Roles) -> list[DataFrame]:
     """Time-axis checks; the step statistics follow record order across entities."""
     found = series.time_profile(df, roles.time)
-    steps = series.steps(df, roles.time, roles.entities, across_entities=True)
+    steps = written(series.steps(df, roles.time, roles.entities, across_entities=True))  # counts of steps, read by both that follow
     pace, gap = series.cadence(steps), series.gaps(steps)
     repeat = series.duplicate_timestamps(df, roles.time, roles.entities)
     name = "time_axis_health"
