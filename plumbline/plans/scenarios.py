@@ -10,6 +10,7 @@ from plumbline.functions.columns import as_double, col
 from plumbline.operators import dedup, fairness, profile, scoring, security
 from plumbline.operators.distribution import (
     ks_from_counts, melt, quantiles, value_counts)
+from plumbline.sources.tables import written
 
 
 def anomaly_p99(df: DataFrame, run: str, numeric: Sequence[str]) -> DataFrame:
@@ -30,30 +31,38 @@ def anomaly_p99(df: DataFrame, run: str, numeric: Sequence[str]) -> DataFrame:
 
 
 def run_metrics(df: DataFrame, run: str, late: Column, split: str, numeric: Sequence[str], texts: Sequence[str],
-                groups: Sequence[str], label: str, pii_threshold: float = 0.01, anomalies: bool = True) -> DataFrame:
+                groups: Sequence[str], label: str, pii_threshold: float = 0.01, anomalies: bool = True,
+                twin: Column | None = None) -> DataFrame:
     """One wide row per run with the headline metrics that scoring and the gate use.
 
-    ``late`` is 0 for rows of the first slice, 1 for the last, null elsewhere. The run key is text.
+    ``late`` is 0 for rows of the first slice, 1 for the last, null elsewhere. The run key is text. ``twin`` names, from the run key, the run
+    that stands for all whose rows repeat, leak, miss cells and hold numbers alike: these are measured there, texts and groups in every run.
     """
     features = [c for c in df.columns if c != run]
-    missing = profile.missing_overall(df, [run], features).select(
+    # a text that many rows share is searched once
+    shared = df.groupBy(run, *texts).agg(F.count(F.lit(1)).alias("_n"))
+    rates = security.pii_hit_rates(shared, texts, [run], "_n")
+    found = F.col("hit_rate") >= pii_threshold
+    pii = rates.groupBy(run).agg(F.count_distinct(F.when(found, F.col("column"))).cast("double").alias("pii_flag_count"),
+                                 F.max(F.when(found, F.col("hit_rate"))).alias("pii_worst_rate"))
+    gap = F.col("positive_rate_disparity")
+    cube = written(fairness.group_cube(df, groups, label, [run]))
+    fair = fairness.positive_rate_disparity(cube, [run]).groupBy(run).agg(
+        F.max(gap).alias("max_positive_rate_disparity"), F.avg(scoring.credit(gap, 0.20, 0.50)).alias("mean_disparity_credit"))
+    rows = df if twin is None else df.filter(col(run) == twin)
+    missing = profile.missing_overall(rows, [run], features).select(
         run, F.col("missing_rate").alias("missingness"), F.col("rows").alias("n_rows"))
-    content = dedup.duplicates_and_leakage(df, split, [run]).select(
+    content = dedup.duplicates_and_leakage(rows, split, [run]).select(
         run, "duplicate_rate", F.col("leakage_rate").alias("split_leakage"))
-    hits = security.pii_hit_rates(df, texts, [run]).filter(F.col("hit_rate") >= pii_threshold)
-    pii = hits.groupBy(run).agg(F.count_distinct("column").cast("double").alias("pii_flag_count"),
-                                F.max("hit_rate").alias("pii_worst_rate"))
-    sides = df.withColumn("_late", late).filter(F.col("_late").isNotNull())
+    sides = rows.withColumn("_late", late).filter(F.col("_late").isNotNull())
     counts = value_counts(melt(sides, numeric, [run, "_late"]), [run, "column"],
                           n_a=1 - F.col("_late"), n_b=F.col("_late"))
     drift = ks_from_counts(counts, [run, "column"]).groupBy(run).agg(F.max("ks").alias("max_drift_ks"))
-    gap = F.col("positive_rate_disparity")
-    fair = fairness.positive_rate_disparity(fairness.group_cube(df, groups, label, [run]), [run]).groupBy(run).agg(
-        F.max(gap).alias("max_positive_rate_disparity"), F.avg(scoring.credit(gap, 0.20, 0.50)).alias("mean_disparity_credit"))
-    out = missing.join(content, run).join(pii, run, "left").join(drift, run, "left").join(fair, run, "left")
-    out = out.withColumn("pii_flag_count", F.coalesce("pii_flag_count", F.lit(0.0)))
+    alike = missing.join(content, run).join(drift, run, "left")
     if anomalies:
-        out = out.join(anomaly_p99(df, run, numeric), run, "left")
+        alike = alike.join(anomaly_p99(rows, run, numeric), run, "left")
+    stand_in = col(run) if twin is None else twin
+    out = pii.withColumn("_twin", stand_in).join(alike.withColumnRenamed(run, "_twin"), "_twin").drop("_twin").join(fair, run, "left")
     for name in scoring.METRICS:
         if name not in out.columns:
             out = out.withColumn(name, F.lit(None).cast("double"))

@@ -153,3 +153,26 @@ def test_injected_severity_is_recovered(spark):
     assert abs(hits / 4000 - 0.05) < 0.02
     again = faults.repeated_duplicates(keyed, 0.5, draw).count() - 4000
     assert abs(again / 4000 - 0.5) < 0.06
+
+
+def test_scenarios_with_like_rows_are_measured_once(spark, tmp_path):
+    """Every scenario gets the metrics it gets when it is measured by itself, with repeated, null and conflicting keys."""
+    import datetime
+    from pyspark.sql import functions as F
+    from plumbline.plans import grid, scenarios
+    day = datetime.datetime(1995, 1, 1)
+    rows = [(None if i % 17 == 0 else i // 2 % 90, i % 11, None if i % 13 == 0 else float(i % 9) * 1000, day + datetime.timedelta(days=i % 50),
+             None if i % 19 == 0 else ("1-URGENT", "5-LOW")[i % 2]) for i in range(240)]
+    schema = "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+    spark.createDataFrame(rows + rows[:20], schema).write.parquet(f"{tmp_path}/orders.parquet")
+    late = F.when(F.dayofyear("o_orderdate") < 15, 0).when(F.dayofyear("o_orderdate") > 35, 1)
+    kinds, severities, seeds = grid.FAULTS, (0.0, 0.4), (7, 11)
+    clean = grid.clean_orders(spark, str(tmp_path))
+    tagged = grid.corrupt(grid.scenarios(clean, kinds, severities, seeds), 788900000.0).drop("fault", "severity", "seed")
+    measure = [tagged, "run_id", late, "split", ["o_totalprice", "o_custkey"], ["o_orderpriority", "note"], ["o_orderpriority"], "target"]
+    alone, shared = scenarios.run_metrics(*measure), scenarios.run_metrics(*measure, twin=grid.twin(kinds, seeds))
+    columns = sorted(alone.columns)
+    got = [sorted(map(str, f.select("run_id", *[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in sorted(f.dtypes) if c != "run_id"]).collect()))
+           for f in (alone, shared)]
+    assert sorted(shared.columns) == columns and len(got[0]) == 24
+    assert got[0] == got[1]
