@@ -90,16 +90,22 @@ def tool_agreement(df: DataFrame, keys: Sequence[str], flag_a: str, flag_b: str,
     a, b = col(flag_a).cast("double"), col(flag_b).cast("double")
     stats = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg((a == b).cast("double")).alias("agreement"), F.avg(a).alias("_a"), F.avg(b).alias("_b"),
-        F.corr(value_a, value_b).alias("value_r"))
+        pearson(value_a, value_b).alias("value_r"))
     chance = F.col("_a") * F.col("_b") + (1 - F.col("_a")) * (1 - F.col("_b"))
     kappa = F.when(chance < 1, (F.col("agreement") - chance) / F.nullif(1 - chance, F.lit(0.0))).otherwise(1.0)
     return stats.select(*keys, "n", "agreement", "value_r", kappa.alias("kappa"))
 
 
+def pearson(x: str, y: str) -> Column:
+    """Aggregate Pearson r, null when a side is constant (``F.corr`` divides by zero there, which is an error in ANSI mode)."""
+    spread = F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x))
+    return F.when(spread != 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.regr_sxy(y, x) / F.nullif(spread, F.lit(0.0)))))
+
+
 def correlation(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Pearson r with its t statistic per key; null below three pairs."""
     both = df.filter(col(x).isNotNull() & col(y).isNotNull())
-    found = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("_r"))
+    found = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pearson(x, y).alias("_r"))
     r = F.when((F.col("n") >= 3) & ~F.isnan("_r"), F.col("_r"))
     return found.select(*keys, "n", r.alias("pearson_r"),
                         F.when(F.abs(r) < 1, r * F.sqrt((F.col("n") - 2) / (1 - r * r))).alias("t_statistic"))
@@ -112,7 +118,7 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     if not keys:
         both, keys = both.withColumn("_one", F.lit(1)), ["_one"]
     ranked = average_ranks(average_ranks(both, keys, x, "_rx"), keys, y, "_ry")
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("spearman_rho")).drop("_one")
+    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pearson("_rx", "_ry").alias("spearman_rho")).drop("_one")
 
 
 def pooled_correlation(df: DataFrame, group: str, keys: Sequence[str], x: str, y: str) -> DataFrame:
@@ -180,7 +186,7 @@ def permutation_p(df: DataFrame, x: str, y: str, key: Sequence[str], permutation
         tagged = spread.withColumn("_u", order)
         return positions(tagged, ["permutation"], ["_u", *names], F.floor(F.col("_u") * 64)).select("permutation", "_pos", value)
 
-    rs = placed(fixed, x).join(placed(mixed, y), ["permutation", "_pos"]).groupBy("permutation").agg(F.corr(x, y).alias("r"))
+    rs = placed(fixed, x).join(placed(mixed, y), ["permutation", "_pos"]).groupBy("permutation").agg(pearson(x, y).alias("r"))
     framed = with_totals(rs, _obs=F.max(F.when(F.col("permutation") == 0, F.col("r"))))
     extreme = (F.col("permutation") > 0) & (F.abs("r") >= F.abs("_obs") - 1e-12)
     return framed.agg(F.max("_obs").alias("observed_r"),
@@ -255,7 +261,7 @@ def correlation_matrix(runs: DataFrame, signals: Sequence[str], outcomes: Sequen
     z = runs
     for y in outcomes:
         z = z_scores(z, [group], y, f"_z_{y}")
-    row = z.agg(*[F.corr(x, f"_z_{y}").alias(f"r{i}_{j}") for i, x in enumerate(signals) for j, y in enumerate(outcomes)])
+    row = z.agg(*[pearson(x, f"_z_{y}").alias(f"r{i}_{j}") for i, x in enumerate(signals) for j, y in enumerate(outcomes)])
     cells = F.array(*[F.struct(F.lit(x).alias("signal"), F.lit(y).alias("outcome"), F.col(f"r{i}_{j}").alias("r"))
                       for i, x in enumerate(signals) for j, y in enumerate(outcomes)])
     return row.select(F.explode(cells).alias("c")).select("c.*")

@@ -82,3 +82,15 @@ def test_own_checks_share_the_scan(spark):
     checks = [audit.Check("quality", "mean of x", F.avg("x"), above=1.0, finding="x is large"), audit.Check("quality", "rows", F.count(F.lit(1)), below=1)]
     found = {r["check"]: (r["value"], r["finding"]) for r in audit.own_findings(audit.audit(df, Roles(), checks=checks)).collect()}
     assert found == {"mean of x": (1.5, "x is large"), "rows": (3.0, None)}
+
+
+def test_correlation_with_a_constant_side_is_null(spark):
+    from plumbline.operators import validity
+    rows = [("flat", "m", 76.5, 0.1 * i) for i in range(4)] + [("line", "m", float(i), 2.0 * i) for i in range(4)] + [("some", "m", float(i * i), 2.0 * i) for i in range(4)]
+    runs = spark.createDataFrame(rows, "dataset string, model string, score double, auc double")
+    found = {r["dataset"]: r for r in validity.correlation(runs, ["dataset", "model"], "score", "auc").collect()}
+    assert found["flat"]["pearson_r"] is None and found["flat"]["t_statistic"] is None and found["flat"]["n"] == 4
+    assert found["line"]["pearson_r"] == 1.0 and abs(found["some"]["pearson_r"] - 0.9583148) < 1e-6
+    mean = validity.fisher_mean(validity.correlation(runs, ["dataset", "model"], "score", "auc"), ["model"], "pearson_r")
+    assert 0.99 < mean.first()["fisher_mean"] < 1.0
+    assert validity.spearman(runs.filter("dataset = 'flat'"), ["model"], "score", "auc").first()["spearman_rho"] is None
