@@ -15,12 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.llm.common import cut, text_of
+from plumbline.operators.distribution import quantiles, value_counts
+from plumbline.operators.series import positions
 
-#: Labelled documents of each class that the model is fitted on, about, those of the smallest hashes; pairs of each preferred one.
-SAMPLE, PARTNERS = 20_000, 4
+#: Pairs of each preferred document.
+PARTNERS = 4
 #: The score at the threshold.
 AT_THRESHOLD = 0.3
 # Marks that end sentences, marks of plain prose, and names of the features in order.
@@ -97,10 +99,10 @@ def weighted_quantile(values: np.ndarray, weights: np.ndarray, share: float) ->
     return float((low + values[order[at + 1]]) / 2 if ends else low)
 
 
-def fit(rows: DataFrame, sample: int = SAMPLE, partners: int = PARTNERS) -> Ranking:
+def fit(rows: DataFrame, sample: int | None = None, partners: int = PARTNERS) -> Ranking:
     """A ranking from rows of (doc_id, features, quality), quality 0 or 1.
 
-    About ``sample`` rows of each class are read, those of the smallest hashes: a bound on the model's input, not on what is scored.
+    All rows are learned from; with ``sample`` about that many of each class, those of the smallest hashes.
     Each preferred document meets ``partners`` others, each of the others about equally often. The threshold is the quantile of the
     worths, each class in its share of all rows, at the share of quality 0. Without rows of both classes all worths are 0 and the threshold is
     as far below them as makes every score 0.5.
@@ -109,15 +111,17 @@ def fit(rows: DataFrame, sample: int = SAMPLE, partners: int = PARTNERS) -> Rank
     if not sizes.get(0) or not sizes.get(1):
         return Ranking(np.zeros(len(FEATURES)), float(np.log(AT_THRESHOLD / (1 - AT_THRESHOLD))))
     draw = F.xxhash64(F.lit("quality"), "doc_id", "features")
-    share = F.when(F.col("quality") == 0, sample / sizes[0]).otherwise(sample / sizes[1])
-    some = cut(rows.withColumn("_draw", draw).filter(F.shiftrightunsigned("_draw", 11).cast("double") / float(1 << 53) < share)
-               .select("features", "quality", "_draw"))
+    drawn = rows.withColumn("_draw", draw)
+    if sample is not None:
+        share = F.when(F.col("quality") == 0, sample / sizes[0]).otherwise(sample / sizes[1])
+        drawn = drawn.filter(F.shiftrightunsigned("_draw", 11).cast("double") / float(1 << 53) < share)
+    some = cut(drawn.select("features", "quality", "_draw"))
     scale = some.agg(*[F.stddev_pop(F.col("features")[i]).alias(f"s{i}") for i in range(len(FEATURES))]).first()
     scale = np.array([s or 0.0 for s in scale])
-    ranked = some.withColumn("_at", F.row_number().over(Window.partitionBy("quality").orderBy("_draw", "features")) - 1)
+    ranked = positions(some, ["quality"], ["_draw", "features"], F.shiftright("_draw", 52)).withColumn("_at", F.col("_pos") - 1)
     counts = {r["quality"]: r["n"] for r in ranked.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts.get(0) or not counts.get(1):  # a class of a few rows that the hash left out
-        return fit(rows, 1 << 62, partners)
+        return fit(rows, None, partners)
     good = (ranked.filter("quality = 1").withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(partners - 1))))
             .select(F.col("features").alias("good"), F.pmod(F.col("_at") * partners + F.col("_r"), F.lit(counts[0])).alias("_at"), "_r", F.col("_at").alias("_own")))
     pairs = good.join(ranked.filter("quality = 0").select(F.col("features").alias("bad"), "_at"), "_at")
@@ -129,6 +133,11 @@ def fit(rows: DataFrame, sample: int = SAMPLE, partners: int = PARTNERS) -> Rank
                                maxIter=60, tol=1e-8).fit(table)
     weights = np.round(model.coefficients.toArray(), 6) / np.where(scale > 1e-12, scale, 1.0)
     found = Ranking(weights, 0.0)
+    if sample is None:  # between the last worth within the share of quality 0 and the next
+        middle = (sizes[0] - 0.5) / (sizes[0] + sizes[1] - 1)
+        worths = value_counts(some.select(F.lit(1).alias("key"), found.worth().alias("value")), ["key"])
+        found.threshold = quantiles(worths, ["key"], {"t": middle}).first()["t"]
+        return found
     worths = some.select(found.worth().alias("w"), "quality").collect()  # bounded by the sample
     values, kinds = np.array([r["w"] for r in worths]), np.array([r["quality"] for r in worths])
     each = np.where(kinds == 0, sizes[0] / max(1, (kinds == 0).sum()), sizes[1] / max(1, (kinds == 1).sum()))
@@ -136,7 +145,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE, partners: int = PARTNERS) -> Rank
     return found
 
 
-def scored(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE, partners: int = PARTNERS, keep: list[str] | None = None) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, train: Column, sample: int | None = None, partners: int = PARTNERS, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (doc_id by default) of every row of (doc_id, text, ...), with score and predicted.
 
     Labels are rows of (doc_id, quality, ...); those with a null id or with another quality than 0 and 1 are not used, repeated ones count once,

@@ -311,3 +311,15 @@ def test_quality_on_the_given_labels(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality")
     rows = QUERIES["op11_quality_ranking"](spark, SF).join(labels, "doc_id").filter("held_out").collect()
     assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.97
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    """Each class has more rows than were read before; what tells them apart is on a few rows alone, and the threshold counts all."""
+    width = len(quality.FEATURES)
+    rows = spark.range(45_000).select(
+        F.col("id").alias("doc_id"), F.concat(F.array((F.col("id") * 7919 % 45_000 / 45_000.0 + F.when(F.col("id") % 2 == 1, 0.3).otherwise(0.0))),
+                                              F.array_repeat(F.lit(0.5), width - 1)).alias("features"), (F.col("id") % 2).cast("int").alias("quality"))
+    found = quality.fit(rows)
+    worths = np.sort(np.array([r["w"] for r in rows.select(found.worth().alias("w")).collect()]))
+    assert found.weights[0] > 0
+    assert abs(found.threshold - (worths[22_499] + worths[22_500]) / 2) < 1e-9
