@@ -24,14 +24,15 @@ def duplicate_rate(df: DataFrame, columns: Sequence[str] | None = None, by: Sequ
         ratio(F.sum(F.col("_n") - 1), F.sum("_n")).alias("duplicate_rate"))
 
 
-def content_splits(df: DataFrame, split: str, by: Sequence[str] = ()) -> DataFrame:
+def content_splits(df: DataFrame, split: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Per (by, content): rows, distinct (content, split) pairs and distinct non-null splits.
 
-    One pass that serves both the duplicate rate and the split leakage of a table.
+    One pass that serves both the duplicate rate and the split leakage of a table. A row stands for ``weight`` rows.
     """
-    features = [c for c in df.columns if c != split and c not in by]
+    features = [c for c in df.columns if c not in (split, weight, *by)]
     keys = identity(df, features)
-    pairs = df.groupBy(*by, *keys, col(split).cast("string").alias("_split")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    pairs = df.groupBy(*by, *keys, col(split).cast("string").alias("_split")).agg(rows.alias("_n"))
     return pairs.groupBy(*by, *[col(c) for c in features]).agg(
         F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_pairs"), F.count("_split").alias("_splits"))
 

@@ -15,12 +15,12 @@ from plumbline.operators.quality import entropy_of_shares, jsd_vs_uniform
 
 
 def group_cube(df: DataFrame, groups: Sequence[str], label: str | None = None,
-               by: Sequence[str] = ()) -> DataFrame:
-    """Counts per (by, group column, group, label); the missing group and label are kept."""
+               by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """Counts per (by, group column, group, label); the missing group and label are kept. A row stands for ``weight`` rows."""
     pairs = F.array(*[F.struct(F.lit(g).alias("group_column"), col(g).cast("string").alias("grp")) for g in groups])
     value = col(label).cast("string") if label else F.lit(None).cast("string")
-    cells = df.select(*by, F.explode(pairs).alias("p"), value.alias("label"))
-    return cells.groupBy(*by, "p.group_column", "p.grp", "label").agg(F.count(F.lit(1)).alias("n"))
+    cells = df.select(*by, F.explode(pairs).alias("p"), value.alias("label"), *([col(weight).alias("n")] if weight else []))
+    return cells.groupBy(*by, "p.group_column", "p.grp", "label").agg((F.sum("n") if weight else F.count(F.lit(1))).alias("n"))
 
 
 def group_shares(cube: DataFrame, by: Sequence[str] = ()) -> DataFrame:

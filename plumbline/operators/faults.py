@@ -89,8 +89,12 @@ def deviations(df: DataFrame, columns: Sequence[str], how=F.stddev_pop) -> dict[
 
 def personal_data(df: DataFrame, text: str, key: str, severity: Severity, draw: Draw, where: Column | None = None) -> DataFrame:
     """Writes an e-mail address into a share of the texts."""
-    note = F.concat(F.lit("contact operator_"), col(key), F.lit("@example.com"))
-    return df.withColumn(text, F.when(F.coalesce(_hit(draw(105), severity, where), F.lit(False)), note).otherwise(col(text)))
+    return df.withColumn(text, F.when(F.coalesce(_hit(draw(105), severity, where), F.lit(False)), planted_text(key)).otherwise(col(text)))
+
+
+def planted_text(key: str) -> Column:
+    """The text with an e-mail address that a row of that key gets."""
+    return F.concat(F.lit("contact operator_"), col(key), F.lit("@example.com"))
 
 
 def group_bias(df: DataFrame, label: str, advantaged: Column, severity: Severity, draw: Draw, where: Column | None = None) -> DataFrame:

@@ -32,13 +32,14 @@ def missing_by_column(df: DataFrame, columns: Sequence[str] | None = None,
                        ratio(F.col("missing"), F.col("_rows")).alias("missing_rate"))
 
 
-def missing_overall(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
-    """Share of missing cells, equal to the mean of the column rates."""
+def missing_overall(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str] | None = None, weight: str | None = None) -> DataFrame:
+    """Share of missing cells, equal to the mean of the column rates. A row stands for ``weight`` rows."""
     columns = list(columns or [c for c in df.columns if c not in by])
+    cells = sum((missing_flag(df, c) for c in columns), F.lit(0)).cast("bigint")
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
     return df.groupBy(*by).agg(
-        (F.sum(sum((missing_flag(df, c) for c in columns), F.lit(0)).cast("bigint"))
-         / F.nullif(F.count(F.lit(1)) * len(columns), F.lit(0))).alias("missing_rate"),
-        F.count(F.lit(1)).alias("rows"))
+        (F.sum(cells if weight is None else cells * F.col(weight)) / F.nullif(rows * len(columns), F.lit(0))).alias("missing_rate"),
+        rows.alias("rows"))
 
 
 def missing_by_slice(df: DataFrame, slice_column: str, columns: Sequence[str] | None = None) -> DataFrame:

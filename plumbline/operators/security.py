@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -11,15 +11,16 @@ from plumbline.operators.distribution import with_totals
 from plumbline.operators.quality import shares
 
 
-def pii_hit_rates(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+def pii_hit_rates(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), weight: str | None = None,
+                  hits: Mapping[tuple[str, str], Column] | None = None) -> DataFrame:
     """Share of present values that match each pattern, for all columns in one scan of whole texts.
 
-    ``weight`` is a column that says for how many rows a row stands.
+    ``weight`` is a column that says for how many rows a row stands; ``hits`` gives, by (column, pattern), matches that are known already.
     """
     names = [(c, p) for c in columns for p in PII_PATTERNS]
 
     def rate(c: str, p: str) -> Column:
-        hit = col(c).rlike(PII_PATTERNS[p])
+        hit = col(c).rlike(PII_PATTERNS[p]) if hits is None else hits[c, p]
         if weight is None:
             return F.avg(hit.cast("double"))
         return ratio(F.sum(hit.cast("bigint") * col(weight)), F.sum(F.when(hit.isNotNull(), col(weight))))

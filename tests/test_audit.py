@@ -176,3 +176,42 @@ def test_scenarios_with_like_rows_are_measured_once(spark, tmp_path):
            for f in (alone, shared)]
     assert sorted(shared.columns) == columns and len(got[0]) == 24
     assert got[0] == got[1]
+
+
+def test_grid_counts_alike_rows_like_all_rows(spark, tmp_path):
+    """The grid's metrics, counted from rows that scenarios hit alike, are those of the multiplied rows: keys repeat, are null, negative or alone."""
+    import datetime
+    from pyspark.sql import functions as F
+    from plumbline.plans import grid, scenarios
+    day = datetime.datetime(1995, 1, 1)
+    rows = [(None if i % 23 == 0 else (i if i % 2 else i // 4 % 40) * 37 - 900, None if i % 29 == 0 else i % 11, (None, float("nan"))[i % 2] if i % 13 == 0 else float(i % 9) * 1000,
+             None if i % 31 == 0 else day + datetime.timedelta(days=i % 50), None if i % 19 == 0 else ("1-URGENT", "5-LOW", "to a@b.com")[i % 3]) for i in range(300)]
+    schema = "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+    spark.createDataFrame(rows + rows[:40], schema).write.parquet(f"{tmp_path}/orders.parquet")
+    late = F.when(F.dayofyear("o_orderdate") < 15, 0).when(F.dayofyear("o_orderdate") > 35, 1)
+    for kinds, severities, seeds in [(grid.FAULTS, (0.0, 0.4), (7,)), (("pii", "drift", "split_leakage"), (0.2,), (7, 11))]:
+        clean = grid.clean_orders(spark, str(tmp_path))
+        tagged = grid.corrupt(grid.scenarios(clean, kinds, severities, seeds), 788900000.0).drop("fault", "severity", "seed")
+        alone = scenarios.run_metrics(tagged, "run_id", late, "split", ["o_totalprice", "o_custkey"], ["o_orderpriority", "note"], ["o_orderpriority"], "target")
+        counted = grid.grid_metrics(clean, late, 788900000.0, kinds, severities, seeds)
+        got = [sorted(map(str, f.select("run_id", *[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in sorted(alone.dtypes) if c != "run_id"]).collect()))
+               for f in (alone, counted)]
+        assert got[0] == got[1] and len(got[0]) == len(kinds) * len(severities) * len(seeds) and sorted(counted.columns) == sorted(alone.columns)
+
+
+def test_quantiles_near_their_rank(spark):
+    """Brackets give the quantiles that sorting everything gives, with ties, nulls and runs of one value; a null run has none."""
+    import random
+    from pyspark.sql import functions as F
+    from plumbline.operators.distribution import melt, near_rank_quantiles, quantiles, value_counts
+    draw = random.Random(3)
+    rows = [(draw.choice("abc"), float(draw.choice([draw.randrange(9), draw.random() * 1e4])), draw.choice([None, draw.gauss(0, 1)])) for _ in range(30000)]
+    rows += [("one", 4.0, None), ("void", None, None)]
+    frame = spark.createDataFrame(rows, "run string, x double, y double").repartition(5)
+    for accuracy in (500, 20):
+        for p in (0.0, 0.5, 0.99, 1.0):
+            got = near_rank_quantiles(frame, "run", {"x": p, "y": p}, accuracy)
+            want = quantiles(value_counts(melt(frame, ["x", "y"], ["run"]), ["run", "column"]), ["run", "column"], {"q": p})
+            wide = want.groupBy("run").agg(*[F.max(F.when(F.col("column") == c, F.col("q"))).alias(c) for c in ("x", "y")])
+            known = sorted(map(str, got.filter("x is not null or y is not null").select("run", "x", "y").collect()))
+            assert known == sorted(map(str, wide.select("run", "x", "y").collect())) and len(known) == 4
