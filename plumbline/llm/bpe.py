@@ -21,11 +21,11 @@ from plumbline.llm.common import byte_letters, kept_in_worker, text_of, without_
 # The public pattern of byte-level BPE that parts text into words before the merges.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces of text that a task keeps encoded; beyond it starts afresh, which costs time and changes nothing.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 150_000
 #: Bytes of such pieces, so that long ones count as what they are.
-KEPT_BYTES = 24 << 20
+KEPT_BYTES = 12 << 20
 #: Characters of text that a task encodes at a time.
-AT_A_TIME = 2_000_000
+AT_A_TIME = 500_000
 NONE = np.int64(1) << 40
 
 

@@ -593,3 +593,21 @@ def test_near_copies_by_resemblance(spark, cell):
     # radius 3 over shingles of three words leaves near copies in
     assert simhash.without_near_copies(frame).count() > len(got)
     assert resemblance.without_near_copies(frame.limit(0)).count() == 0
+
+
+def test_near_copies_meet_in_simhash_cells():
+    """Cells are runs of the SimHash, equal for equal sets; near sets meet in one, unrelated ones seldom, and are near by their bits."""
+    draw = np.random.default_rng(4)
+    met = strange = 0
+    for _ in range(200):
+        own = np.unique(draw.integers(0, 1 << 63, 180, dtype=np.uint64))
+        near = np.unique(np.concatenate((own[20:], draw.integers(0, 1 << 63, 20, dtype=np.uint64))))
+        words, other = resemblance.simhash(own), resemblance.simhash(near)
+        assert words.dtype == np.uint64 and (resemblance.simhash(own[::-1].copy()) == words).all()
+        cells = [set(resemblance.cells_of(w).tolist()) for w in (words, other, resemblance.simhash(near ^ np.uint64(1 << 40)))]
+        assert len(cells[0]) == 64
+        met += bool(cells[0] & cells[1])
+        strange += len(cells[0] & cells[2])
+        rows = np.stack([*np.stack((words, other))[:, :resemblance.COMPARED].T.view(np.int64), np.array([len(own), len(near)])])
+        assert resemblance._near(rows, np.array([0]), np.array([1])).all()
+    assert met >= 195 and strange <= 3
