@@ -15,12 +15,14 @@ import math
 from collections import deque
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions.columns import col
+from plumbline.operators.distribution import interval_count
 from plumbline.operators.series import chunks, positions
 from plumbline.sources.tables import written
 
@@ -58,40 +60,132 @@ class Detector:
         return size, False
 
 
+@lru_cache(maxsize=8)
+def _bounds(detector: Detector) -> np.ndarray:
+    """For each window size the difference of means that an alarm needs at each cut 1, 2, ...; infinite where no cut is admissible."""
+    bounds = np.full((detector.max_window + 1, detector.max_window), np.inf)
+    for n in range(max(detector.min_window, 2 * detector.half), detector.max_window + 1):
+        left_n = np.arange(detector.half, n - detector.half + 1)
+        bounds[n, left_n - 1] = np.sqrt(2.0 * math.log(2.0 / detector.delta) * (1.0 / left_n + 1.0 / (n - left_n)))
+    return bounds
+
+
+def _changed_rows(values: np.ndarray, sizes: np.ndarray, at: int, detector: Detector) -> np.ndarray:
+    """``Detector.changed`` of the windows of ``sizes`` values that end at the rows from ``at`` on; all windows start together, or all are of one size."""
+    widest = int(sizes.max())
+    first = at + 1 - int(sizes[0])
+    if sizes[0] == sizes[-1]:
+        windows = np.lib.stride_tricks.sliding_window_view(values[first:at + len(sizes)], widest)
+        sums = np.cumsum(windows, axis=1)
+        totals = sums[:, -1:]
+    else:
+        sums = np.cumsum(values[first:at + len(sizes)])[None, :]
+        totals = sums[0, sizes - 1][:, None]
+    left_n = np.arange(1, widest + 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gaps = np.abs(sums / left_n - (totals - sums) / (sizes[:, None] - left_n))
+        return (gaps > _bounds(detector)[sizes, :widest]).any(axis=1)
+
+
+def _stretches(values: np.ndarray, start: int, size: int, detector: Detector, rows: int = 64) -> Iterator[tuple[int, np.ndarray, bool]]:
+    """Runs the detector from row ``start`` with ``size`` values before it: (row behind the stretch, window sizes after each of its rows, alarm at its end).
+
+    Between two alarms window sizes are known beforehand, so many rows are tested by one array operation.
+    """
+    at = start
+    while at < len(values):
+        count = min(rows, len(values) - at)
+        if size < detector.max_window:
+            count = min(count, detector.max_window - size)
+        sizes = np.minimum(size + 1 + np.arange(count), detector.max_window)
+        changed = _changed_rows(values, sizes, at, detector) if sizes[-1] >= detector.min_window else np.zeros(count, bool)
+        alarm = bool(changed.any())
+        if alarm:
+            sizes = sizes[:int(changed.argmax()) + 1]
+            sizes[-1] -= sizes[-1] // 2
+        at, size = at + len(sizes), int(sizes[-1])
+        yield at, sizes, alarm
+
+
 def _run(values: np.ndarray, start: int, size: int, detector: Detector) -> tuple[int, list[bool]]:
-    alarms = []
-    for at in range(start, len(values)):
-        size, alarm = detector.step(values, at, size)
-        alarms.append(alarm)
-    return size, alarms
+    alarms = np.zeros(len(values) - start, bool)
+    for at, sizes, alarm in _stretches(values, start, size, detector):
+        alarms[at - start - 1], size = alarm, int(sizes[-1])
+    return size, alarms.tolist()
 
 
 def _size_map(values: np.ndarray, start: int, detector: Detector) -> list[int]:
-    """End size for every start size 0..available; runs merge as soon as their sizes agree."""
-    sizes = np.arange(min(start, detector.max_window) + 1)
-    for at in range(start, len(values)):
-        distinct, back = np.unique(sizes, return_inverse=True)
-        sizes = np.array([detector.step(values, at, int(s))[0] for s in distinct])[back]
-    return sizes.tolist()
+    """End size for every start size 0..available; a run ends as soon as it has the size of an earlier one at the same row."""
+    first = np.arange(min(start, detector.max_window) + 1)
+    if start >= len(values):
+        return first.tolist()
+    seen, ends = np.full((len(first), len(values) - start), -1, np.int32), first.copy()
+    for size in reversed(first.tolist()):
+        for at, sizes, _ in _stretches(values, start, size, detector):
+            seen[size, at - start - len(sizes):at - start] = sizes
+            met = np.flatnonzero(seen[size + 1:, at - start - 1] == sizes[-1])
+            ends[size] = sizes[-1]
+            if len(met):
+                ends[size] = ends[size + 1 + met[0]]
+                break
+    return ends.tolist()
 
 
 def detect_changes(df: DataFrame, key: str, order: Sequence[str], value: str, period: Column,
                    detector: Detector = Detector(), chunk: int = 4096) -> DataFrame:
-    """Batch detection: (key, position, value, alarm) for every row of every series."""
-    pieces = chunks(positions(df.select(key, *order, value), [key], list(order), period), chunk, detector.max_window)
-    pieces = pieces.select(col(key).alias("key"), "_chunk", "_pos", "_context", col(value).cast("double").alias("value"))
+    """Batch detection: (key, position, value, alarm) for every row of every series that has a key.
+
+    Series of one chunk start with an empty window and are run at once, many in a task; only chunks of longer ones need size maps.
+    """
+    named = df.select(key, *order, value).filter(col(key).isNotNull())
+    numbered = written(positions(named, [key], list(order), period).select(
+        col(key).alias("key"), "_pos", col(value).cast("double").alias("value")))
+    pieces = chunks(numbered, chunk, detector.max_window)
+    long = numbered.groupBy("key").agg(F.max("_pos").alias("_rows")).filter(F.col("_rows") > chunk)
+    # a chunk that holds nothing but context is the tail of a series that ended before it
+    starts = None if long.isEmpty() else _start_sizes(pieces.join(long, "key").filter(F.col("_chunk") * chunk < F.col("_rows")).drop("_rows"), detector)
+    sized = pieces.withColumn("size", F.lit(0)) if starts is None else pieces.join(starts, ["key", "_chunk"], "left").fillna(0, ["size"])
+    # numbers run without holes, so each piece holds the row that it begins with
+    begins = F.col("_pos") == F.greatest(F.lit(1), F.col("_chunk") * chunk - detector.max_window + 1)
+    sized = sized.select("key", "_chunk", "_pos", "value", "_context", "size", begins.alias("_begins"))
+    dealt = sized.repartition(interval_count(df), "key", "_chunk").sortWithinPartitions("key", "_chunk", "_pos")
+
+    def flagged(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The rows of whole pieces, context aside, with their alarms."""
+        values, context = pdf["value"].to_numpy(), pdf["_context"].to_numpy()
+        edges = [*np.flatnonzero(pdf["_begins"].to_numpy()).tolist(), len(pdf)]
+        sizes, flags = pdf["size"].to_numpy(), np.zeros(len(pdf), bool)
+        for low, high in zip(edges, edges[1:]):
+            inside = int(context[low:high].sum())
+            flags[low + inside:high] = _run(values[low:high], inside, int(sizes[low]), detector)[1]
+        return pdf[["key", "_pos", "value"]].assign(alarm=flags)[~context]
+
+    def alarms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # the last piece, which may go on in the next batch
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            begun = np.flatnonzero(rows["_begins"].to_numpy())
+            last = int(begun[-1]) if len(begun) else 0
+            yield flagged(rows.iloc[:last])
+            held = rows.iloc[last:]
+        if held is not None:
+            yield flagged(held)
+
+    key_type = df.schema[key].dataType.simpleString()
+    return dealt.mapInPandas(alarms, f"key {key_type}, _pos long, value double, alarm boolean").select(
+        F.col("key").alias(key), F.col("_pos").alias("position"), "value", "alarm")
 
+
+def _start_sizes(pieces: DataFrame, detector: Detector) -> DataFrame:
+    """(key, _chunk, size): the window's size at the start of each chunk of each series."""
     def maps(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_pos")
         start = int(pdf["_context"].sum())
         found = _size_map(pdf["value"].to_numpy(), start, detector)
         return pd.DataFrame({"key": pdf["key"].iloc[:1], "_chunk": pdf["_chunk"].iloc[:1], "sizes": [found]})
 
-    key_type = df.schema[key].dataType.simpleString()
-    # A chunk that holds nothing but context is the tail of a series that ended on a chunk edge.
-    real = pieces.groupBy("key", "_chunk").agg(F.max((~F.col("_context")).cast("int")).alias("_real")).filter("_real = 1").drop("_real")
-    used = pieces.join(real, ["key", "_chunk"], "left_semi")
-    moves = used.groupBy("key", "_chunk").applyInPandas(maps, f"key {key_type}, _chunk long, sizes array<int>")
+    key_type = pieces.schema["key"].dataType.simpleString()
+    moves = pieces.groupBy("key", "_chunk").applyInPandas(maps, f"key {key_type}, _chunk long, sizes array<int>")
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         """For each chunk of a block the map from the size at the block's start; with the last one that of the whole block."""
@@ -119,17 +213,7 @@ def detect_changes(df: DataFrame, key: str, order: Sequence[str], value: str, pe
         inside, f"key {key_type}, _block long, _chunk long, before array<int>, whole array<int>"))
     heads = composed.filter("whole is not null").select("key", "_block", "whole").groupBy("key").applyInPandas(
         along, f"key {key_type}, _block long, start int")
-    starts = composed.join(heads, ["key", "_block"]).select("key", "_chunk", F.element_at("before", F.col("start") + 1).alias("size"))
-
-    def alarms(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_pos")
-        start = int(pdf["_context"].sum())
-        _, flags = _run(pdf["value"].to_numpy(), start, int(pdf["size"].iloc[0]), detector)
-        return pdf.iloc[start:][["key", "_pos", "value"]].assign(alarm=flags)
-
-    return (used.join(starts, ["key", "_chunk"]).groupBy("key", "_chunk")
-            .applyInPandas(alarms, f"key {key_type}, _pos long, value double, alarm boolean")
-            .select(F.col("key").alias(key), F.col("_pos").alias("position"), "value", "alarm"))
+    return composed.join(heads, ["key", "_block"]).select("key", "_chunk", F.element_at("before", F.col("start") + 1).alias("size"))
 
 
 def alarm_windows(detected: DataFrame, key: str, length: int, base: float, raised: float) -> DataFrame:

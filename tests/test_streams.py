@@ -92,3 +92,29 @@ def test_detector_goes_on_after_a_restart(spark):
         for at in range(len(values)):
             size, alarm = detector.step(values, at, size)
             assert got[key, at + 1] == (values[at], alarm)
+
+
+def test_short_series_need_no_size_maps_and_long_ones_agree_with_single_steps(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    detector = adaptive.Detector(max_window=20, min_window=6, delta=0.9)
+    series = {k: rng.exponential(1, n) + np.where(np.arange(n) > n // 2, 3.0, 0.0) for k, n in enumerate([1, 7, 19, 31, 32, 33, 64, 150])}
+    series[3][5], series[7][40] = np.nan, np.inf
+
+    def run(names):
+        rows = [(k, i, float(x)) for k in names for i, x in enumerate(series[k])] + [(None, 0, 1.0)]
+        found = adaptive.detect_changes(spark.createDataFrame(rows, "k long, i long, x double"), "k", ["i"], "x", F.floor(F.col("i") / 10), detector, chunk=32)
+        return {(r["k"], r["position"]): r["alarm"] for r in found.collect()}
+
+    def stepped(names):
+        expected = {}
+        for k in names:
+            size = 0
+            for at in range(len(series[k])):
+                with np.errstate(invalid="ignore"):
+                    size, alarm = detector.step(series[k], at, size)
+                expected[k, at + 1] = alarm
+        return expected
+
+    assert run(series) == stepped(series) and any(stepped(series).values())
+    monkeypatch.setattr(adaptive, "_start_sizes", None)  # short series must do without
+    assert run(range(5)) == stepped(range(5))
