@@ -78,3 +78,29 @@ def test_no_files(spark):
     found = aa.scan(spark, folder)
     assert found.images.count() == 0 and found.annotations.filter(F.col("valid")).count() == 0
     assert _values(aa.asset_audit(found, near=False))["readability", "images_scanned", ""] == 0
+
+
+def test_files_are_read_once_for_their_bytes_and_once_for_their_pixels(spark, tmp_path, monkeypatch):
+    folder = tmp_path.as_uri()
+    rows = [(f"ann/{i}.txt", b"0 0.5 0.5 0.2 0.2") for i in range(20)] + [("broken.bmp", b"BM")]
+    assets.write_files(spark.createDataFrame(rows, "path string, content binary"), folder)
+    plans, write = [], aa.written
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(aa, "written", kept)
+    found = aa.scan(spark, folder)
+    assert sum(p.count("FileScan binaryFile") for p in plans) == 1 and sum(p.count("FileScan image") for p in plans) == 1
+    assert found.annotations.count() == 20 and found.identity.first()["annotation_files"] == 20
+    assert [(r["path"], r["open_error"], r["open_ok"]) for r in found.images.collect()] == [("broken.bmp", "corrupt", False)]
+    assert "note" not in found.images.columns
+
+
+def test_readable_and_corrupt_images_leave_one_scan(spark, tmp_path):
+    bmp = bytes.fromhex("424D3A0000000000000036000000280000000100000001000000010018000000000004000000130B0000130B00000000000000000000") + b"\x01\x02\x03\x00"
+    assets.write_files(spark.createDataFrame([("a.bmp", bmp), ("b.bmp", bmp[:40])], "path string, content binary"), tmp_path.as_uri())
+    found = {r["path"].rsplit("/", 1)[-1]: r for r in assets.image_features(assets.decoded_images(spark, tmp_path.as_uri())).collect()}
+    assert found["a.bmp"]["width"] == 1 and found["a.bmp"]["open_ok"] and found["a.bmp"]["entropy"] == 0.0
+    assert found["b.bmp"]["blur_var_lap"] is None and found["b.bmp"]["open_error"] == "corrupt"
