@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from plumbline.operators import clusters
+from plumbline.operators import clusters, dedup
 
 
 def _hashes(limit):
@@ -72,3 +72,9 @@ def test_no_hashes(spark):
     df = spark.createDataFrame([(1, None)], "id long, phash string")
     assert clusters.clustered_items(df, "id", "phash").count() == 0
     assert clusters.cluster_summary(clusters.near_duplicate_clusters(df, "id", "phash")).first()["near_duplicate_pairs"] == 0
+
+
+def test_hashes_are_compared_in_as_many_tasks_as_a_shuffle_has(spark):
+    items = spark.createDataFrame([(i, f"{i * 2654435761 % 2 ** 64:016x}") for i in range(200)], "item long, phash string")
+    for found in (dedup.near_duplicates(items, "item", "phash"), dedup.near_duplicate_pairs(items, "item", "phash")):
+        assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
