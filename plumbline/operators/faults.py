@@ -64,8 +64,15 @@ def split_leakage(df: DataFrame, split: str, severity: Severity, draw: Draw, whe
 
 def late_cutoff(df: DataFrame, time: str, share: float = 0.75) -> float:
     """Seconds from which the last part of the time axis starts (exact quantile)."""
+    return cutoffs(df, time, share)[0]
+
+
+def cutoffs(df: DataFrame, time: str, *shares: float) -> list[float]:
+    """The seconds up to which each share of the time axis lies (exact quantiles), from one count of times."""
     seconds = df.select(seconds_of(timestamp_of(df, time)).alias("s"))
-    return bounded_rows(quantiles(value_counts_of(seconds, "s"), ["key"], {"q": share}), 1)[0]["q"]
+    points = {f"q{i}": share for i, share in enumerate(shares)}
+    row = bounded_rows(quantiles(value_counts_of(seconds, "s"), ["key"], points), 1)[0]
+    return [row[q] for q in points]
 
 
 def drift(df: DataFrame, time: str, shifts: dict[str, float], severity: Severity, cutoff: float,

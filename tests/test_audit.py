@@ -215,3 +215,41 @@ def test_quantiles_near_their_rank(spark):
             wide = want.groupBy("run").agg(*[F.max(F.when(F.col("column") == c, F.col("q"))).alias(c) for c in ("x", "y")])
             known = sorted(map(str, got.filter("x is not null or y is not null").select("run", "x", "y").collect()))
             assert known == sorted(map(str, wide.select("run", "x", "y").collect())) and len(known) == 4
+
+
+def test_numbers_of_scenarios_are_not_multiplied(spark, tmp_path, monkeypatch):
+    """Order statistics of runs that weigh, blank and shift rows equal those of multiplied rows, and no row of the table is multiplied for them."""
+    import numpy as np
+    from pyspark.sql import functions as F
+    from plumbline.operators import weighted_runs
+    from plumbline.plans import grid
+    rng = np.random.default_rng(3)
+    cell, late, side = rng.integers(0, 6, 900), rng.random(900) < 0.3, rng.integers(-1, 2, 900)
+    numbers = np.round(rng.normal(size=(2, 900)) * 5, 0)
+    numbers[0, ::11] = np.nan
+    runs = weighted_runs.Runs(rng.integers(0, 3, (6, 4)), rng.random((2, 6, 4)) < 0.8, np.array([[0.0, 0.0, 2.5, 0.0], [0.0, 0.0, -1.0, 0.0]]))
+    rows = spark.createDataFrame([(int(c), bool(a), int(s), None if np.isnan(x) else float(x), float(y)) for c, a, s, x, y in zip(cell, late, side, *numbers)],
+                                 "cell int, late boolean, side int, x double, y double").repartition(5)
+    monkeypatch.setattr(weighted_runs, "CHUNK", 64)
+    ks, p99 = weighted_runs.largest_ks(rows, runs), weighted_runs.anomaly_p99(rows, runs)
+    for r in range(4):
+        times = runs.copies[cell, r]
+        views = [np.repeat(np.where(runs.kept[c, cell, r], numbers[c] + np.where(late, runs.shifts[c, r], 0), np.nan), times) for c in (0, 1)]
+        sides, gap = np.repeat(side, times), []
+        for v in views:
+            a, b = (np.sort(v[(sides == s) & ~np.isnan(v)]) for s in (0, 1))
+            at = np.unique(np.concatenate((a, b)))
+            gap.append(np.abs(np.searchsorted(a, at, "right") / len(a) - np.searchsorted(b, at, "right") / len(b)).max())
+        far = [np.abs(v - np.nanmedian(v)) / np.nanmedian(np.abs(v - np.nanmedian(v))) for v in views]
+        known = ~np.isnan(far).all(axis=0)
+        assert abs(ks[r] - max(gap)) < 1e-12
+        assert abs(p99[r] - np.quantile(np.nanmean(np.array(far)[:, known], axis=0), 0.99)) < 1e-9
+
+    multiplied = []
+    real = grid.scenarios_of
+    monkeypatch.setattr(grid, "scenarios_of", lambda df, chosen: multiplied.append(df.count()) or real(df, chosen))
+    (spark.range(20000).select(F.col("id").alias("o_orderkey"), (F.col("id") % 90).alias("o_custkey"), (F.col("id") % 701).cast("double").alias("o_totalprice"),
+                               F.lit("1995-01-01").cast("timestamp_ntz").alias("o_orderdate"), F.lit("5-LOW").alias("o_orderpriority"))
+     .write.parquet(f"{tmp_path}/orders.parquet"))
+    grid.grid_metrics(grid.clean_orders(spark, str(tmp_path)), F.lit(0), 788900000.0, ("drift",), (0.0, 0.4), (7,))
+    assert max(multiplied) < 10000
