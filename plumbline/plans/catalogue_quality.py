@@ -300,7 +300,7 @@ _NEAR = "WITH " + fx.FINGERPRINT_SQL + """, p AS (SELECT a.phash AS hash_a, b.ph
 f AS (SELECT least(hash_a, hash_b) AS hash_a, greatest(hash_a, hash_b) AS hash_b, hamming FROM p WHERE hamming <= 6)"""
 
 
-@query(_NEAR + " SELECT count(*) AS near_duplicate_pairs, count(DISTINCT hash_a || hash_b) AS hash_pairs, (SELECT count(*) FROM fp) AS hashed_items FROM f")
+@query(_NEAR.replace("substr(a.phash, 1, 4) = substr(b.phash, 1, 4) AND ", "") + " SELECT count(*) AS near_duplicate_pairs, count(DISTINCT hash_a || hash_b) AS hash_pairs, (SELECT count(*) FROM fp) AS hashed_items FROM f")
 def near_duplicates(spark, sf):
     return dedup.near_duplicates(_fingerprints(spark, sf), "doc_id", "phash", 6)
 

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import dedup
+from plumbline.operators import clusters, dedup
 
 
 def _brute(hashes, limit):
@@ -62,3 +62,31 @@ def test_leakage_ignores_missing_splits(spark):
 def test_stems(spark):
     rows = spark.createDataFrame([("a/b.c.png",), ("x.txt",), ("d/.hidden",)], "p string").select(dedup.path_stem(F.col("p")).alias("s")).collect()
     assert [r["s"] for r in rows] == ["b.c", "x", ".hidden"]
+
+
+def test_near_duplicates_count_pairs_that_differ_in_their_leading_digits(spark):
+    rng = random.Random(3)
+    bases = [rng.getrandbits(64) for _ in range(12)]
+    words = []
+    for _ in range(300):
+        word = rng.choice(bases)
+        for bit in rng.sample(range(64), rng.randint(0, 5)):
+            word ^= 1 << bit
+        words.append(word)
+    words += [bases[0]] * 40 + [0, 1 << 63, 0xFC00000000000000, 0xFE00000000000000]
+    df = spark.createDataFrame([(i, f"{w:016x}") for i, w in enumerate(words)] + [(999, None)], "id long, phash string").repartition(5)
+    near = [(min(a, b), max(a, b)) for i, a in enumerate(words) for b in words[i + 1:] if (a ^ b).bit_count() <= 6]
+    row = dedup.near_duplicates(df, "id", "phash").first()
+    assert (row["near_duplicate_pairs"], row["hash_pairs"], row["hashed_items"]) == (len(near), len(set(near)), len(words))
+    assert any(a >> 48 != b >> 48 for a, b in near)
+
+
+def test_large_cells_are_dealt_in_parts_and_lose_no_pair(spark, monkeypatch):
+    rng = random.Random(5)
+    words = list({sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for _ in range(400)})
+    df = spark.createDataFrame([(i, f"{w:016x}") for i, w in enumerate(words)], "id long, phash string")
+    expected = sum((a ^ b).bit_count() <= 6 for i, a in enumerate(words) for b in words[i + 1:])
+    monkeypatch.setattr(clusters, "CELL", 30)
+    monkeypatch.setattr(clusters, "AT_A_TIME", 50)
+    assert dedup.near_duplicates(df, "id", "phash").first()["hash_pairs"] == expected
+    assert dedup.near_duplicate_pairs(df, "id", "phash", 6, 0).count() == expected
