@@ -19,8 +19,8 @@ from plumbline.llm.common import let_go
 #: n-grams in a profile; documents labelled with a language that are read for its profile, about.
 PROFILE, SAMPLE = 400, 4000
 UNKNOWN = "und"
-#: Bytes of text that a task gives on at a time.
-AT_A_TIME = 4_000_000
+#: Bytes of text that a task gives on at a time, and n-grams of which it holds counts.
+AT_A_TIME, HELD = 4_000_000, 2_000_000
 
 
 @cache
@@ -79,32 +79,51 @@ class Profiles:
         return self.names[best], float(1 - far[best])
 
 
+def _slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``most`` bytes of text; a longer text comes alone."""
+    at, sizes = 0, pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    while at < batch.num_rows:
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most)) + 1
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of n-grams for each language of a batch."""
+    """Counts of n-grams for each language, given on where a task holds many."""
     let_go()
-    for batch in batches:
-        by: dict[str, list[np.ndarray]] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            by.setdefault(lang, []).append(grams(text))
-        for lang, parts in by.items():
-            keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(counts.astype(np.int64))], ["lang", "gram", "n"])
+    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
+    def give() -> Iterator[pa.RecordBatch]:
+        for lang, (keys, counts) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(counts)], ["lang", "gram", "n"])
+        held.clear()
 
-def fit(docs: DataFrame, profile: int = PROFILE, sample: int = SAMPLE) -> Profiles:
+    for batch in batches:
+        for some in _slices(batch, 1, AT_A_TIME // 8):
+            by: dict[str, list[np.ndarray]] = {}
+            for lang, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                by.setdefault(lang, []).append(grams(text))
+            for lang, parts in by.items():
+                keys, counts = np.unique(np.concatenate(parts), return_counts=True)
+                if lang in held:
+                    keys, place = np.unique(np.concatenate((held[lang][0], keys)), return_inverse=True)
+                    counts = np.bincount(place, np.concatenate((held[lang][1], counts)), len(keys))
+                held[lang] = keys, counts.astype(np.int64)
+            if sum(len(keys) for keys, _ in held.values()) > HELD:
+                yield from give()
+    yield from give()
+
+
+def fit(docs: DataFrame, profile: int = PROFILE, sample: int | None = SAMPLE) -> Profiles:
     """Profiles from rows of (doc_id, text, lang); rows without text or language are not used.
 
     Of each language about ``sample`` documents are read, those of the smallest hashes of id and text: a bound on the model's input, not on
-    what is classified. What comes to the driver is ``profile`` n-grams of each language.
+    what is classified; without ``sample`` all are. What comes to the driver is ``profile`` n-grams of each language.
     """
     rows = docs.select("doc_id", "lang", "text").filter("lang is not null and text is not null")
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit("language"), "doc_id", "text"), 11).cast("double") / float(1 << 53)
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language, as the model
-    share = F.lit(0.0)
-    if sizes:
-        share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, sample / n)])[F.col("lang")]
-    some = rows.filter(draw < share).select("lang", "text")
-    counts = some.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    some = rows if sample is None else _sample(rows, sample)
+    counts = some.select("lang", "text").mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= profile)
     lists: dict[str, list[tuple[int, int]]] = {}
@@ -113,25 +132,30 @@ def fit(docs: DataFrame, profile: int = PROFILE, sample: int = SAMPLE) -> Profil
     return Profiles({k: np.array([g for _, g in sorted(v)], np.int64) for k, v in lists.items()})
 
 
+def _sample(rows: DataFrame, sample: int) -> DataFrame:
+    """About ``sample`` rows of each language, those of the smallest hashes of id and text."""
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit("language"), "doc_id", "text"), 11).cast("double") / float(1 << 53)
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language, as the model
+    share = F.lit(0.0)
+    if sizes:
+        share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, sample / n)])[F.col("lang")]
+    return rows.filter(draw < share)
+
+
 def _predicted(profiles: Profiles, names: tuple[str, str], read: int, kept: int):
     """Tasks that read column ``read`` and give the first ``kept`` columns on, some megabytes of text at a time."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for whole in batches:
-            at, sizes = 0, pc.fill_null(pc.binary_length(whole.column(read)), 0).to_numpy(zero_copy_only=False)
-            ends = np.cumsum(sizes)
-            while at < whole.num_rows:
-                to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_A_TIME)) + 1  # a longer text comes alone
-                batch = whole.slice(at, to - at)
+            for batch in _slices(whole, read, AT_A_TIME):
                 got = [profiles.predict(t.as_py()) for t in batch.column(read)]
                 columns = [*batch.columns[:kept], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:kept], *names])
-                at = to
 
     return task
 
 
-def identify(docs: DataFrame, train: Column, keep: list[str] | None = None, profile: int = PROFILE, sample: int = SAMPLE,
+def identify(docs: DataFrame, train: Column, keep: list[str] | None = None, profile: int = PROFILE, sample: int | None = SAMPLE,
              names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns ``keep`` (doc_id by default) of every row of (doc_id, text, lang, ...), with lang_pred and score under the given names.
 

@@ -611,3 +611,59 @@ def test_near_copies_meet_in_simhash_cells():
         rows = np.stack([*np.stack((words, other))[:, :resemblance.COMPARED].T.view(np.int64), np.array([len(own), len(near)])])
         assert resemblance._near(rows, np.array([0]), np.array([1])).all()
     assert met >= 195 and strange <= 3
+
+
+def test_near_copies_that_no_simhash_cell_holds_are_found(spark, monkeypatch):
+    """Cells of SimHash runs are left empty here: the smallest members alone have to lose no pair."""
+    monkeypatch.setattr(resemblance, "leaders", lambda rows: iter(()))
+    draw = random.Random(7)
+    texts, near = [], []
+    for k in range(60):
+        ws = [f"v{draw.randrange(10 ** 6)}" for _ in range(draw.choice([13, 14, 24, 60, 120]))]
+        one = list(ws)
+        one[0 if k % 3 else -1] = "other"  # one shingle of 9 or more: resemblance is 0.8 or higher
+        texts += [" ".join(ws), " ".join(one)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = sorted(r.doc_id for r in resemblance.without_near_copies(frame).collect())
+    assert got == list(range(0, len(texts), 2))
+
+
+def test_two_sets_at_four_fifths_share_one_of_their_smallest_members():
+    draw = np.random.default_rng(9)
+    for n in [*range(1, 40), 200]:
+        for _ in range(20):
+            whole = np.unique(draw.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+            out = int(draw.integers(0, n // 5 + 1))
+            one = np.setdiff1d(whole, draw.choice(whole, out, replace=False))
+            assert 5 * len(one) >= 4 * n and set(resemblance.fifth(whole)) & set(resemblance.fifth(one))
+    assert len(resemblance.fifth(np.zeros(0, np.uint64))) == 0
+
+
+def test_profiles_without_a_sample_come_from_all_rows(spark, monkeypatch):
+    draw = random.Random(2)
+    rows = [(i, "".join(draw.choice("abcdefgh ij") for _ in range(draw.randrange(3, 90))), draw.choice(["x", "y", None])) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    monkeypatch.setattr(language, "AT_A_TIME", 500)
+    monkeypatch.setattr(language, "HELD", 200)
+    got = language.fit(frame, 50, None)
+    want = {}
+    for lang in ("x", "y"):
+        keys, counts = np.unique(np.concatenate([language.grams(t) for _, t, l in rows if l == lang]), return_counts=True)
+        want[lang] = language.ranked(keys, counts, 50)
+    plain = language.Profiles(want)
+    assert got.names == plain.names and all((a == c).all() and (b == d).all() for (a, b), (c, d) in zip(got.sorted, plain.sorted, strict=True))
+    few = language.fit(frame, 50, 5)
+    assert any(len(a) != len(c) or (a != c).any() for (a, _), (c, _) in zip(few.sorted, plain.sorted, strict=True))
+
+
+def test_near_sets_of_any_size_are_within_the_radius():
+    draw = np.random.default_rng(5)
+    for n in (4, 5, 9, 10, 40, 300):
+        for _ in range(40):
+            own = np.unique(draw.integers(0, 1 << 63, n, dtype=np.uint64))
+            near = own[:-max(1, n // 5)] if n >= 5 else np.append(own, np.uint64(1))
+            words = np.stack([resemblance.simhash(own), resemblance.simhash(near)]).T.view(np.int64)
+            rows = np.concatenate((words, np.array([[len(own), len(near)]])))
+            assert resemblance._within(rows, np.array([0]), np.array([1])).tolist() == [0]
+            far = np.stack([words[:, 0], ~words[:, 0]], axis=1)
+            assert not len(resemblance._within(np.concatenate((far, rows[-1:])), np.array([0]), np.array([1])))
